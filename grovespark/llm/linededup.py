@@ -61,28 +61,28 @@ def dedup_lines(
     dropped = (
         lines.join(seen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
         .where(~F.col("id").eqNullSafe(F.col("first")))
-        .groupBy(F.col("id").alias("d_id"), F.col("t1").alias("d1"), F.col("t2").alias("d2"))
-        .agg(F.collect_set("pos").alias("gone"))
+        .groupBy(F.col("id").alias("__id"), F.col("t1").alias("__d1"), F.col("t2").alias("__d2"))
+        .agg(F.collect_set("pos").alias("__gone"))
     )
     # Null-safe: a null id has its own group. The dropped side is the small one.
     base = docs.withColumns({"__t1": one, "__t2": two})
     joined = base.join(
         dropped.hint("shuffle_hash"),
-        (base["__t1"] == F.col("d1")) & (base["__t2"] == F.col("d2")) & F.col(id_col).eqNullSafe(F.col("d_id")),
+        (F.col("__t1") == F.col("__d1")) & (F.col("__t2") == F.col("__d2")) & F.col(id_col).eqNullSafe(F.col("__id")),
         "left",
     )
     parts = F.split(text, "\n", -1)
     # array_except would also drop repeats, but positions have none.
     kept = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone")),
+        F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")),
         lambda i: F.get(F.col("__lines"), i),
     )
     joined = joined.withColumn("__lines", parts)
     joined = joined.withColumns(
         {
-            text_col: F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")),
+            text_col: F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")),
             "dedup_n_lines": F.size("__lines").cast("long"),
-            "dedup_n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+            "dedup_n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
         }
     )
     return joined.select(*[F.col(c) for c in docs.columns], "dedup_n_lines", "dedup_n_dropped")
