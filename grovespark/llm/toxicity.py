@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.common import table
+from grovespark.llm.common import cut_lineage, table
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -24,6 +24,8 @@ STEMS = (4, 5, 6)
 MAX_ROWS = 12_000
 #: A feature takes part if it is in so many training rows, and so many standard errors from the mean rate.
 MIN_ROWS, MIN_Z = 4, 5.0
+#: Features that take part at most, those that stand out most.
+MAX_FEATURES = 50_000
 THRESHOLD = 0.3
 #: Words whose weights a task keeps at hand.
 MEMO = 500_000
@@ -114,33 +116,34 @@ class Rows:
         return np.bincount(self.col, self.value * r[self.row], minlength=self.shape[1])
 
 
+def standing_out(total: np.ndarray, hits: np.ndarray, rows: int, positives: int) -> np.ndarray:
+    """Numbers of the features whose rate of label 1 stands out: ``total`` rows have them, ``hits`` of these with label 1."""
+    rate = (positives + 0.5) / (rows + 1)
+    z = np.abs(hits - total * rate) / np.sqrt(np.maximum(total, 1) * rate * (1 - rate))
+    found = np.flatnonzero((total >= MIN_ROWS) & (z >= MIN_Z))
+    return np.sort(found[np.argsort(-z[found], kind="stable")[:MAX_FEATURES]])
+
+
 def fit(
     rows: list[np.ndarray],
     labels: np.ndarray,
-    pairs: list[tuple[np.ndarray, np.ndarray]] = (),
+    columns: np.ndarray,
+    pairs: Sequence[tuple[np.ndarray, np.ndarray]] = (),
     fairness: float = 10.0,
-    ridge: float = 2e-4,
-    rounds: int = 400,
+    ridge: float = 5e-5,
+    rounds: int = 800,
 ) -> Model:
-    """Logistic regression by Adam, with ``fairness`` times the mean squared change of the score's logit over ``pairs``.
+    """Logistic regression by Adam over the features ``columns``, with ``fairness`` times the mean squared
+    change of the score's logit over ``pairs``.
 
-    Only features whose rate of label 1 stands out take part, so that the many
-    words of a long text do not add up to noise. No rows or one label alone: the
-    base rate for every text.
+    Only features that stand out take part, so that the many words of a long text
+    do not add up to noise. No rows or one label alone: the base rate for every text.
     """
     y = labels.astype(np.float64)
     n = len(y)
     rate = (y.sum() + 0.5) / (n + 1)
     base = Model(float(np.log(rate / (1 - rate))))
-    if not n or y.min() == y.max():
-        return base
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    total = np.bincount(flat, minlength=SLOTS)
-    hits = np.bincount(flat, np.repeat(y, lengths), minlength=SLOTS)
-    z = (hits - total * rate) / np.sqrt(np.maximum(total, 1) * rate * (1 - rate))
-    columns = np.flatnonzero((total >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
-    if not len(columns):
+    if not n or y.min() == y.max() or not len(columns):
         return base
     x = Rows(rows, None, columns)
     d = Rows(
@@ -191,39 +194,63 @@ def train(
     groups: Sequence[Sequence[str]] = IDENTITY_TERMS,
     fairness: float = 10.0,
 ) -> Model:
-    """Fit on labelled rows whose crc32(id) mod 4 is not 2. Features are made in the tasks; numbers alone reach the driver."""
+    """Fit on labelled rows whose crc32(id) mod 4 is not 2.
+
+    Features are made in the tasks and kept in the shared checkpoint folder; their
+    rows are counted there, and of each training row only the features that stand
+    out come to the driver.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.list_(pa.int32()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                found, before, after = [], [], []
+                for value in batch.column(0):
+                    text = value.as_py()
+                    found.append(np.array(sorted(features(text)), dtype=np.int32))
+                    changed = [(features(a), features(b)) for a, b in swaps(text, groups)]
+                    before.append([sorted(a - b) for a, b in changed])
+                    after.append([sorted(b - a) for a, b in changed])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(before, lists), pa.array(after, lists)],
+                    names=["label", "found", "before", "after"],
+                )
+
+    rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
+    schema = "label int, found array<int>, before array<array<int>>, after array<array<int>>"
+    rows = cut_lineage(rows.mapInArrow(extract, schema))
+    n, positives = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counts = rows.select("label", F.explode("found").alias("slot")).groupBy("slot")
+    counts = counts.agg(F.count(F.lit(1)).alias("total"), F.sum("label").alias("hits"))
+    rate = (positives + 0.5) / (n + 1)
+    z = F.abs(F.col("hits") - F.col("total") * rate) / F.sqrt(F.col("total") * (rate * (1 - rate)))
+    best = counts.where((F.col("total") >= MIN_ROWS) & (z >= MIN_Z)).orderBy(z.desc(), "slot").limit(MAX_FEATURES)
+    columns = np.sort(best.select("slot").toArrow().column("slot").to_numpy().astype(np.int64))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.list_(pa.int32()))
+        kept = set(columns.tolist())
         for batch in batches:
-            found, before, after = [], [], []
-            for text in batch.column(0).to_pylist():
-                found.append(sorted(features(text)))
-                pair = swaps(text, groups)
-                changed = [(features(a), features(b)) for a, b in pair]
-                before.append([sorted(a - b) for a, b in changed])
-                after.append([sorted(b - a) for a, b in changed])
-            lists = pa.list_(pa.list_(pa.int32()))
+            found = [[s for s in some if s in kept] for some in batch.column(1).to_pylist()]
+            sides = [[[[s for s in one if s in kept] for one in some] for some in batch.column(i).to_pylist()] for i in (2, 3)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(before, lists), pa.array(after, lists)],
+                [batch.column(0), pa.array(found, pa.list_(pa.int32())), *(pa.array(x, lists) for x in sides)],
                 names=["label", "found", "before", "after"],
             )
 
-    rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
-    got = rows.mapInArrow(
-        extract, "label int, found array<int>, before array<array<int>>, after array<array<int>>"
-    ).toArrow()
-    found = got.column("found").combine_chunks()
-    values, offsets = found.values.to_numpy(zero_copy_only=False).astype(np.int64), found.offsets.to_numpy()
-    x = [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+    got = rows.mapInArrow(narrowed, schema).toArrow().to_pylist()
+    # A fixed order, whichever task ended first: sums of floats depend on it.
+    got.sort(key=lambda r: (r["found"], r["label"], r["before"], r["after"]))
+    x = [np.array(r["found"], dtype=np.int64) for r in got]
     pairs = [
         (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
-        for some_a, some_b in zip(got.column("before").to_pylist(), got.column("after").to_pylist(), strict=True)
-        for a, b in zip(some_a, some_b, strict=True)
+        for r in got
+        for a, b in zip(r["before"], r["after"], strict=True)
+        if a or b
     ]
-    y = got.column("label").to_numpy()
-    # A fixed order, whichever task ended first: sums of floats depend on it.
-    order = sorted(range(len(x)), key=lambda i: (len(x[i]), x[i].tobytes(), int(y[i])))
-    return fit([x[i] for i in order], y[order], sorted(pairs, key=lambda p: (p[0].tobytes(), p[1].tobytes())), fairness)
+    return fit(x, np.array([r["label"] for r in got], dtype=np.int64), columns, pairs, fairness)
 
 
 def add_scores(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
