@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.common import table
+from grovespark.llm.common import cut_lineage, table
 
 #: Letters in an n-gram; a gap between words counts as one, at either end.
 N = 4
@@ -150,7 +150,7 @@ def train(
                 )
 
     counts = some.select("text", "lang").mapInArrow(count, "lang long, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return Filters(languages, 64).finish()
@@ -161,14 +161,21 @@ def train(
     kept = per_gram.select("gram", "top", F.inline("in")).where(
         (F.col("n") >= MIN_COUNT) & (F.col("rate") >= MIN_SHARE * F.col("top"))
     )
-    arrays: dict[int, np.ndarray] = {}
-    for lang in totals:
-        best = kept.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).select("gram")
-        arrays[lang] = best.toArrow().column("gram").to_numpy().view(np.uint64)
+    # For each language the smallest count that at most so many n-grams reach; a count's n-grams are all in or all out.
+    least = dict.fromkeys(totals, MIN_COUNT)
+    seen = dict.fromkeys(totals, 0)
+    for lang, n, many in sorted(map(tuple, kept.groupBy("lang", "n").agg(F.count(F.lit(1))).collect()), key=lambda r: -r[1]):
+        seen[lang] += many
+        if seen[lang] > MAX_GRAMS:
+            least[lang] = max(least[lang], n + 1)
+    bound = F.element_at(F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v)]), F.col("lang"))
+    best = kept.where(F.col("n") >= bound).select("lang", "gram").toArrow()
+    owners, found = best.column("lang").to_numpy(), best.column("gram").to_numpy().view(np.uint64)
+    arrays = {lang: found[owners == lang] for lang in totals}
     most = max(len(a) for a in arrays.values())
     filters = Filters(languages, 1 << max(6, int(np.ceil(np.log2(max(1, most) * BITS_PER_GRAM)))))
-    for lang, found in arrays.items():
-        filters.add(lang, found)
+    for lang, some in arrays.items():
+        filters.add(lang, some)
     return filters.finish()
 
 
