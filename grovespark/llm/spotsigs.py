@@ -28,6 +28,8 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain, and how many content words on the next one lies.
 CHAIN, DISTANCE = 2, 1
+#: Ranges of ids at most; each is one task of the shuffle.
+MAX_PARTS = 20_000
 #: Sets whose sizes differ more than this ratio allows lie in partitions that are not neighbours.
 PARTITION_RATIO = 0.8
 
@@ -101,32 +103,36 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first id of each partition, a few numbers each, reach the driver. Rows of
     one id are in the order of their texts; null ids come last.
     """
-    spark = docs.sparkSession
-    some = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)]
-    cuts = (some.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)), 10_000)).first()[0] if shares else None) or []
-    cuts = sorted(set(cuts))
+    some = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, some.rdd.getNumPartitions()))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else None
+    found = some.agg(F.percentile_approx("id", shares, 10 * parts + 10_000)).first()[0] if parts > 1 else None
+    cuts = np.array(sorted(set(found or [])), dtype=np.int64)
     last = len(cuts) + 1
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.expr("cast(array() as array<bigint>)")
-    # Partition 0 has the largest ids, the last one the null ids.
-    pid = F.when(F.col("id").isNull(), F.lit(last)).otherwise(
-        F.lit(len(cuts)) - F.size(F.filter(bounds, lambda b: b < F.col("id")))
-    )
-    some = some.withColumn("pid", pid)
-    firsts = sorted(tuple(r) for r in some.groupBy("pid").agg(F.max("id")).collect())
-    before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
-    halo = F.lit(None).cast("int")
-    for chunk in range(0, len(firsts), 500):
-        pairs = [(i, before[p]) for p, i in firsts[chunk : chunk + 500] if i is not None]
-        if pairs:
-            target = F.create_map(*[x for i, p in pairs for x in (F.lit(i), F.lit(p))])
-            halo = F.coalesce(halo, F.element_at(target, F.col("id")))
-    if firsts and firsts[-1][1] is None:
-        halo = F.when(F.col("id").isNull(), F.lit(before[last])).otherwise(halo)
-    own = F.struct(F.col("pid").cast("int").alias("pid"), F.lit(0).alias("halo"))
-    places = F.when(halo.isNull(), F.array(own)).otherwise(F.array(own, F.struct(halo.cast("int").alias("pid"), F.lit(1).alias("halo"))))
-    rows = some.select(F.inline(places), "id", "text")
+
+    @F.arrow_udf(T.IntegerType())
+    def partition(ids: pa.Array) -> pa.Array:
+        """0 has the largest ids, the last one the null ids."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        place = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="left")
+        return pa.array(np.where(null, last, place), pa.int32())
+
+    some = some.withColumn("pid", partition("id"))
+    firsts = sorted(tuple(r) for r in some.select("id", "pid").groupBy("pid").agg(F.max("id")).collect())
+    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def places(ids: pa.Array, pids: pa.Array) -> pa.Array:
+        """A row's own partition, and, below zero, that which it follows on."""
+        follows = [before.get(i) for i in ids.to_pylist()]
+        out = [[p] if f is None else [p, -1 - f] for p, f in zip(pids.to_pylist(), follows, strict=True)]
+        return pa.array(out, pa.list_(pa.int32()))
+
+    rows = some.select(F.explode(places("id", "pid")).alias("at"), "id", "text")
+    rows = rows.select(
+        F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("pid"),
+        F.when(F.col("at") < 0, 1).otherwise(0).alias("halo"), "id", "text",
+    )
     return rows.repartitionById(last + 1, F.col("pid")).sortWithinPartitions(
         "pid", "halo", F.col("id").desc_nulls_last(), "text"
     )
