@@ -25,6 +25,8 @@ from grovespark.llm.tokens import default_vocabulary
 KEY = 0x7261696E
 #: Sequences in a shard.
 PER_SHARD = 4096
+#: Shards that one task writes at most, about 130 MB.
+SHARDS_IN_TASK = 16
 ROUNDS = 6
 #: A record: the number of tokens, then that many 16-bit ids, then zeros up to the stride.
 HEADER = struct.Struct("<I")
@@ -177,7 +179,7 @@ def training_order(
         return pd.Series(slots(index, n, key))
 
     shards = max(1, -(-n // per_shard))
-    parts = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-shards // SHARDS_IN_TASK))
     rows = stored.withColumn("slot", slot_of("task", "place"))
     shard = F.floor(F.col("slot") / per_shard)
     rows = rows.withColumns(
