@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import BLANKS, ascii_lower, hash_pair
+from grovespark.llm.common import BLANKS, ascii_lower, cut_lineage, hash_pair
 
 
 def line_key(line: Column) -> Column:
@@ -26,9 +26,9 @@ def dedup_lines(
     Returns ``docs`` with ``text_col`` replaced by what is left (lines joined by
     newlines), and ``dedup_n_lines`` and ``dedup_n_dropped``.
 
-    Lines are exploded, and only hashes are shuffled for the counts; the sums are
-    made before the shuffle, so a line in a third of all documents costs one row
-    a task. The join back goes by hash, where adaptive execution splits a hot
+    Lines are exploded once, and their hashes kept in the shared checkpoint folder.
+    Only hashes are shuffled for the counts; the sums are made before the shuffle,
+    so a line in a third of all documents costs one row a task. The join back goes by hash, where adaptive execution splits a hot
     line, and texts are shuffled once. Row identity is (id, hash of the text), so
     ids that occur twice do no harm.
 
@@ -44,7 +44,8 @@ def dedup_lines(
         F.char_length("key") >= min_chars
     )
     k1, k2 = hash_pair(F.col("key"))
-    lines = lines.select("id", "t1", "t2", "pos", k1.alias("k1"), k2.alias("k2"))
+    # Both the counts and the join read these; a row is 48 bytes, and splitting and hashing texts is most of the work.
+    lines = cut_lineage(lines.select("id", "t1", "t2", "pos", k1.alias("k1"), k2.alias("k2")))
 
     # In two documents or more: the smallest and largest id differ, or there is an id and a null.
     if min_docs == 2:
@@ -58,8 +59,11 @@ def dedup_lines(
         seen = seen.where(F.col("n") >= min_docs)
     seen = seen.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "first")
 
+    # The counts are already dealt out by both hashes, and a join would take them as they are; but only a join
+    # whose two sides are dealt out for it is split where a key is hot. A third part of the key brings that about.
+    third = F.col("k1").bitwiseXOR(F.col("k2")) == F.col("s1").bitwiseXOR(F.col("s2"))
     dropped = (
-        lines.join(seen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
+        lines.join(seen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & third)
         .where(~F.col("id").eqNullSafe(F.col("first")))
         .groupBy(F.col("id").alias("__id"), F.col("t1").alias("__d1"), F.col("t2").alias("__d2"))
         .agg(F.collect_set("pos").alias("__gone"))
