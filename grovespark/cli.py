@@ -1,4 +1,8 @@
-"""Commands: ``python -m grovespark.cli scan | hash | diff | dry-run | sync | generate | benchmark-hash | --version``."""
+"""Commands: ``python -m grovespark.cli scan | hash | diff | dry-run | sync | generate | incremental | benchmark-... | --version``.
+
+``--config FILE`` (JSON or YAML, any number) gives defaults for a command's options
+in a section named after it; what stands on the command line wins.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +16,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovespark.config import Config
 from grovespark.functions.hashing import ALGORITHMS, block_count, block_hashes, content_hash, parse_algorithm
 from grovespark.operators.diff import diff, diff_csv, diff_summary, folder_diff
-from grovespark.operators.inventory import ScanRun, folder_totals, inventory, scan_statistics, subtree
+from grovespark.operators.inventory import ScanRun, folder_totals, inventory, read_totals, scan_statistics, size_capped, subtree
 from grovespark.operators.sync import SyncConfig, sync
-from grovespark.sources.filetree import file_contents, file_tree
+from grovespark.sources.filetree import file_contents, file_tree, open_probe
 from grovespark.sources.generate import generated_buffers, generated_files, generated_folders
 from grovespark.sources.scanfiles import read_scan_csv, summary_line, write_inventory
 from grovespark.streaming.incremental import changed_since
@@ -27,6 +32,7 @@ VERSION = "0.1.0"
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="grovespark")
     top.add_argument("--version", action="version", version=VERSION)
+    top.add_argument("--config", action="append", default=[])
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, *aliases: str) -> argparse.ArgumentParser:
@@ -78,9 +84,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", required=True)
     p = command("benchmark-hash", "hash-speed")
     p.add_argument("--algorithm", choices=sorted(ALGORITHMS), default="xxh64")
-    p.add_argument("--buffers", type=int, default=64)
-    p.add_argument("--bytes", type=int, default=1024 * 1024)
     p.add_argument("--minimum-gb-per-second", type=float, default=0.0)
+    buffers = [p, command("benchmark-transport", "transport-speed")]
+    for p in buffers:
+        p.add_argument("--buffers", type=int, default=64)
+        p.add_argument("--bytes", type=int, default=1024 * 1024)
+        p.add_argument("--kind", default="zero")
+        p.add_argument("--compression-ratio", type=float, default=1.0)
+    p = command("benchmark-fake-diff")
+    p.add_argument("--files", type=int, default=1000)
+    p.add_argument("--folders", type=int, default=20)
+    for name in ("benchmark-meta", "benchmark-data", "benchmark-open", "benchmark-data-hash"):
+        p = command(name)
+        p.add_argument("root")
+        p.add_argument("--max-file-size", type=int, default=0)
+        p.add_argument("--algorithm", default="xxh64")
     return top
 
 
@@ -150,7 +168,13 @@ def do_diff(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    top = parser()
+    args = top.parse_args(argv)
+    if args.config:
+        given = Config.load(args.config).section("defaults", args.command)
+        chosen = next(a for a in top._actions if isinstance(a, argparse._SubParsersAction)).choices[args.command]
+        chosen.set_defaults(**{k.replace("-", "_"): v for k, v in given.items()})
+        args = top.parse_args(argv)
     spark = spark or SparkSession.builder.appName("grovespark").getOrCreate()
     if args.command in ("scan", "hash"):
         return do_scan(spark, args)
@@ -174,12 +198,44 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         changed = changed_since(rows, spark.read.parquet(args.previous).where(F.col("record_type") == "file"))
         write_inventory(inventory(changed, run=scan_run(args.root, {"command": "incremental"})), args.output)
         return 0
+    return do_benchmark(spark, args)
+
+
+def noop(rows: DataFrame) -> None:
+    rows.write.format("noop").mode("overwrite").save()
+
+
+def do_benchmark(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Rates of one step each, with what it makes thrown away."""
     began = time.time()
-    data = generated_buffers(spark, args.buffers, args.bytes)
-    data.select(content_hash(F.col("data"), args.algorithm)).write.format("noop").mode("overwrite").save()
-    rate = args.buffers * args.bytes / 1e9 / max(1e-9, time.time() - began)
-    print(f"benchmark-hash algorithm={args.algorithm} gb_per_second={rate:.3f}")
-    return 2 if rate < args.minimum_gb_per_second else 0
+    if args.command in ("benchmark-hash", "hash-speed", "benchmark-transport", "transport-speed"):
+        data = generated_buffers(spark, args.buffers, args.bytes, args.kind, ratio=args.compression_ratio)
+        hashing = args.command in ("benchmark-hash", "hash-speed")
+        noop(data.select(content_hash(F.col("data"), args.algorithm)) if hashing else data.repartition("id"))
+        rate = args.buffers * args.bytes / 1e9 / max(1e-9, time.time() - began)
+        print(f"{args.command} buffers={args.buffers} gb_per_second={rate:.3f}")
+        return 2 if hashing and rate < args.minimum_gb_per_second else 0
+    if args.command == "benchmark-fake-diff":
+        rows = generated_files(spark, args.files, args.folders)
+        said = diff_summary(diff(rows, rows))
+    else:
+        files = size_capped(scanned(spark, args.root, True)[0], args.max_file_size)
+        if args.command == "benchmark-meta":
+            said = scan_statistics(files, unique_folders=True)
+        elif args.command == "benchmark-open":
+            said = open_probe(files, args.root).agg(
+                F.count_if("opened").alias("files_opened"), F.count_if(~F.col("opened")).alias("files_failed"), F.max("latency_ns").alias("max_latency_ns")
+            )
+        else:
+            contents = file_contents(spark, args.root)
+            if args.command == "benchmark-data-hash":
+                noop(contents.select(content_hash(F.col("content"), args.algorithm)))
+            # Asks for the bytes, not only for their number.
+            read = contents.select("rel_path", F.octet_length("content").alias("length"))
+            said = read_totals(files, read)
+    row = said.first()
+    print(f"{summary_line(row, args.command)} seconds={time.time() - began:.3f}")
+    return 2 if row.asDict().get("files_failed") else 0
 
 
 if __name__ == "__main__":

@@ -15,34 +15,42 @@ PACK_HEADER, PACK_ENTRY, PACK_BYTES = 24, 64, 1024 * 1024
 MAX_PATH_BYTES = 3552
 
 
-def chunk_plan(size: Column, threshold: int, chunk: int) -> Column:
-    """An array of (chunk_index, data_offset, data_len, is_small, is_last): a small file and an empty one have one chunk."""
+def chunk_plan(size: Column, threshold: int, chunk: int, body: Column | None = None) -> Column:
+    """An array of (chunk_index, data_offset, data_len, is_small, is_last) and, with ``body``, data.
+
+    A small file and an empty one have one chunk.
+    """
     step = F.when(size <= threshold, F.lit(threshold)).otherwise(F.lit(chunk)).cast("long")
     n = F.greatest(F.ceil(size / step), F.lit(1)).cast("long")
-    return F.transform(
-        F.sequence(F.lit(0).cast("long"), n - 1),
-        lambda i: F.struct(
+
+    def one(i: Column) -> Column:
+        length = F.least(step, size - i * step).cast("long")
+        fields = [
             i.alias("chunk_index"),
             (i * step).alias("data_offset"),
-            F.least(step, size - i * step).cast("long").alias("data_len"),
+            length.alias("data_len"),
             (size <= threshold).alias("is_small"),
             (i == n - 1).alias("is_last"),
-        ),
-    )
+        ]
+        if body is not None:
+            fields.append(F.substring(body, (i * step + 1).cast("int"), length.cast("int")).alias("data"))
+        return F.struct(*fields)
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one)
 
 
 def chunks(
     files: DataFrame, id_col: str = "file_id", content: str = "content", threshold: int = SMALL_FILE_THRESHOLD, chunk: int = LARGE_CHUNK_BYTES
 ) -> DataFrame:
-    """One row a chunk: the id, file_size, the plan's columns and ``data``. A null content is empty."""
+    """One row a chunk: the id, file_size, the plan's columns and ``data``. A null content is empty.
+
+    A file is cut up before its rows are made, so that none of them carries the whole.
+    """
     if threshold <= 0 or chunk <= 0:
         raise ValueError("threshold and chunk size must be positive")
     body = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
     size = F.octet_length(body).cast("long")
-    rows = files.select(id_col, body.alias("__body"), size.alias("file_size"))
-    rows = rows.select("*", F.inline(chunk_plan(F.col("file_size"), threshold, chunk)))
-    data = F.substring("__body", (F.col("data_offset") + 1).cast("int"), F.col("data_len").cast("int"))
-    return rows.withColumn("data", data).drop("__body")
+    return files.select(id_col, size.alias("file_size"), F.inline(chunk_plan(size, threshold, chunk, body)))
 
 
 def completion(rows: DataFrame, id_col: str = "file_id") -> DataFrame:
@@ -56,9 +64,8 @@ def completion(rows: DataFrame, id_col: str = "file_id") -> DataFrame:
 
 def reassembled(rows: DataFrame, id_col: str = "file_id") -> DataFrame:
     """(id, content) of chunks in any order. A file's bytes must fit one row, as they did before."""
-    parts = F.sort_array(F.collect_list(F.struct("data_offset", "data")))
-    joined = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["data"]))
-    return rows.groupBy(id_col).agg(joined.alias("content"))
+    joined = F.expr("listagg(data) WITHIN GROUP (ORDER BY data_offset)")
+    return rows.groupBy(id_col).agg(F.coalesce(joined, F.lit(b"")).alias("content"))
 
 
 def last_chunk_rows(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from grovespark.functions.hashing import with_identity
@@ -195,3 +195,41 @@ def rolling_rate(rows: DataFrame, key: str, second: str, seconds: int = 60) -> D
     each = rows.groupBy(key, second).agg(F.count(F.lit(1)).alias("n"))
     window = Window.partitionBy(key).orderBy(second).rangeBetween(-(seconds - 1), 0)
     return each.withColumn("rate", F.sum("n").over(window) / F.lit(float(seconds)))
+
+
+def read_totals(files: DataFrame, contents: DataFrame, threshold: int = SMALL_FILE_THRESHOLD) -> DataFrame:
+    """One row: what was found and what was read, in all and by class of size. A file that is missing or has fewer bytes than declared failed.
+
+    ``files``: (rel_path, size); ``contents``: (rel_path, length).
+    """
+    got = contents.select(F.col("rel_path").alias("__path"), F.col("length").cast("long").alias("__length"))
+    rows = files.join(got, F.col("rel_path") == F.col("__path"), "left")
+    small, good = F.col("size") <= threshold, F.coalesce(F.col("__length") >= F.col("size"), F.lit(False))
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("long")
+
+    return rows.agg(
+        F.count(F.lit(1)).alias("files_found"),
+        F.count_if(good).alias("files_read"),
+        F.count_if(~good).alias("files_failed"),
+        total(F.col("size")).alias("logical_size_bytes"),
+        total(F.when(good, F.col("__length"))).alias("bytes_read"),
+        F.count_if(small).alias("small_files_found"),
+        F.count_if(~small).alias("large_files_found"),
+        F.count_if(small & good).alias("small_files_read"),
+        F.count_if(~small & good).alias("large_files_read"),
+        total(F.when(small & good, F.col("__length"))).alias("small_bytes_read"),
+        total(F.when(~small & good, F.col("__length"))).alias("large_bytes_read"),
+    )
+
+
+def watched(rows: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """``rows`` and running totals of what passes when they are used: no pass of their own."""
+    seen = Observation(name)
+    is_file = F.col("record_type") == "file"
+    totals = rows.observe(
+        seen, F.count(F.lit(1)).alias("accepted"), F.count_if(is_file).alias("files"),
+        F.coalesce(F.sum(F.when(is_file, F.col("size"))), F.lit(0)).cast("long").alias("logical_size_bytes"),
+    )
+    return totals, seen

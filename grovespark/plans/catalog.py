@@ -327,6 +327,21 @@ def small_large_totals(spark, d):
     return I.size_class_totals(V.documents(spark, d), 4096)
 
 
+READ_SQL = f"""WITH {V.DOCUMENTS_SQL}, c AS (SELECT *, size <= 4096 AS small, CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 23 = 0 THEN size - 1 ELSE size END AS n FROM doc_files),
+    g AS (SELECT *, coalesce(n >= size, false) AS good FROM c)
+    SELECT count(*) AS files_found, count(*) FILTER (good) AS files_read, count(*) FILTER (NOT good) AS files_failed, CAST(sum(size) AS BIGINT) AS logical_size_bytes,
+      CAST(coalesce(sum(n) FILTER (good), 0) AS BIGINT) AS bytes_read, count(*) FILTER (small) AS small_files_found, count(*) FILTER (NOT small) AS large_files_found,
+      count(*) FILTER (small AND good) AS small_files_read, count(*) FILTER (NOT small AND good) AS large_files_read,
+      CAST(coalesce(sum(n) FILTER (small AND good), 0) AS BIGINT) AS small_bytes_read, CAST(coalesce(sum(n) FILTER (NOT small AND good), 0) AS BIGINT) AS large_bytes_read FROM g"""
+
+
+@query(READ_SQL)
+def read_totals(spark, d):
+    files = V.documents(spark, d)
+    got = files.where(F.col("doc_id") % 19 != 0).select("rel_path", (F.col("size") - F.when(F.col("doc_id") % 23 == 0, 1).otherwise(0)).alias("length"))
+    return I.read_totals(files, got, 4096)
+
+
 @query(f"WITH {V.DOCUMENTS_SQL} SELECT folder AS folder_path, name AS base_name, size FROM doc_files")
 def child_rows(spark, d):
     return I.children(V.documents(spark, d).select("rel_path", "size"))

@@ -7,6 +7,7 @@ import stat
 import time
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThanOrEqual
 from pyspark.sql.types import StructType
@@ -154,3 +155,25 @@ def file_contents(spark: SparkSession, root: str) -> DataFrame:
     top = os.path.normpath(root.removeprefix("file://"))
     path = F.regexp_replace("path", "^file:/*", "/")
     return rows.select(F.substring(path, len(top) + 2, 4096).alias("rel_path"), "content", "length")
+
+
+def open_probe(files: DataFrame, root: str) -> DataFrame:
+    """(rel_path, opened, latency_ns, error): each file is opened and closed, and nothing read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                began, error = time.perf_counter_ns(), None
+                try:
+                    os.close(os.open(os.path.join(root, name), os.O_RDONLY))
+                except OSError as e:
+                    error = str(e)
+                out.append((name, error is None, time.perf_counter_ns() - began, error))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rel_path", "opened", "latency_ns", "error"]
+            )
+
+    return files.select("rel_path").mapInArrow(run, "rel_path string, opened boolean, latency_ns long, error string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def changed_since(scan: DataFrame, previous: DataFrame) -> DataFrame:
@@ -28,6 +28,15 @@ def write_batches(scan: DataFrame, path: str, checkpoint: str) -> DataStreamWrit
     return scan.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def stop_after(query: StreamingQuery, seconds: float) -> dict | None:
+    """Let a stream run for a time, end with a whole batch, and return its last progress."""
+    query.awaitTermination(seconds)
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()
+    return query.lastProgress
+
+
 def file_states(events: DataFrame, role: str = "sender") -> DataFrame:
     """(rel_path, state, moves, invalid): each file's last state and how many moves were not allowed.
 

@@ -258,7 +258,50 @@ def test_commands(spark, root, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "i.parquet")).count() == 0
     code, said = run(spark, capsys, "generate", str(tmp_path / "g.parquet"), "--files", "20", "--folders", "4")
     assert said["records"] == "24" and spark.read.parquet(str(tmp_path / "g.parquet")).count() == 24
+    assert run(spark, capsys, "benchmark-meta", root)[1]["files_found"] == "3"
+    assert run(spark, capsys, "benchmark-data", root)[1]["bytes_read"] == "14"
+    assert run(spark, capsys, "benchmark-data-hash", root, "--max-file-size", "4")[1]["files_read"] == "1"
+    assert run(spark, capsys, "benchmark-open", root)[1]["files_opened"] == "3"
+    assert run(spark, capsys, "benchmark-fake-diff", "--files", "1000", "--folders", "20")[1]["files_same"] == "1000"
+    assert "gb_per_second" in run(spark, capsys, "benchmark-transport", "--buffers", "2", "--bytes", "1000")[1]
+    settings = tmp_path / "c.json"
+    settings.write_text('{"defaults": {"folders": 3}, "benchmark-fake-diff": {"files": 30}}')
+    assert run(spark, capsys, "--config", str(settings), "benchmark-fake-diff")[1]["files_total"] == "30"
+    assert run(spark, capsys, "--config", str(settings), "benchmark-fake-diff", "--files", "7")[1]["files_total"] == "7"
     assert cli.main(["benchmark-hash", "--buffers", "2", "--bytes", "1000", "--minimum-gb-per-second", "1e9"], spark) == 2
     for bad in (["diff", "--source", root], ["diff", "--source", root, "--target", copy, "--source-scan", out], ["diff", "--source", root, "--target", copy, "--summary-only", "--output", "x"]):
         with pytest.raises(SystemExit):
             cli.main(bad, spark)
+
+
+def test_config(tmp_path):
+    from grovespark.config import Config
+
+    one, two = tmp_path / "one.json", tmp_path / "two.json"
+    one.write_text('{"defaults": {"depth": 1, "x": {"a": 1, "b": 2}}, "job": {"depth": 5}}')
+    two.write_text('{"defaults": {"x": {"b": 3}}}')
+    config = Config.load([str(one), str(two)], {"job": {"depth": 9}})
+    assert config.section("defaults", "job") == {"depth": 9, "x": {"a": 1, "b": 3}}
+    assert config.section("none") == {} and config.section("defaults.x") == {"a": 1, "b": 3}
+    (tmp_path / "bad.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        Config.load([str(tmp_path / "bad.json")])
+
+
+def test_watched_totals_and_probe(spark, root):
+    from grovespark.operators.inventory import watched
+
+    rows, seen = watched(filetree.file_tree(spark, root))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"accepted": 7, "files": 3, "logical_size_bytes": 14}
+    some = spark.createDataFrame([("alpha.txt",), ("gone",)], "rel_path string")
+    got = {r["rel_path"]: r for r in filetree.open_probe(some, root).collect()}
+    assert got["alpha.txt"]["opened"] and not got["gone"]["opened"] and got["gone"]["error"]
+
+
+def test_a_stream_that_is_stopped(spark, tmp_path):
+    spark.range(10).withColumnRenamed("id", "n").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("n long").parquet(str(tmp_path / "in"))
+    query = incremental.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "state")).start()
+    incremental.stop_after(query, 1)
+    assert not query.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 10
