@@ -116,41 +116,34 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = further
 
 
-def distances(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers of ``a`` and ``b`` (rows, words) that differ in ``radius`` bits at most."""
-    first = min(2, a.shape[1])
-    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+#: Words that are compared for all pairs of a tile pair; further ones only for pairs that these leave over.
+FIRST_WORDS = 4
+
+
+def distances(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of row numbers of ``a`` and ``b`` (rows, words) that differ in ``radius`` bits at most, and in how many."""
+    first = min(FIRST_WORDS, a.shape[1])
+    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint16 if first > 3 else np.uint8)
     for w in range(1, first):
         d += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
     i, j = np.nonzero(d <= radius)
+    far = d[i, j].astype(np.int64)
     if a.shape[1] > first:
-        rest = d[i, j].astype(np.int64)
         for w in range(first, a.shape[1]):
-            rest += np.bitwise_count(a[i, w] ^ b[j, w])
-        i, j = i[rest <= radius], j[rest <= radius]
-    return i, j
-
-
-def compare_tiles(
-    labels: np.ndarray,
-    f: np.ndarray,
-    left: np.ndarray,
-    right: np.ndarray | None,
-    radius: int,
-    sizes: np.ndarray | None = None,
-    ratio: float = 0.0,
-) -> None:
-    """Merge the labels of linked rows of two tiles, or, without ``right``, of one."""
+            far += np.bitwise_count(a[i, w] ^ b[j, w])
+        near = far <= radius
+        i, j, far = i[near], j[near], far[near]
+    return i, j, far
+
+
+def tile_pairs(f: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, distance) of linked rows of two tiles, or, without ``right``, of one; a block of rows at a time."""
     step = max(1, (1 << 19) // max(1, len(left if right is None else right)))
     for at in range(0, len(left), step):
         rows = left[at : at + step]
         cols = left[at:] if right is None else right
-        i, j = distances(f[rows], f[cols], radius)
-        if sizes is not None:
-            a, b = sizes[rows[i]], sizes[cols[j]]
-            near = np.minimum(a, b) >= ratio * np.maximum(a, b)
-            i, j = i[near], j[near]
-        merge(labels, rows[i], cols[j])
+        i, j, d = distances(f[rows], f[cols], radius)
+        yield rows[i], cols[j], d
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -171,6 +164,13 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
         yield np.array([0, len(carry[0])]), carry
 
 
+def tile_sides(rows: np.ndarray, kinds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """What a task compares: side 2 with itself, side 0 with side 1."""
+    sides = [rows[kinds == k] for k in range(3)]
+    out = [(sides[2], None)] if len(sides[2]) else []
+    return out + ([(sides[0], sides[1])] if len(sides[0]) and len(sides[1]) else [])
+
+
 #: Groups up to this size are compared together, at growing distances in the sorted column.
 SMALL = 48
 
@@ -196,10 +196,9 @@ def bucket_links(radius: int):
             for k in np.flatnonzero(sizes > SMALL):
                 rows = np.arange(starts[k], starts[k + 1])
                 kinds = side[rows]
-                if (own := rows[kinds == 2]).size:
-                    compare_tiles(labels, f, own, None, radius)
-                if (a := rows[kinds == 0]).size and (b := rows[kinds == 1]).size:
-                    compare_tiles(labels, f, a, b, radius)
+                for tiles in tile_sides(rows, kinds):
+                    for a, b, _ in tile_pairs(f, *tiles, radius):
+                        merge(labels, a, b)
             linked = np.flatnonzero(labels != np.arange(len(f)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(value[linked]), pa.array(value[labels[linked]])], names=["a", "b"])
@@ -282,14 +281,30 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Near-duplicates at a similarity: a wide radius, tiles by number of shingles ---
 
-WORDS = 4
+WORDS = 8
 WIDE_TILE = 32768
+#: How far below the wanted similarity an estimate may lie, in its own standard deviations.
+SPREAD = 1.5
+
+
+def estimated(far: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int = 64 * WORDS) -> np.ndarray:
+    """Jaccard similarity of sets of these sizes whose fingerprints differ in ``far`` bits.
+
+    The angle between the sets, as vectors, is the part of bits that differ, times
+    pi; the angle's cosine is their common part over the mean of their sizes. The
+    common part is at most the smaller set.
+    """
+    common = np.cos(np.pi * np.minimum(far / bits, 0.5)) * np.sqrt(a * b.astype(np.float64))
+    common = np.minimum(common, np.minimum(a, b))
+    return common / np.maximum(1e-9, a + b - common)
 
 
-def radius_for(similarity: float, bits: int = 64 * WORDS, spread: float = 1.5) -> int:
-    """Bits that two sets of equal size and this Jaccard similarity differ in, and ``spread`` standard deviations."""
+def bounds(similarity: float, bits: int = 64 * WORDS, spread: float = SPREAD) -> tuple[int, float]:
+    """(bits that two sets of this similarity differ in at most, the estimate that they have at least), each but for ``spread`` deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+    far = bits * p + spread * math.sqrt(bits * p * (1 - p))
+    one = np.array([1])
+    return int(far), float(estimated(np.array([far]), one, one, bits)[0])
 
 
 def size_class(n: np.ndarray, ratio: float) -> np.ndarray:
@@ -326,15 +341,17 @@ class Tiles:
         return np.flatnonzero(near)
 
 
-def wide_links(items: DataFrame, radius: int, ratio: float, tile: int = WIDE_TILE) -> DataFrame:
-    """(a, b) links among ``items`` (node, n, f0..f3) within ``radius`` bits and ``ratio`` of size.
+def wide_links(items: DataFrame, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
+    """(a, b) links that connect all ``items`` (node, n, f0, f1, ...) whose estimated similarity reaches the bound of ``similarity``.
 
     Every pair of tiles that may hold a link is a task of its own: all rows are
     compared that sizes and population counts do not rule out.
     """
+    # Sets whose sizes differ more than ``least`` cannot have the estimate.
+    radius, least = bounds(similarity)
     pops = sum((F.bit_count(f"f{w}") for w in range(WORDS)), F.lit(0))
     n = F.col("n")
-    kind = F.when(n > 0, F.floor(F.log(n.cast("double")) / -math.log(ratio) + 1e-9).cast("long") + 1).otherwise(F.lit(0))
+    kind = F.when(n > 0, F.floor(F.log(n.cast("double")) / -math.log(least) + 1e-9).cast("long") + 1).otherwise(F.lit(0))
     items = items.withColumns({"pop": pops.cast("long"), "kind": kind})
     # At most some hundred classes of size and 257 counts.
     hist = [tuple(r) for r in items.groupBy("kind", "pop").agg(F.count(F.lit(1))).collect()]
@@ -359,11 +376,10 @@ def wide_links(items: DataFrame, radius: int, ratio: float, tile: int = WIDE_TIL
             f = np.stack([p.view(np.uint64) for p in prints], axis=1)
             labels = np.arange(len(f))
             for lo, hi in zip(starts, starts[1:], strict=False):
-                rows, kinds = np.arange(lo, hi), side[lo:hi]
-                if (own := rows[kinds == 2]).size:
-                    compare_tiles(labels, f, own, None, radius, n, ratio)
-                if (a := rows[kinds == 0]).size and (b := rows[kinds == 1]).size:
-                    compare_tiles(labels, f, a, b, radius, n, ratio)
+                for sides in tile_sides(np.arange(lo, hi), side[lo:hi]):
+                    for a, b, far in tile_pairs(f, *sides, radius):
+                        near = estimated(far, n[a], n[b]) >= least
+                        merge(labels, a[near], b[near])
             linked = np.flatnonzero(labels != np.arange(len(f)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
@@ -380,11 +396,12 @@ def near_dedup(
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest id.
 
-    Documents are linked if the distance of their 256-bit fingerprints, over the
-    sets of their ``shingle``-word shingles, is that of sets of this Jaccard
-    similarity (and one and a half standard deviations), and their numbers of shingles allow
-    it. Groups are the connected components. ``docs`` must read alike twice: a
-    table, or the output of ``cut_lineage``.
+    Documents are linked if the Jaccard similarity of their sets of
+    ``shingle``-word shingles, as estimated from the distance of their 512-bit
+    fingerprints and from the sets' sizes, is ``similarity`` or up to one and a
+    half standard deviations of the estimate below. Groups are the connected
+    components. ``docs`` must read alike twice: a table, or the output of
+    ``cut_lineage``.
 
     Equal fingerprints of equal size are grouped first. Null, empty and blank
     texts are one group. Rows with a null id are kept only if their group has no
@@ -400,7 +417,7 @@ def near_dedup(
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row"))
     items = sig.groupBy("n", *prints).agg(best.alias("best"))
     items = cut_lineage(items.withColumn("node", F.col("best.row")))
-    roots = components(wide_links(items.select("node", "n", *prints), radius_for(similarity), similarity))
+    roots = components(wide_links(items.select("node", "n", *prints), similarity))
     named = items.select("node", "best", "n", *prints).join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     keep = named.groupBy("root").agg(F.min("best").alias("kept")).select(F.col("root").alias("kept_root"), F.col("kept.row").alias("kept_row"))

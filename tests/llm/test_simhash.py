@@ -11,7 +11,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from grovespark.llm.components import components
-from grovespark.llm.simhash import WORDS, Tiles, fingerprint_links, near_dedup, simhash_components, size_class, wide_links
+from grovespark.llm.simhash import (
+    WORDS, Tiles, bounds, estimated, fingerprint_links, fingerprints, near_dedup, simhash_components, size_class, wide_links,
+)
 
 
 def brute_print(text, size=3):
@@ -131,8 +133,8 @@ def test_wide_links_as_brute_force(spark, tile):
     prints, sizes = [], []
     for c in base:
         for _ in range(12):
-            flip = np.zeros(256, dtype=np.uint8)
-            flip[rng.choice(256, rng.integers(0, 60), replace=False)] = 1
+            flip = np.zeros(64 * WORDS, dtype=np.uint8)
+            flip[rng.choice(64 * WORDS, rng.integers(0, 30 * WORDS // 2), replace=False)] = 1
             prints.append(c ^ np.packbits(flip).view(np.uint64))
             sizes.append(int(rng.integers(1, 200)))
     f = np.array(prints)
@@ -140,14 +142,34 @@ def test_wide_links_as_brute_force(spark, tile):
         [(i, n, *map(int, p.view(np.int64))) for i, (n, p) in enumerate(zip(sizes, f, strict=True))],
         "node long, n long, " + ", ".join(f"f{w} long" for w in range(WORDS)),
     )
-    links = [tuple(r) for r in wide_links(frame, 44, 0.8, tile).collect()]
-    d = np.bitwise_count(f[:, None] ^ f[None, :]).sum(2)
+    links = [tuple(r) for r in wide_links(frame, 0.8, tile).collect()]
+    radius, least = bounds(0.8)
     s = np.array(sizes)
-    near = np.argwhere((d <= 44) & (np.minimum(s[:, None], s) >= 0.8 * np.maximum(s[:, None], s)))
-    want, got = roots_of(len(f), near), roots_of(len(f), links)
+    pairs = []
+    for i in range(len(f)):
+        for j in range(i):
+            far = sum(bin(int(x)).count("1") for x in f[i] ^ f[j])
+            common = min(np.cos(np.pi * min(far / (64 * WORDS), 0.5)) * (s[i] * s[j]) ** 0.5, s[i], s[j])
+            if far <= radius and common / (s[i] + s[j] - common) >= least:
+                pairs.append((i, j))
+    want, got = roots_of(len(f), pairs), roots_of(len(f), links)
+    assert len(pairs) > 30
     assert len(set(want)) == len(set(got)) == len(set(zip(want, got, strict=True)))
 
 
+def test_estimates():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    for j, a, b in ((0.8, 900, 900), (0.8, 1000, 800), (0.95, 500, 500)):
+        common = round(j * (a + b) / (1 + j))
+        some = rng.permutation(pool)
+        x, y = some[:a], np.concatenate([some[:common], some[a : a + b - common]])
+        f = fingerprints([x, y], WORDS)
+        far = np.bitwise_count(f[0] ^ f[1]).sum()
+        assert abs(estimated(np.array([far]), np.array([a]), np.array([b]))[0] - j) < 0.1
+    assert bounds(0.8)[1] < 0.8 < bounds(0.8, spread=0)[1] + 0.01
+
+
 def test_size_classes_are_neighbours():
     n = np.arange(1, 3000)
     kind = size_class(n, 0.8)
