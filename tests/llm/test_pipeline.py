@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from grovespark.llm import registry
@@ -54,3 +55,16 @@ def test_stages_stand_an_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_stages_stand_awkward_rows_and_clashing_names(spark, docs):
+    names = ("row", "id", "n", "kept_row", "label", "pos", "key", "first", "task", "node", "root", "f0", "toxic", "item_id", "bench", "t1", "k1", "gone", "kept")
+    odd = docs
+    for i, name in enumerate(names):
+        odd = odd.withColumn(name, F.lit(None if i % 5 == 0 else str(i)).cast("string"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF).cache()
+        assert out.columns == odd.columns, name
+        assert 0 < out.count() <= odd.count(), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
+    assert packed.where("doc_id = 3").count() == 1
