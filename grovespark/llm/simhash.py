@@ -341,6 +341,35 @@ class Tiles:
         return np.flatnonzero(near)
 
 
+def tile_tasks(items: DataFrame, tiles: Tiles, columns: list[str], radius: int) -> DataFrame:
+    """(task, side, ``columns``) sorted by task: each row of ``items`` once for every tile that its own is compared with.
+
+    ``items`` has ``columns``, of which the first is a long that tells rows apart,
+    and kind and pop, which tell the tile.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = [tiles.partners(t, radius) for t in range(len(tiles.kind))]
+        for batch in batches:
+            node, pop, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, len(columns), len(columns) + 1))
+            places = [tiles.first[k] for k in zip(kind.tolist(), pop.tolist(), strict=True)]
+            first, parts = (np.array(x) for x in zip(*places, strict=True))
+            mine = first + (node.astype(np.int64) & 0x7FFFFFFFFFFFFFFF) % parts
+            for t in np.unique(mine):
+                some = batch.take(pa.array(np.flatnonzero(mine == t)))
+                for other in near[t]:
+                    a, b = min(t, other), max(t, other)
+                    task = np.full(some.num_rows, a * len(tiles.kind) + b)
+                    side = np.full(some.num_rows, 2 if a == b else 0 if t == a else 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(task), pa.array(side), *some.columns[: len(columns)]], names=["task", "side", *columns]
+                    )
+
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in columns)
+    rows = items.select(*columns, F.col("pop").cast("long"), F.col("kind").cast("long")).mapInArrow(spread, f"task long, side long, {kinds}")
+    return rows.repartition("task").sortWithinPartitions("task")
+
+
 def wide_links(items: DataFrame, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
     """(a, b) links that connect all ``items`` (node, n, f0, f1, ...) whose estimated similarity reaches the bound of ``similarity``.
 
@@ -357,20 +386,6 @@ def wide_links(items: DataFrame, similarity: float, tile: int = WIDE_TILE) -> Da
     hist = [tuple(r) for r in items.groupBy("kind", "pop").agg(F.count(F.lit(1))).collect()]
     tiles = Tiles(hist, tile)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = [tiles.partners(t, radius) for t in range(len(tiles.kind))]
-        for batch in batches:
-            node, _, f0, *_, pop, kind = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            first, parts = (np.array(x) for x in zip(*(tiles.first[k] for k in zip(kind.tolist(), pop.tolist(), strict=True)), strict=True))
-            mine = first + (node.astype(np.int64) & 0x7FFFFFFFFFFFFFFF) % parts
-            for t in np.unique(mine):
-                some = batch.take(pa.array(np.flatnonzero(mine == t)))
-                for other in near[t]:
-                    a, b = min(t, other), max(t, other)
-                    task = np.full(some.num_rows, a * len(tiles.kind) + b)
-                    side = np.full(some.num_rows, 2 if a == b else 0 if t == a else 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(side), *some.columns[: 2 + WORDS]], names=names)
-
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, (_, side, node, n, *prints) in groups_of(batches):
             f = np.stack([p.view(np.uint64) for p in prints], axis=1)
@@ -384,11 +399,9 @@ def wide_links(items: DataFrame, similarity: float, tile: int = WIDE_TILE) -> Da
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
 
-    names = ["task", "side", "node", "n", *(f"f{w}" for w in range(WORDS))]
-    tasks = items.select("node", "n", *(f"f{w}" for w in range(WORDS)), "pop", "kind").mapInArrow(
-        spread, ", ".join(f"{x} long" for x in names)
-    )
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(link, "a long, b long")
+    columns = ["node", "n", *(f"f{w}" for w in range(WORDS))]
+    tasks = tile_tasks(items, tiles, columns, radius)
+    return tasks.mapInArrow(link, "a long, b long")
 
 
 def near_dedup(

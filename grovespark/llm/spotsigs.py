@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.common import table
+from grovespark.llm.common import cut_lineage, table
+from grovespark.llm.components import components
 from grovespark.llm.decontam import words_of
+from grovespark.llm.simhash import Tiles, groups_of, merge, tile_sides, tile_tasks
 
 #: Common words of the corpus's languages: the anchors.
 ANCHORS = frozenset(
@@ -28,6 +30,8 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain, and how many content words on the next one lies.
 CHAIN, DISTANCE = 2, 1
+#: After so many content words without an anchor the last of them is one: lists and other languages have few common words.
+GAP = 6
 #: Ranges of ids at most; each is one task of the shuffle.
 MAX_PARTS = 20_000
 #: Sets whose sizes differ more than this ratio allows lie in partitions that are not neighbours.
@@ -37,25 +41,31 @@ PARTITION_RATIO = 0.8
 def signatures(text: str | None, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarray:
     """The set of a text's spot signatures: sorted 32-bit hashes.
 
-    A text with words but no anchor that a content word follows has one
-    signature, made of all its words; a text without words has none.
+    Where no anchor has a content word after it, each word is an anchor; a lone
+    word is its own signature. A text without words has none.
     """
     import xxhash
 
     words = words_of(text)
     content: list[bytes] = []
     spots: list[tuple[bytes, int]] = []
+    since = 0
     for word in words:
         if word in ANCHORS:
             spots.append((word, len(content)))
+            since = 0
         else:
             content.append(word)
+            since += 1
+            if since == GAP:
+                spots.append((word, len(content)))
+                since = 0
     reach, n = (chain - 1) * distance + 1, len(content)
     found = {
         b"%b:%b" % (anchor, b" ".join(content[at : at + reach : distance])) for anchor, at in spots if at < n
     }
     if not found and words:
-        found = {b" ".join(words)}
+        found = {b"%b:%b" % (w, b" ".join(words[i + 1 : i + 1 + chain])) for i, w in enumerate(words[:-1])} or {words[0]}
     out = np.fromiter(map(xxhash.xxh32_intdigest, found), dtype="<u4", count=len(found))
     return np.unique(out)
 
@@ -138,6 +148,89 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+#: Sets in one tile at most, and bits of the maps that rule pairs out before sets are compared.
+TILE, MAP_BITS = 8192, 512
+#: Differences of length don't rule tiles out beside their partitions.
+ANY_LENGTH = 1 << 40
+
+
+def bit_map(found: np.ndarray) -> np.ndarray:
+    """A bit for each signature; two maps differ in no more bits than the sets differ in signatures."""
+    bits = np.zeros(MAP_BITS, dtype=np.uint8)
+    bits[found % MAP_BITS] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def alike_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, least: float, labels: np.ndarray) -> None:
+    """Merge the labels of sets of this likeness or more. Pairs that are in one class already are not compared again."""
+    maps = np.stack([bit_map(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    step = max(1, (1 << 18) // max(1, len(left if right is None else right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        cols = left[at:] if right is None else right
+        far = np.zeros((len(rows), len(cols)), dtype=np.uint16)
+        for w in range(maps.shape[1]):
+            far += np.bitwise_count(maps[rows, w][:, None] ^ maps[cols, w][None, :])
+        # Of a + b signatures, sets of this likeness differ in (1 - least) / (1 + least) parts at most.
+        i, j = np.nonzero(far <= (sizes[rows][:, None] + sizes[cols][None, :]) * ((1 - least) / (1 + least)) + 1e-9)
+        for a, b in zip(rows[i], cols[j], strict=True):
+            if labels[a] != labels[b] and likeness(sets[a], sets[b], least):
+                merge(labels, np.array([a]), np.array([b]))
+
+
+def spot_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, tile: int = TILE) -> DataFrame:
+    """(``id_col``, n_signatures, length_partition, class_id): near-duplicates by the likeness of their signatures.
+
+    Sets are laid out by length: likeness of ``least`` or more is found in a
+    partition and its neighbours alone. A large partition is cut into tiles, and
+    each pair of tiles is a task, in which maps of bits and lengths rule out
+    pairs before sets are compared; no pair of this likeness is lost. A class is
+    a connected component and has its smallest id. Equal sets are one from the
+    start.
+
+    Null and blank texts have the empty set and are one class. Null ids take
+    part; a class without another id has a null id. An empty table gives no rows.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [signatures(t.as_py()).astype("<u4") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([partition_of(len(s), least) for s in sets], pa.int64())],
+                names=["id", "sigs", "n", "kind"],
+            )
+
+    rows = cut_lineage(docs.select(id_col, text_col).mapInArrow(found, f"id {kind}, sigs binary, n long, kind long"))
+    items = rows.groupBy("sigs").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("kind").alias("kind"))
+    items = cut_lineage(items.withColumn("node", F.monotonically_increasing_id()))
+    hist = [tuple(r) for r in items.groupBy("kind", "n").agg(F.count(F.lit(1))).collect()]
+    tiles = Tiles(hist, tile)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, (_, side, node, sigs) in groups_of(batches):
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                sets = [np.frombuffer(s, dtype="<u4") for s in sigs[lo:hi]]
+                labels = np.arange(hi - lo)
+                for left, right in tile_sides(np.arange(hi - lo), side[lo:hi]):
+                    alike_pairs(sets, left, right, least, labels)
+                linked = np.flatnonzero(labels != np.arange(hi - lo))
+                if len(linked):
+                    names = node[lo:hi]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[labels[linked]])], names=["a", "b"])
+
+    tasks = tile_tasks(items.withColumn("pop", F.col("n")), tiles, ["node", "sigs"], ANY_LENGTH)
+    roots = components(tasks.mapInArrow(link, "a long, b long"))
+    named = items.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    classes = named.join(low, "root").select("sigs", "class_id")
+    return rows.join(classes, "sigs").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_signatures"), F.col("kind").alias("length_partition"), "class_id"
+    )
+
+
 FIELDS = [
     ("n_chars", pa.int64(), T.LongType()),
     ("edited_sha256", pa.string(), T.StringType()),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovespark.llm.langid import UNKNOWN, Filters, add_languages, grams, train
-from grovespark.llm.spotsigs import decoded, edited_text, encoded, likeness, partition_of, signatures, spot_fingerprints
+from grovespark.llm.spotsigs import decoded, edited_text, encoded, likeness, partition_of, signatures, spot_classes, spot_fingerprints
 
 
 def jaccard(a, b):
@@ -41,10 +41,13 @@ def test_fingerprints_as_brute_force(spark, docs, rows, parts):
 
 def test_no_documents(no_docs):
     assert spot_fingerprints(no_docs).count() == 0
+    assert spot_classes(no_docs).count() == 0
 
 
 def test_signatures():
     assert signatures(None).size == signatures("").size == signatures("!!").size == 0
+    assert signatures("word").size == 1 and signatures("the the").size == 1 and signatures("one two three four").size == 3
+    assert signatures(" ".join(f"w{i}" for i in range(60))).size == 9
     assert signatures("lone words").size == 1 and signatures("Lone, WORDS!").tolist() == signatures("lone words").tolist()
     assert signatures("the red fox and the blue fox of the").size == 3
     a, b = signatures("the red fox and the blue fox"), signatures("the red fox and the green fox")
@@ -60,6 +63,42 @@ def test_partitions_bound_likeness():
             assert partition_of(m) - partition_of(n) <= 1
 
 
+@pytest.mark.parametrize("tile", [8192, 5])
+def test_classes_as_brute_force(spark, docs, rows, tile):
+    rng = random.Random(6)
+    more = []
+    for g in range(8):
+        base = [rng.choice(["the", "of", "and", f"w{rng.randint(0, 400)}", f"v{rng.randint(0, 400)}"]) for _ in range(300)]
+        for c in range(6):
+            copy = list(base)
+            for _ in range(8 * c):
+                copy[rng.randrange(300)] = f"x{rng.randint(0, 99)}"
+            more.append((500 + 10 * g + c, " ".join(copy), "en", "a", 1))
+    every = [*rows, *more]
+    frame = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({"n": F.lit(1), "kind": F.lit(2), "node": F.lit(3)})
+    got = [(r["doc_id"], r["class_id"]) for r in spot_classes(frame, tile=tile).collect()]
+    sets = [signatures(r[1]) for r in every]
+    parent = list(range(len(every)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(every)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                parent[root(i)] = root(j)
+    low = {}
+    for i, r in enumerate(every):
+        if r[0] is not None:
+            low[root(i)] = min(low.get(root(i), r[0]), r[0])
+    want = [(r[0], low.get(root(i))) for i, r in enumerate(every)]
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert len({c for _, c in got if c and c >= 500}) > 8
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     rng = random.Random(2)
