@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -30,3 +32,8 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, os.path.dirname(top)))
     sc.addPyFile(archive)
     _shipped.add(sc.applicationId)
+
+
+def by_value(module: str) -> None:
+    """Pickle what a module defines with its code: planners of sources and of stateful streams don't get the shipped archive."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from grovespark.ship import by_value
+
 SCHEMA = (
     "record_type string, rel_path string, parent_path string, size long, mtime long, mode int, uid int, gid int, "
     "scan_started_unix_ns long, failed boolean, error string"
@@ -141,6 +143,7 @@ class PushingReader(TreeReader):
 
 
 def file_tree(spark: SparkSession, root: str, recursive: bool = True, partitions: int = 64) -> DataFrame:
+    by_value(__name__)
     spark.dataSource.register(FileTree)
     options = {"root": root, "recursive": str(recursive).lower(), "partitions": str(partitions)}
     options["pushdown"] = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from grovespark.ship import by_value
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What comes in: parts of a folder's listing, numbered from 0, the last one final. A part is one page of files.
 BATCH_SCHEMA = "folder string, side string, sequence long, final boolean, files array<struct<name:string,size:long,mtime:long>>"
@@ -92,6 +94,7 @@ def rendezvous(batches: DataFrame, mode: str = "time") -> DataFrame:
     Needs the RocksDB state store: set ``spark.sql.streaming.stateStore.providerClass``
     to ``STORE`` on the session that starts the query.
     """
+    by_value(__name__)
     return batches.groupBy("folder").transformWithStateInPandas(Rendezvous(mode), OUT_SCHEMA, "Append", "None")
 
 
