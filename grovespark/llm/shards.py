@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from grovespark.llm.common import ensure_checkpoint_dir, table
 from grovespark.llm.packing import CAPACITY, MAX_WASTE, TASK_BITS, sequences
 from grovespark.llm.tokens import default_vocabulary
+from grovespark.ship import by_value
 
 KEY = 0x7261696E
 #: Sequences in a shard.
@@ -29,11 +30,11 @@ PER_SHARD = 4096
 SHARDS_IN_TASK = 16
 ROUNDS = 6
 #: A record: the number of tokens, then that many 16-bit ids, then zeros up to the stride.
-HEADER = struct.Struct("<I")
+HEADER, HEADER_BYTES = "<I", 4
 
 
 def stride(capacity: int = CAPACITY) -> int:
-    return HEADER.size + 2 * capacity
+    return HEADER_BYTES + 2 * capacity
 
 
 def _round(x: np.ndarray, key: int, number: int, mask: np.uint64) -> np.ndarray:
@@ -190,7 +191,7 @@ def training_order(
 
 
 def record(tokens: bytes, capacity: int = CAPACITY) -> bytes:
-    return (HEADER.pack(len(tokens) // 2) + tokens).ljust(stride(capacity), b"\0")
+    return (struct.pack(HEADER, len(tokens) // 2) + tokens).ljust(stride(capacity), b"\0")
 
 
 class ShardSource(DataSource):
@@ -268,6 +269,7 @@ def shard_path(folder: str, shard: int) -> str:
 def write_shards(order: Order, path: str) -> None:
     """One file a shard in the shared folder ``path``, and ``index.json`` last."""
     spark = order.rows.sparkSession
+    by_value(__name__)
     spark.dataSource.register(ShardSource)
     order.rows.select("slot", "shard", "tokens").write.format("grovespark_shards").mode("append").options(
         path=path, n=order.n, per_shard=order.per_shard, capacity=order.capacity
@@ -286,8 +288,8 @@ def read_records(path: str, start: int = 0, stop: int | None = None) -> Iterator
             file.seek(place * size)
             for _ in range(min(stop - at, per_shard - place)):
                 raw = file.read(size)
-                (count,) = HEADER.unpack_from(raw)
-                yield np.frombuffer(raw, dtype="<u2", count=count, offset=HEADER.size)
+                (count,) = struct.unpack_from(HEADER, raw)
+                yield np.frombuffer(raw, dtype="<u2", count=count, offset=HEADER_BYTES)
                 at += 1
 
 
