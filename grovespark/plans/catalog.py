@@ -462,10 +462,6 @@ def signed_sql(value: str) -> str:
     return f"CAST(CASE WHEN {value} >= 9223372036854775808 THEN {value}::HUGEINT - {M64}::HUGEINT ELSE {value}::HUGEINT END AS BIGINT)"
 
 
-def split_sql(value: str) -> str:
-    return f"({value}::HUGEINT * 11400714819323198485::HUGEINT)"
-
-
 @query(
     f"""WITH a AS (SELECT o_orderkey, (o_orderkey::HUGEINT * 1000003)::UBIGINT AS x, (9223372036854775808::HUGEINT + o_custkey)::UBIGINT AS y FROM orders),
     b AS (SELECT o_orderkey, {mix_sql('x', 'y')} AS m FROM a), c AS (SELECT o_orderkey, m, {mix_sql('m', 'm')} AS mm FROM b)

@@ -18,8 +18,6 @@ SCHEMA = (
     "record_type string, rel_path string, parent_path string, size long, mtime long, mode int, uid int, gid int, "
     "scan_started_unix_ns long, failed boolean, error string"
 )
-#: Entries of a folder that are read at a time.
-PAGE = 4096
 RETRIES = 3
 
 
