@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from grovespark.ship import by_value
@@ -31,7 +31,8 @@ class Folders(InputPartition):
 class FileTree(DataSource):
     """Options: root (must be a folder that all executors see), recursive (true), partitions (64).
 
-    Regular files and folders, links followed. A folder that cannot be listed is a
+    Regular files and folders; a link is what it points to, but what lies below a
+    linked folder is not listed, so links cannot make a scan endless. A folder that cannot be listed is a
     row with ``failed`` and ``error``, and the scan goes on. Times are in
     nanoseconds, modes without type bits. The root itself is not a row.
     """
@@ -47,6 +48,9 @@ class FileTree(DataSource):
         options = dict(self.options)
         return PushingReader(options) if options.get("pushdown") == "true" else TreeReader(options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return TreeStream(dict(self.options))
+
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
@@ -72,7 +76,7 @@ class TreeReader(DataSourceReader):
                 flat.append(folder)
                 try:
                     with os.scandir(os.path.join(self.root, folder)) as entries:
-                        below += [os.path.join(folder, e.name) for e in entries if e.is_dir()]
+                        below += [os.path.join(folder, e.name) for e in entries if e.is_dir() and not e.is_symlink()]
                 except OSError:
                     pass  # the task that lists this folder reports it
             if not below or len(flat) > 8 * self.parts:
@@ -118,7 +122,7 @@ class TreeReader(DataSourceReader):
                 if stat.S_ISDIR(s.st_mode):
                     keep = self.kind in (None, "folder") and self.largest is None
                     row = ("folder", path, folder, None, s.st_mtime_ns, s.st_mode & 0o777, s.st_uid, s.st_gid, started, False, None)
-                    yield row if keep else None, path
+                    yield row if keep else None, None if entry.is_symlink() else path
                 elif stat.S_ISREG(s.st_mode):
                     keep = self.kind in (None, "file") and (self.largest is None or s.st_size <= self.largest)
                     row = ("file", path, folder, s.st_size, s.st_mtime_ns, s.st_mode & 0o777, s.st_uid, s.st_gid, started, False, None)
@@ -140,6 +144,54 @@ class PushingReader(TreeReader):
             yield f
 
 
+class TreeStream(DataSourceStreamReader):
+    """A scan as a stream: so many folders a batch (option ``folders_per_batch``, 1000), in order of their paths.
+
+    The offset is the number of folders read, so a scan that stopped goes on where
+    it was, as long as no folders came or went. The driver lists the folders'
+    names; their files are listed by the tasks.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.tree = TreeReader(options)
+        self.step = int(options.get("folders_per_batch", "1000"))
+        self.folders: list[str] | None = None
+        self.at = 0
+
+    def known(self) -> list[str]:
+        if self.folders is None:
+            found = [""]
+            for top, names, _ in os.walk(self.tree.root):
+                below = [os.path.join(top, n) for n in names]
+                found += [os.path.relpath(p, self.tree.root) for p in below if not os.path.islink(p)]
+            self.folders = sorted(found)
+        return self.folders
+
+    def initialOffset(self) -> dict:
+        return {"folders": 0}
+
+    def latestOffset(self) -> dict:
+        self.at = min(self.at + self.step, len(self.known()))
+        return {"folders": self.at}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        self.at = max(self.at, end["folders"])
+        some = self.known()[start["folders"] : end["folders"]]
+        return [Folders(some[i :: self.tree.parts], False) for i in range(min(self.tree.parts, len(some)))]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        return self.tree.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def file_tree_stream(spark: SparkSession, root: str, folders_per_batch: int = 1000) -> DataFrame:
+    by_value(__name__)
+    spark.dataSource.register(FileTree)
+    return spark.readStream.format("filetree").options(root=root, folders_per_batch=str(folders_per_batch)).load()
+
+
 def file_tree(spark: SparkSession, root: str, recursive: bool = True, partitions: int = 64) -> DataFrame:
     by_value(__name__)
     spark.dataSource.register(FileTree)

@@ -36,8 +36,9 @@ def root(tmp_path):
 def test_file_tree(spark, root, partitions):
     os.symlink(f"{root}/alpha.txt", f"{root}/link")
     os.symlink(f"{root}/nowhere", f"{root}/broken")
+    os.symlink(root, f"{root}/nested/loop")
     rows = {r["rel_path"]: r for r in filetree.file_tree(spark, root, partitions=partitions).collect()}
-    assert set(rows) == {*FILES, "link", "nested", "nested/child", "empty", "empty/child"}
+    assert set(rows) == {*FILES, "link", "nested", "nested/child", "nested/loop", "empty", "empty/child"}
     r = rows["nested/beta.txt"]
     assert (r["record_type"], r["parent_path"], r["size"], r["mtime"], r["failed"]) == ("file", "nested", 4, 1700100000111111111, False)
     assert r["mode"] == os.stat(f"{root}/nested/beta.txt").st_mode & 0o777 and rows["empty"]["size"] is None
@@ -305,3 +306,20 @@ def test_a_stream_that_is_stopped(spark, tmp_path):
     query = incremental.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "state")).start()
     incremental.stop_after(query, 1)
     assert not query.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_file_tree_as_a_stream(spark, root, tmp_path):
+    def scan():
+        stream = filetree.file_tree_stream(spark, root, 2).select("rel_path", "record_type", "size")
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query = query.option("checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        batches = len([p for p in query.recentProgress if p["numInputRows"]])
+        query.stop()
+        return batches
+
+    assert scan() > 1
+    want = sorted(r["rel_path"] for r in filetree.file_tree(spark, root).collect())
+    assert sorted(r["rel_path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    assert scan() == 0
+    assert sorted(r["rel_path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
