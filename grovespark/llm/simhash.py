@@ -283,6 +283,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = 8
 WIDE_TILE = 32768
+#: Row numbers (16 bytes each) that are sent to every task at most.
+BROADCAST_ROWS = 4_000_000
 #: How far below the wanted similarity an estimate may lie, in its own standard deviations.
 SPREAD = 1.5
 
@@ -437,5 +439,8 @@ def near_dedup(
     # Rows to drop: those whose group's kept row is another one.
     owner = named.join(keep, F.col("root") == F.col("kept_root")).select("n", *prints, "kept_row")
     gone = sig.join(owner, ["n", *prints]).where(F.col("row") != F.col("kept_row")).select(F.col("row").alias("__gone"))
+    gone = cut_lineage(gone)
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    # A few million row numbers are sent to every task, and texts stay where they are; more go by a shuffle of the texts.
+    listed = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return numbered.join(listed, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

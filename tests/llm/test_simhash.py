@@ -177,3 +177,11 @@ def test_size_classes_are_neighbours():
         assert abs(size_class(np.array([int(a / 0.8)]), 0.8)[0] - kind[a - 1]) <= 1
     tiles = Tiles([(1, 3, 10), (1, 4, 5), (1, 9, 1), (2, 3, 2)], 8)
     assert tiles.first[1, 3] == (0, 2) and tiles.first[1, 4] != tiles.first[1, 3] and tiles.first[2, 3][0] == len(tiles.kind) - 1
+
+
+def test_many_rows_to_drop_go_by_a_shuffle(docs, monkeypatch):
+    from grovespark.llm import simhash
+
+    few = sorted(str(r["doc_id"]) for r in near_dedup(docs).collect())
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted(str(r["doc_id"]) for r in near_dedup(docs).collect()) == few
