@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import cut_lineage, table
+from grovespark.llm.common import cut_lineage, hash_pair, table
 from grovespark.llm.components import components
 
 SEED = 42
@@ -283,8 +283,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = 8
 WIDE_TILE = 32768
-#: Row numbers (16 bytes each) that are sent to every task at most.
-BROADCAST_ROWS = 4_000_000
+#: Keys of rows (16 bytes each) that are sent to every task at most.
+BROADCAST_ROWS = 2_000_000
 #: How far below the wanted similarity an estimate may lie, in its own standard deviations.
 SPREAD = 1.5
 
@@ -415,8 +415,7 @@ def near_dedup(
     ``shingle``-word shingles, as estimated from the distance of their 512-bit
     fingerprints and from the sets' sizes, is ``similarity`` or up to one and a
     half standard deviations of the estimate below. Groups are the connected
-    components. ``docs`` must read alike twice: a table, or the output of
-    ``cut_lineage``.
+    components. ``docs`` is read twice, and must hold the same rows both times.
 
     Equal fingerprints of equal size are grouped first. Null, empty and blank
     texts are one group. Rows with a null id are kept only if their group has no
@@ -424,23 +423,38 @@ def near_dedup(
     pass through.
     """
     prints = [f"f{w}" for w in range(WORDS)]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    keyed = rows.select(F.struct("row", "doc").alias("id"), "text")
-    sig = cut_lineage(
-        document_fingerprints(keyed, "id", "text", shingle, WORDS, True).select("id.row", "id.doc", "n", *prints)
-    )
-    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row"))
+    # A row is known by its id and text, not by its place: a later pass may cut the input into other partitions.
+    one, two = hash_pair(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(one.alias("k1"), two.alias("k2"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    keyed = rows.select(F.struct("k1", "k2", "doc").alias("id"), "text")
+    sig = document_fingerprints(keyed, "id", "text", shingle, WORDS, True)
+    sig = cut_lineage(sig.select("id.k1", "id.k2", "id.doc", "n", *prints))
+    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "k1", "k2"))
     items = sig.groupBy("n", *prints).agg(best.alias("best"))
-    items = cut_lineage(items.withColumn("node", F.col("best.row")))
+    items = cut_lineage(items.withColumn("node", F.monotonically_increasing_id()))
     roots = components(wide_links(items.select("node", "n", *prints), similarity))
     named = items.select("node", "best", "n", *prints).join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    keep = named.groupBy("root").agg(F.min("best").alias("kept")).select(F.col("root").alias("kept_root"), F.col("kept.row").alias("kept_row"))
-    # Rows to drop: those whose group's kept row is another one.
-    owner = named.join(keep, F.col("root") == F.col("kept_root")).select("n", *prints, "kept_row")
-    gone = sig.join(owner, ["n", *prints]).where(F.col("row") != F.col("kept_row")).select(F.col("row").alias("__gone"))
-    gone = cut_lineage(gone)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    # A few million row numbers are sent to every task, and texts stay where they are; more go by a shuffle of the texts.
-    listed = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return numbered.join(listed, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    keep = named.groupBy("root").agg(F.min("best").alias("kept")).select(F.col("root").alias("kept_root"), "kept")
+    owner = named.join(keep, F.col("root") == F.col("kept_root")).select("n", *prints, "kept")
+    other = (F.col("k1") != F.col("kept.k1")) | (F.col("k2") != F.col("kept.k2"))
+    gone = sig.join(owner, ["n", *prints]).where(other).select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct()
+    again = sig.groupBy(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).agg(F.count(F.lit(1)).alias("__times"))
+    again = again.where("__times > 1").drop("__times")
+
+    out = docs.withColumns({"__k1": one, "__k2": two})
+    same = (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
+    gone, n_gone = sized(gone)
+    again, n_again = sized(again)
+    out = out.join(gone, same, "left_anti")
+    if n_again:
+        # Rows that are there several times are the only ones that have to meet; most tables have none.
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["__k1", "__k2"]))
+    return out.drop("__k1", "__k2")
+
+
+def sized(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(keys, their number): a few million go to every task, and texts stay where they are; more go by a shuffle of the texts."""
+    keys = cut_lineage(keys)
+    n = keys.count()
+    return (F.broadcast(keys) if n <= BROADCAST_ROWS else keys), n
