@@ -14,7 +14,9 @@ never all pairs of a group.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import os
+import tempfile
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -76,7 +78,8 @@ def fingerprints(hashes: list, words: int = 1) -> np.ndarray:
 
 
 def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, distinct: bool) -> DataFrame:
-    """(id, n, f0, f1, ...): number of shingles and fingerprint of every whole text."""
+    """(id, n, s, f0, f1, ...): number of shingles, a hash of them all and fingerprint of every whole text."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,19 +91,21 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int
                 n += len(found)
                 if n >= HASHES_AT_ONCE or len(hashes) >= DOCS_AT_ONCE or i + 1 == batch.num_rows:
                     prints = fingerprints(hashes, words).view(np.int64)
+                    whole = [xxhash.xxh64_intdigest(np.asarray(h, dtype=np.uint64).tobytes(), SEED) for h in hashes]
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(first, len(hashes)),
                             pa.array([len(h) for h in hashes], pa.int64()),
+                            pa.array(np.array(whole, dtype=np.uint64).view(np.int64)),
                             *(pa.array(np.ascontiguousarray(prints[:, w])) for w in range(words)),
                         ],
-                        names=["id", "n", *(f"f{w}" for w in range(words))],
+                        names=["id", "n", "s", *(f"f{w}" for w in range(words))],
                     )
                     hashes, n, first = [], 0, i + 1
 
     kind = docs.schema[id_col].dataType.simpleString()
     prints = ", ".join(f"f{w} long" for w in range(words))
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, {prints}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, s long, {prints}")
 
 
 def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -122,11 +127,14 @@ FIRST_WORDS = 4
 
 def distances(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of row numbers of ``a`` and ``b`` (rows, words) that differ in ``radius`` bits at most, and in how many."""
-    first = min(FIRST_WORDS, a.shape[1])
+    first, words = min(FIRST_WORDS, a.shape[1]), a.shape[1]
+    # A pair's bits differ in the first words as often as in the others, but for five deviations and more.
+    share = radius / (64 * words)
+    most = radius if first == words else min(radius, 64 * first * share + 4 * math.sqrt(64 * first * share * (1 - share)))
     d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint16 if first > 3 else np.uint8)
     for w in range(1, first):
         d += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
-    i, j = np.nonzero(d <= radius)
+    i, j = np.nonzero(d <= int(most))
     far = d[i, j].astype(np.int64)
     if a.shape[1] > first:
         for w in range(first, a.shape[1]):
@@ -285,8 +293,9 @@ WORDS = 8
 WIDE_TILE = 32768
 #: Keys of rows (16 bytes each) that are sent to every task at most.
 BROADCAST_ROWS = 2_000_000
-#: How far below the wanted similarity an estimate may lie, in its own standard deviations.
-SPREAD = 1.5
+#: How far below the wanted similarity a candidate's estimate may lie, in its own standard deviations. Where a document
+#: has few shingles, ties of bits add to the distance: at 0.8 by 18 bits, two deviations, in the worst case (4 and 5).
+SPREAD = 7.0
 
 
 def estimated(far: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int = 64 * WORDS) -> np.ndarray:
@@ -372,38 +381,117 @@ def tile_tasks(items: DataFrame, tiles: Tiles, columns: list[str], radius: int)
     return rows.repartition("task").sortWithinPartitions("task")
 
 
-def wide_links(items: DataFrame, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
+def kept_aside(batches: Iterator[pa.RecordBatch], file) -> Iterator[pa.RecordBatch]:
+    """The batches with place and length in ``file`` instead of their last column, which is written there."""
+    at = 0
+    for batch in batches:
+        raw = [x.as_py() for x in batch.column(batch.num_columns - 1)]
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        places = at + np.cumsum(sizes) - sizes
+        file.writelines(raw)
+        at += int(sizes.sum())
+        names = [*batch.schema.names[:-1], "place", "length"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(places), pa.array(sizes)], names=names)
+    file.flush()
+
+
+def verified(a: np.ndarray, b: np.ndarray, labels: np.ndarray, similarity: float, load: Callable[[int], np.ndarray]) -> None:
+    """Join the labels of the pairs (a, b) whose sets are that similar. Pairs that are joined already are not compared."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.array([], dtype=np.int64)
+    for lo, hi in zip(starts, np.r_[starts[1:], len(a)], strict=True):
+        one, some = a[lo], b[lo:hi]
+        some = some[labels[some] != labels[one]]
+        mine = load(int(one)) if len(some) else None
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            part = part[labels[part] != labels[one]]
+            sets = [load(int(i)) for i in part]
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            if not len(part) or not len(mine) or not sizes.all():
+                continue
+            every = np.concatenate(sets)
+            hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            near = common >= similarity * (len(mine) + sizes - common) - 1e-9
+            merge(labels, np.full(int(near.sum()), one), part[near])
+
+
+def wide_links(items: DataFrame, similarity: float, tile: int = WIDE_TILE, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b) links that connect all ``items`` (node, n, f0, f1, ...) whose estimated similarity reaches the bound of ``similarity``.
 
     Every pair of tiles that may hold a link is a task of its own: all rows are
     compared that sizes and population counts do not rule out.
+
+    ``sets_of`` takes a table of nodes and gives (node, set), the sorted hashes of
+    the shingles as bytes. With it, links are the pairs whose sets have at least
+    ``similarity``: rows that have a candidate in a task meet there once more,
+    with their sets, and a candidate is compared unless its two ends are connected.
     """
-    # Sets whose sizes differ more than ``least`` cannot have the estimate.
+    # Sets whose sizes differ more than ``least`` cannot have the estimate, and more than ``similarity`` not that.
     radius, least = bounds(similarity)
+    ratio = least if sets_of is None else similarity
     pops = sum((F.bit_count(f"f{w}") for w in range(WORDS)), F.lit(0))
     n = F.col("n")
-    kind = F.when(n > 0, F.floor(F.log(n.cast("double")) / -math.log(least) + 1e-9).cast("long") + 1).otherwise(F.lit(0))
+    kind = F.when(n > 0, F.floor(F.log(n.cast("double")) / -math.log(ratio) + 1e-9).cast("long") + 1).otherwise(F.lit(0))
     items = items.withColumns({"pop": pops.cast("long"), "kind": kind})
     # At most some hundred classes of size and 257 counts.
     hist = [tuple(r) for r in items.groupBy("kind", "pop").agg(F.count(F.lit(1))).collect()]
     tiles = Tiles(hist, tile)
 
+    def candidates(side: np.ndarray, n: np.ndarray, f: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for sides in tile_sides(np.arange(lo, hi), side[lo:hi]):
+            for a, b, far in tile_pairs(f, *sides, radius):
+                near = (a != b) & (estimated(far, n[a], n[b]) >= least) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]) - 1e-9)
+                yield a[near], b[near]
+
+    def forest(labels: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        if len(linked):
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, (_, side, node, n, *prints) in groups_of(batches):
             f = np.stack([p.view(np.uint64) for p in prints], axis=1)
             labels = np.arange(len(f))
             for lo, hi in zip(starts, starts[1:], strict=False):
-                for sides in tile_sides(np.arange(lo, hi), side[lo:hi]):
-                    for a, b, far in tile_pairs(f, *sides, radius):
-                        near = estimated(far, n[a], n[b]) >= least
-                        merge(labels, a[near], b[near])
-            linked = np.flatnonzero(labels != np.arange(len(f)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
+                for a, b in candidates(side, n, f, lo, hi):
+                    merge(labels, a, b)
+            yield from forest(labels, node)
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, (task, side, node, n, *prints) in groups_of(batches):
+            f = np.stack([p.view(np.uint64) for p in prints], axis=1)
+            found = np.zeros(len(f), dtype=bool)
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                for a, b in candidates(side, n, f, lo, hi):
+                    found[a] = found[b] = True
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (task, side, node, n, *prints)], names=["task", "side", *columns])
+
+    def link_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as file:
+            for starts, (_, side, node, n, *prints, place, length) in groups_of(kept_aside(batches, file)):
+                file.flush()
+                f = np.stack([p.view(np.uint64) for p in prints], axis=1)
+                labels = np.arange(len(f))
+
+                def load(i: int, place=place, length=length) -> np.ndarray:
+                    return np.frombuffer(os.pread(file.fileno(), int(length[i]), int(place[i])), dtype="<u8")
+
+                for lo, hi in zip(starts, starts[1:], strict=False):
+                    for a, b in candidates(side, n, f, lo, hi):
+                        verified(a, b, labels, similarity, load)
+                yield from forest(labels, node)
 
     columns = ["node", "n", *(f"f{w}" for w in range(WORDS))]
     tasks = tile_tasks(items, tiles, columns, radius)
-    return tasks.mapInArrow(link, "a long, b long")
+    if sets_of is None:
+        return tasks.mapInArrow(link, "a long, b long")
+    rows = cut_lineage(tasks.mapInArrow(having, "task long, side long, " + ", ".join(f"{c} long" for c in columns)))
+    rows = rows.join(sets_of(rows.select("node").distinct()), "node").select("task", "side", *columns, "set")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(link_verified, "a long, b long")
 
 
 def near_dedup(
@@ -412,13 +500,13 @@ def near_dedup(
     """``docs`` with one document of each group of near copies: that with the smallest id.
 
     Documents are linked if the Jaccard similarity of their sets of
-    ``shingle``-word shingles, as estimated from the distance of their 512-bit
-    fingerprints and from the sets' sizes, is ``similarity`` or up to one and a
-    half standard deviations of the estimate below. Groups are the connected
-    components. ``docs`` is read twice, and must hold the same rows both times.
+    ``shingle``-word shingles is ``similarity`` or more. The distance of 512-bit
+    fingerprints finds the candidates, with a margin that leaves out fewer than
+    one in 10,000 of the pairs at ``similarity``, whatever their sizes, and the
+    sets decide. Groups are the connected components. ``docs`` is read up to four
+    times, and must hold the same rows each time.
 
-    Equal fingerprints of equal size are grouped first. Null, empty and blank
-    texts are one group. Rows with a null id are kept only if their group has no
+    Equal sets are grouped first. Null, empty and blank texts are one group. Rows with a null id are kept only if their group has no
     other. Of repeated rows one stays. An empty table gives no rows; other columns
     pass through.
     """
@@ -428,28 +516,43 @@ def near_dedup(
     rows = docs.select(one.alias("k1"), two.alias("k2"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     keyed = rows.select(F.struct("k1", "k2", "doc").alias("id"), "text")
     sig = document_fingerprints(keyed, "id", "text", shingle, WORDS, True)
-    sig = cut_lineage(sig.select("id.k1", "id.k2", "id.doc", "n", *prints))
+    same = ["n", "s", *prints]
+    sig = cut_lineage(sig.select("id.k1", "id.k2", "id.doc", *same))
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "k1", "k2"))
-    items = sig.groupBy("n", *prints).agg(best.alias("best"))
+    items = sig.groupBy(*same).agg(best.alias("best"))
     items = cut_lineage(items.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(wide_links(items.select("node", "n", *prints), similarity))
-    named = items.select("node", "best", "n", *prints).join(roots, "node", "left")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                found = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), dtype="<u8")).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = items.join(nodes, "node").select("node", F.col("best.k1").alias("w1"), F.col("best.k2").alias("w2"))
+        wanted, _ = sized(wanted)
+        texts = rows.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("node", "text")
+        return cut_lineage(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+
+    roots = components(wide_links(items.select("node", "n", *prints), similarity, sets_of=sets_of))
+    named = items.select("node", "best", *same).join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     keep = named.groupBy("root").agg(F.min("best").alias("kept")).select(F.col("root").alias("kept_root"), "kept")
-    owner = named.join(keep, F.col("root") == F.col("kept_root")).select("n", *prints, "kept")
+    owner = named.join(keep, F.col("root") == F.col("kept_root")).select(*same, "kept")
     other = (F.col("k1") != F.col("kept.k1")) | (F.col("k2") != F.col("kept.k2"))
-    gone = sig.join(owner, ["n", *prints]).where(other).select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct()
+    gone = sig.join(owner, same).where(other).select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct()
     again = sig.groupBy(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).agg(F.count(F.lit(1)).alias("__times"))
     again = again.where("__times > 1").drop("__times")
 
     out = docs.withColumns({"__k1": one, "__k2": two})
-    same = (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
+    match = (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
     gone, n_gone = sized(gone)
     again, n_again = sized(again)
-    out = out.join(gone, same, "left_anti")
+    out = out.join(gone, match, "left_anti")
     if n_again:
         # Rows that are there several times are the only ones that have to meet; most tables have none.
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["__k1", "__k2"]))
+        out = out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates(["__k1", "__k2"]))
     return out.drop("__k1", "__k2")
 
 

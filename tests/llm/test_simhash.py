@@ -185,3 +185,49 @@ def test_many_rows_to_drop_go_by_a_shuffle(docs, monkeypatch):
     few = sorted(str(r["doc_id"]) for r in near_dedup(docs).collect())
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
     assert sorted(str(r["doc_id"]) for r in near_dedup(docs).collect()) == few
+
+
+def differing(common, only_a, only_b):
+    """Chance that a bit of two sets differs, from the binomial counts of their shared and own shingles."""
+    from math import comb
+
+    def above(n, need):
+        return sum(comb(n, k) for k in range(max(0, need), n + 1)) / 2**n
+
+    p = 0.0
+    for s in range(common + 1):
+        u, v = (above(x, (common + x) // 2 + 1 - s) for x in (only_a, only_b))
+        p += comb(common, s) / 2**common * (u * (1 - v) + v * (1 - u))
+    return p
+
+
+@pytest.mark.parametrize(
+    ("common", "a", "b"), [(4, 4, 5), (5, 5, 6), (6, 6, 7), (12, 12, 15), (12, 13, 14), (20, 22, 23), (28, 30, 33), (80, 90, 90), (400, 450, 450)]
+)
+def test_nearly_all_pairs_at_the_similarity_are_candidates(common, a, b):
+    from math import comb
+
+    bits, (radius, least) = 64 * WORDS, bounds(0.8)
+    p = differing(common, a - common, b - common)
+    far = np.arange(radius + 1)
+    far = far[estimated(far, np.array([a]), np.array([b])) >= least]
+    assert sum(comb(bits, int(d)) * p**d * (1 - p) ** (bits - d) for d in far) > 0.9999
+
+
+def test_groups_are_those_of_exact_similarity(spark, docs):
+    rng = random.Random(21)
+    rows = []
+    for i in range(150):
+        base = words(rng, (8, 10, 19, 60)[i % 4])
+        rows.append((2 * i, " ".join(base), "en", "a", 1))
+        near = [*base, *words(rng, (1, 1, 3, 7 + i % 20)[i % 4])]
+        rows.append((2 * i + 1, " ".join(near), "en", "a", 1))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    roots = roots_of(len(rows), pairs)
+    assert 60 < len(pairs) < 150
+    first = {}
+    for i, root in enumerate(roots):
+        first.setdefault(root, i)
+    got = near_dedup(spark.createDataFrame(rows, docs.schema).repartition(4))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(first.values())
