@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -197,7 +198,8 @@ def record(tokens: bytes, capacity: int = CAPACITY) -> bytes:
 class ShardSource(DataSource):
     """Write with ``format("grovespark_shards")`` and the options path, n, per_shard and capacity.
 
-    ``path`` is a folder that all executors share. Each shard is written by one
+    ``path`` is a folder of a file system that is mounted on all executors and the
+    driver; paths of other schemes are refused. Each shard is written by one
     task to a name of its own and takes its final name when it is whole, so a
     task that is run again, or twice at once, leaves whole shards.
     """
@@ -217,7 +219,7 @@ class Written(WriterCommitMessage):
 
 class ShardWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"].removeprefix("file://")
+        self.path = local_folder(options["path"])
         self.n, self.per_shard, self.capacity = (int(options[k]) for k in ("n", "per_shard", "capacity"))
 
     def write(self, iterator: Iterator) -> Written:
@@ -251,6 +253,11 @@ class ShardWriter(DataSourceWriter):
         shards = sorted(s for m in messages if m for s in m.shards)
         if sum(count for _, count, _ in shards) != self.n:
             raise ValueError("sequences are missing")
+        os.makedirs(self.path, exist_ok=True)
+        for shard, count, _ in shards:
+            name = shard_path(self.path, shard)
+            if not os.path.isfile(name) or os.path.getsize(name) != count * stride(self.capacity):
+                raise ValueError(f"{name} is not there or not whole: executors do not share the folder")
         content = {"n": self.n, "per_shard": self.per_shard, "capacity": self.capacity, "stride": stride(self.capacity), "shards": shards}
         with open(f"{self.path}/.index", "w") as file:
             json.dump(content, file)
@@ -262,6 +269,15 @@ class ShardWriter(DataSourceWriter):
                 os.remove(f"{self.path}/{name}")
 
 
+def local_folder(path: str) -> str:
+    """A ``file:`` URI or plain path as a path; what ``open`` cannot reach is refused."""
+    if scheme := re.match(r"([A-Za-z][A-Za-z0-9+.\-]*):/", path):
+        if scheme[1].lower() != "file":
+            raise ValueError(f"shards are written with open(), to a folder that is mounted everywhere; not to {path}")
+        path = "/" + path[scheme.end() :].lstrip("/")
+    return path
+
+
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
@@ -278,6 +294,7 @@ def write_shards(order: Order, path: str) -> None:
 
 def read_records(path: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
     """The token ids of the slots from ``start`` on: a reader that stopped goes on at any slot."""
+    path = local_folder(path)
     with open(f"{path}/index.json") as file:
         index = json.load(file)
     n, per_shard, size = index["n"], index["per_shard"], index["stride"]
@@ -293,8 +310,43 @@ def read_records(path: str, start: int = 0, stop: int | None = None) -> Iterator
                 at += 1
 
 
+def written_records(order: Order, path: str) -> DataFrame:
+    """(slot, shard, record_offset, n_tokens, record_crc32, doc_ids), all but ``doc_ids`` as found in the files under ``path``."""
+    folder, size, per_shard = local_folder(path), stride(order.capacity), order.per_shard
+    kind = order.rows.schema["doc_ids"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, file = None, None
+        try:
+            for batch in batches:
+                shards, places, counts, crcs = [], [], [], []
+                for slot in batch.column(0).to_pylist():
+                    shard, place = divmod(slot, per_shard)
+                    if shard != at:
+                        if file:
+                            file.close()
+                        at, file = shard, open(shard_path(folder, shard), "rb")
+                    file.seek(place * size)
+                    raw = file.read(size)
+                    if len(raw) != size:
+                        raise ValueError(f"shard {shard}: no whole record for slot {slot}")
+                    shards.append(shard)
+                    places.append(place * size)
+                    counts.append(struct.unpack_from(HEADER, raw)[0])
+                    crcs.append(zlib.crc32(raw))
+                cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in (shards, places, counts, crcs)), batch.column(1)]
+                yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "record_offset", "n_tokens", "record_crc32", "doc_ids"])
+        finally:
+            if file:
+                file.close()
+
+    rows = order.rows.select("slot", "doc_ids")
+    return rows.mapInArrow(run, f"slot long, shard long, record_offset long, n_tokens long, record_crc32 long, doc_ids {kind}")
+
+
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards beside the checkpoints and reads its rows' records back from them."""
     order = training_order(table(spark, sf_dir, "documents"))
-    header = F.unhex(F.concat(*[F.lpad(F.hex(F.pmod(F.floor(F.col("n_tokens") / 256**i), F.lit(256)).cast("long")), 2, "0") for i in range(4)]))
-    raw = F.rpad(F.concat(header, "tokens"), F.lit(stride()), F.unhex(F.lit("00")))
-    return order.rows.select("slot", "shard", "record_offset", "n_tokens", F.crc32(raw).alias("record_crc32"), "doc_ids")
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
+    write_shards(order, path)
+    return written_records(order, path)

@@ -169,3 +169,31 @@ def test_shards_round_trip(spark, docs, tmp_path):
 
 def test_shards_of_nothing(no_docs):
     assert training_order(no_docs).rows.count() == 0
+
+
+def test_the_query_writes_its_shards_and_reads_them_back(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from grovespark.llm.common import ensure_checkpoint_dir
+    from grovespark.llm.shards import local_folder, op1_training_order, shard_path, stride
+
+    ensure_checkpoint_dir(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(local_folder(spark.sparkContext._jsc.sc().getCheckpointDir().get()))
+    before = set(folder.glob("shards-*"))
+    rows = op1_training_order(spark, str(tmp_path)).orderBy("slot").collect()
+    (written,) = set(folder.glob("shards-*")) - before
+    tokens = list(read_records(str(written)))
+    assert [r["slot"] for r in rows] == list(range(len(tokens))) and [r["n_tokens"] for r in rows] == [len(t) for t in tokens]
+    for r in rows:
+        raw = Path(shard_path(str(written), r["shard"])).read_bytes()[r["record_offset"] :][: stride()]
+        assert zlib.crc32(raw) == r["record_crc32"]
+
+
+def test_shards_are_not_written_where_open_cannot_reach():
+    from grovespark.llm.shards import local_folder
+
+    assert local_folder("file:/a/b") == local_folder("file:///a/b") == local_folder("/a/b") == "/a/b"
+    for path in ("hdfs://host/a", "s3a://bucket/a", "viewfs:///a"):
+        with pytest.raises(ValueError, match="mounted"):
+            local_folder(path)
