@@ -24,7 +24,10 @@ from grovespark.llm.common import cut_lineage, table
 #: The production key. Whoever holds it can tell which surrogate belongs to which entity; pass your own.
 KEY = b"surrogates of the production query"
 
-EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: Letters of all scripts, and accents that stand after their letters.
+EMAIL = re.compile(
+    r"(?<![\w.+-])[\w\u0300-\u036f%+-]+(?:\.[\w\u0300-\u036f%+-]+)*@(?:[^\W_]|[\u0300-\u036f-])+(?:\.(?:[^\W_]|[\u0300-\u036f-])+)*\.[^\W\d_]{2,}"
+)
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 #: Runs of digits with what may stand between them; which kind it is, ``digits_kind`` tells.
 DIGITS = re.compile(r"(?<![\w.])(?:\+|\(\+?)?\d(?:[ ().\-/]{0,2}\d){6,}(?![\w]|\.\d)")
@@ -39,8 +42,15 @@ TITLES = {
     "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f",
     "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
 }
+#: Titles that may follow the first, and say nothing of the gender.
+FURTHER = ("Dr", "Prof", "Professor", "Professorin", "Doctor", "Doktor", "Docteur", "Mag", "Ing", "Dipl", "Rev", "Hon", "Lic", "доктор", "профессор")
+PARTICLES = frozenset("von van de der den del della di da das do dos du des la las le los el y zu zur zum af av ter ten bin ibn".split())
+_CAPITAL, _ANY = r"[^\W\d_a-zа-яёß-öø-ÿ]", r"[^\W\d_]"
+_PART = rf"(?:{_CAPITAL}{_ANY}*['’]{_ANY}+|(?:[dDlL]|{_CAPITAL})['’]{_CAPITAL}{_ANY}+|{_CAPITAL}{_ANY}+|(?:{_CAPITAL}\.)+|{_CAPITAL}(?=[ \u00a0-]{_CAPITAL}))"
+_PARTICLES = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))})[ \u00a0])*"
+_TITLES = "|".join(sorted(TITLES, key=len, reverse=True))
 NAME = re.compile(
-    r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.?[  ])([^\W\d_a-zа-яё][^\W\d_]+(?:[ -][^\W\d_a-zа-яё][^\W\d_]+){0,2})"
+    rf"(?<!\w)({_TITLES})(\.?[ \u00a0](?:(?:{_TITLES}|{'|'.join(sorted(FURTHER, key=len, reverse=True))})(?:\.[ \u00a0]?|[ \u00a0]))*)({_PARTICLES}{_PART}(?:[ \u00a0-]{_PARTICLES}{_PART}|(?<=\.){_PART})*)"
 )
 GIVEN = {
     ("latin", "m"): ("James", "Lucas", "Peter", "Martin", "Oscar", "Daniel", "Victor", "Simon", "Hugo", "Adrian", "Felix", "Robert"),
@@ -98,18 +108,32 @@ def unpermuted(key: bytes, label: str, value: int, size: int) -> int:
             return value
 
 
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> tuple[str, str | None]:
+    """(lower case, what it may be changed for): ASCII letters, digits, or the letters of its 64 code points that have both cases or none."""
+    low = c.lower() if len(c.lower()) == 1 else c
+    if c in DIGIT:
+        return c, DIGIT
+    if c.isascii():
+        return low, LOWER if low in LOWER else None
+    start = ord(low) & ~0x3F
+    block = "".join(x for x in map(chr, range(start, start + 64)) if x.isalpha() and x.lower() == x and x.upper().lower() == x and len(x.upper()) == 1)
+    return (low, block) if low in block else (c, None)
+
+
 def reshaped(key: bytes, label: str, text: str, fixed: Callable[[int], bool] = lambda i: False) -> str:
     """The text with digits changed for digits and letters for letters, by one permutation of all texts of this shape.
 
     The case of letters stays, and is no part of the value: spellings in other cases get the same letters.
     """
-    alphabets = []
+    plain, alphabets = [], []
     for i, c in enumerate(text):
-        low = c.lower()
-        alphabets.append(None if fixed(i) else DIGIT if c in DIGIT else LOWER if low in LOWER and c.isascii() else None)
-    shape = "".join("9" if a is DIGIT else "a" if a else c for c, a in zip(text.lower(), alphabets, strict=True))
+        low, letters = alphabet(c)
+        plain.append(low)
+        alphabets.append(None if fixed(i) else letters)
+    shape = "".join("9" if a is DIGIT else "a" if a is LOWER else a[0] if a else c for c, a in zip(plain, alphabets, strict=True))
     value, size = 0, 1
-    for c, a in zip(text.lower(), alphabets, strict=True):
+    for c, a in zip(plain, alphabets, strict=True):
         if a:
             value, size = value * len(a) + a.index(c), size * len(a)
     value = other(key, f"{label}:{shape}", value, size)
@@ -222,16 +246,22 @@ def name_key(gender: str, text: str) -> str:
 def person(key: bytes, known_as: str, form: str, attempt: int = 0) -> str:
     """A name of the same gender and script with as many words; the last is a surname."""
     kind, gender = script(form), known_as[0]
-    parts = re.split(r"([ -])", form)
+    parts = re.split(r"([ \u00a0-]|(?<=\.)(?=[^ \u00a0-]))", form)
     out = []
     for i, part in enumerate(parts):
         if i % 2:
             out.append(part)
             continue
         n = number(key, "name", known_as, attempt, i)
+        if i + 1 < len(parts) and part.lower() in PARTICLES:
+            out.append(part)
+            continue
         if i + 1 < len(parts):
             given = GIVEN[kind, gender]
             new = given[n % len(given)]
+            if len(part.rstrip(".")) == 1:
+                out.append(new[0] + part[1:])
+                continue
         else:
             syllables = SYLLABLES[kind]
             count = 3 + n % 3
@@ -355,7 +385,7 @@ def name_conflicts(docs: DataFrame, text_col: str, key: bytes, most: int = 1_000
         def draw(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 known, forms = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                drawn = [person(key, k, f, shared.get(k, 0)) for k, f in zip(known, forms, strict=True)]
+                drawn = [person(key, k, f, shared.get(k, 0)).lower() for k, f in zip(known, forms, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.string())], names=["known_as", "drawn"])
 
         drawn = cut_lineage(seen.mapInArrow(draw, "known_as string, drawn string"))

@@ -196,3 +196,32 @@ def test_awkward_texts(docs, no_docs, rows):
     assert texts == sorted((r[1] or "") for r in rows)
     assert got.where("doc_id = 3").first()["text"] is None
     assert pii.replace_pii(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Mr John Ronald Reuel Tolkien wrote", "John Ronald Reuel Tolkien"),
+        ("Mr. J. Smith wrote", "J. Smith"),
+        ("Mr. J.R.R. Tolkien wrote", "J.R.R. Tolkien"),
+        ("Mme de Gaulle écrit", "de Gaulle"),
+        ("Frau Dr. Müller schreibt", "Müller"),
+        ("Herr Prof. Dr. Hans von der Leyen schreibt", "Hans von der Leyen"),
+        ("Mrs. O'Brien wrote", "O'Brien"),
+        ("Mr. Smith. Later", "Smith"),
+    ],
+)
+def test_whole_names_are_found(text, name):
+    assert [(text[a:b], k) for a, b, k, _ in pii.entities(text)] == [(name, "name")]
+    new, ((a, b, _),) = pii.replaced(text, KEY, {}, {})
+    assert new[:a] + name + new[b:] == text
+    assert not {w for w in re.split(r"[ .']", name) if len(w) > 3} & set(re.split(r"[ .']", new))
+
+
+@pytest.mark.parametrize("value", ["josé.garcia@example.es", "info@müller.de", "иван@почта.рф", "josé@example.es", "İnfo@Straße.de"])
+def test_addresses_with_letters_of_any_script(value):
+    text = f"Before it {value} and after"
+    assert [(text[a:b], k) for a, b, k, _ in pii.entities(text)] == [(value, "email")]
+    new, ((a, b, _),) = pii.replaced(text, KEY, {}, {})
+    assert len(new) == len(text) and value.partition("@")[0] not in new and not set("éü") & set(value) & set(new)
+    assert pii.replaced(text, KEY, {}, {})[0] == new
