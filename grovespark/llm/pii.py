@@ -1,8 +1,8 @@
 """PII surrogates: what identifies a person or opens a door is replaced by something of the same kind.
 
 Replacements are keyed permutations of what a kind's form can hold: two different
-entities never get one surrogate, and one entity gets the same surrogate wherever
-it stands. Names are drawn from lists by gender and script, so there two could
+entities of a form never get one surrogate, and one text gets the same surrogate
+wherever it stands; a name's later mentions in a document follow it. Names are drawn from lists by gender and script, so there two could
 meet; all names of the corpus are checked, and those that would meet draw again.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -334,21 +335,63 @@ def digit_entities(run: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def surname(form: str) -> str:
+    return re.split(r"[ \u00a0]", form.strip())[-1]
+
+
+def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, gender, whole name): the entities, and what names its person again, by whole name or surname, with or without title.
+
+    A surname belongs to the last whole name before it that ends in it, of the same gender if it has a title.
+    """
+    if not any(kind == "name" for _, _, kind, _ in found):
+        return [(*e, "") for e in found]
+    named = [(a, b, gender, text[a:b]) for a, b, kind, gender in found if kind == "name"]
+    words = {w for *_, form in named for w in (form, surname(form)) if len(w.rstrip(".")) > 1}
+    again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)") if words else None
+    spots = [(a, b, kind, gender) for a, b, kind, gender in found]
+    if again:
+        # Both lists are in order of place.
+        starts = [a for a, *_ in found]
+        for m in again.finditer(text, named[0][1]):
+            i = bisect_left(starts, m.end())
+            if not i or found[i - 1][1] <= m.start():
+                spots.append((m.start(), m.end(), "name", ""))
+    last: dict[tuple[str, str], tuple[str, str]] = {}
+    out = []
+    for a, b, kind, gender in sorted(spots):
+        whole = ""
+        if kind == "name":
+            form = text[a:b]
+            known = last.get((gender, form.lower()))
+            if known:
+                gender, whole = known
+            else:
+                whole = form
+            if not known or form.lower() == whole.lower():
+                for g in (gender, ""):
+                    last[g, whole.lower()] = last[g, surname(whole).lower()] = (gender, whole)
+        out.append((a, b, kind, gender, whole))
+    return out
+
+
 def replaced(text: str, key: bytes, again: dict[str, int], memo: dict) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with surrogates, where they stand in it)."""
     out, spans, at, length = [], [], 0, 0
-    for start, end, kind, gender in entities(text):
+    for start, end, kind, gender, whole in mentions(text, entities(text)):
         form = text[start:end]
-        new = memo.get((kind, gender, form))
+        new = memo.get((kind, gender, form, whole))
         if new is None:
             if len(memo) >= 100_000:
                 memo.clear()
             if kind == "name":
-                known_as = name_key(gender, form)
-                new = person(key, known_as, form, again.get(known_as, 0))
+                known_as = name_key(gender, whole)
+                same = form.lower() == whole.lower()
+                new = person(key, known_as, form if same else whole, again.get(known_as, 0))
+                new = new if same else surname(new)
             else:
                 new = SURROGATES[kind](key, form)
-            memo[kind, gender, form] = new
+            memo[kind, gender, form, whole] = new
         out += [text[at:start], new]
         length += start - at
         spans.append((length, length + len(new), kind))

@@ -225,3 +225,12 @@ def test_addresses_with_letters_of_any_script(value):
     new, ((a, b, _),) = pii.replaced(text, KEY, {}, {})
     assert len(new) == len(text) and value.partition("@")[0] not in new and not set("éü") & set(value) & set(new)
     assert pii.replaced(text, KEY, {}, {})[0] == new
+
+
+def test_later_mentions_of_a_person_agree():
+    text = "Mr. John Smith met Smith. Later John Smith and Mr. Smith left. Smithers and Mrs. Smith stayed."
+    new, spans = pii.replaced(text, KEY, {}, {})
+    first, second, third, fourth, other = (new[a:b] for a, b, _ in spans)
+    assert first == third and second == fourth == first.split()[-1]
+    assert "Smithers" in new and not re.search(r"\b(John|Smith)\b", new) and other != second
+    assert pii.replaced("Smith met Mr. Jones", KEY, {}, {})[0].startswith("Smith met Mr. ")
