@@ -34,6 +34,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names, in whatever case: an operator's own columns take their place."""
+    taken = {n.lower() for n in names}
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken]) if taken & {c.lower() for c in df.columns} else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as no column of ``df`` has: for columns of an operator's own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. ``lower`` is the fast way where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
