@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from grovespark.llm.common import table
-from grovespark.llm.tokens import default_vocabulary, load, token_ids
+from grovespark.llm.tokens import default_vocabulary, load, token_ids, verify
 
 CAPACITY = 1024
 #: The part of a bin that a class may leave unused before its pieces are cut smaller.
 MAX_WASTE = 0.01
 #: Sequence ids: the task's partition in the high bits, the bin's number within it in the low ones.
 TASK_BITS = 40
-#: Rows of output that are sent on at once.
-BATCH_ROWS = 4096
+#: Rows of output that are sent on at once, and bytes of ids, but for the sequence that goes beyond.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def cuts(n: int, capacity: int = CAPACITY, max_waste: float = MAX_WASTE) -> list[tuple[int, int]]:
@@ -69,7 +69,8 @@ class Packer:
         at = 0
         for length, k in cuts(len(ids), self.capacity, self.max_waste):
             pieces = self.open.setdefault(k, [])
-            pieces.append(Piece(doc, at, ids[at : at + length], len(ids)))
+            # A view of a piece that waits would keep the whole document's ids.
+            pieces.append(Piece(doc, at, ids[at : at + length] if k == 1 else ids[at : at + length].copy(), len(ids)))
             at += length
             if len(pieces) == k:
                 yield self.close(self.open.pop(k))
@@ -133,10 +134,13 @@ def pack(
     Tokens are those of ``tokens.py`` with an end token 0 after each document, so
     a null or empty text is one token. Each token is in one piece, and offsets
     have no gaps. A task makes whole sequences, so a task that is run again
-    gives whole sequences anew. Documents with equal or null ids are packed like
-    any other. An empty table gives no rows; other columns are left out.
+    gives whole sequences anew. Documents with equal or null ids and repeated
+    rows are packed like any other, in the order in which they come. A very long
+    text is tokenised whole, and its pieces sent on as they are cut. An empty
+    table gives no rows; other columns are left out.
     """
     path = vocabulary or default_vocabulary()
+    verify(path)
     some = docs.select(id_col, text_col)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(n, t) for n, _, t in PIECES]]
     if with_ids:
@@ -153,6 +157,7 @@ def pack(
                 yield batch
 
         rows: list[tuple] = []
+        used = 0
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
@@ -167,8 +172,10 @@ def pack(
                 row = (p.doc, p.start, len(p.ids), zlib.crc32(raw), p.doc_tokens, number, offset)
                 rows.append((*row, raw) if with_ids else row)
                 offset += len(p.ids)
-            if len(rows) >= BATCH_ROWS:
+            used += 4 * offset if with_ids else 0
+            if len(rows) >= BATCH_ROWS or used >= BATCH_BYTES:
                 yield flush()
+                used = 0
         if rows:
             yield flush()
 

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from grovespark.llm.common import ensure_checkpoint_dir, table
 from grovespark.llm.packing import CAPACITY, MAX_WASTE, TASK_BITS, sequences
-from grovespark.llm.tokens import default_vocabulary
+from grovespark.llm.tokens import default_vocabulary, verify
 from grovespark.ship import by_value
 
 KEY = 0x7261696E
@@ -30,12 +30,17 @@ PER_SHARD = 4096
 #: Shards that one task writes at most, about 130 MB.
 SHARDS_IN_TASK = 16
 ROUNDS = 6
-#: A record: the number of tokens, then that many 16-bit ids, then zeros up to the stride.
+#: A record: the number of tokens, then that many ids, then zeros up to the stride.
 HEADER, HEADER_BYTES = "<I", 4
 
 
-def stride(capacity: int = CAPACITY) -> int:
-    return HEADER_BYTES + 2 * capacity
+def id_bytes(ids: int) -> int:
+    """Bytes of an id in a vocabulary of so many: two, or four where two do not hold them all."""
+    return 2 if ids <= 1 << 16 else 4
+
+
+def stride(capacity: int = CAPACITY, width: int = 2) -> int:
+    return HEADER_BYTES + width * capacity
 
 
 def _round(x: np.ndarray, key: int, number: int, mask: np.uint64) -> np.ndarray:
@@ -82,8 +87,9 @@ def positions(slot: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def packed_sequences(
     docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, max_waste: float = MAX_WASTE, vocabulary: str | None = None
 ) -> DataFrame:
-    """(task, place, doc_ids, n_tokens, tokens as 16-bit ids): the sequences of harmonic packing, numbered within each task."""
+    """(task, place, doc_ids, n_tokens, tokens as ids of two or four bytes): the sequences of harmonic packing, numbered within each task."""
     path = vocabulary or default_vocabulary()
+    width = id_bytes(verify(path))
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +114,8 @@ def packed_sequences(
 
         for number, pieces in sequences(seen(), path, capacity, max_waste):
             ids = np.concatenate([p.ids for p in pieces])
-            if ids.max() > 0xFFFF:
-                raise ValueError("a record's ids have 16 bits")
             owners = list(dict.fromkeys(p.doc for p in pieces))
-            rows.append((task, number & ((1 << TASK_BITS) - 1), owners, len(ids), ids.astype("<u2").tobytes()))
+            rows.append((task, number & ((1 << TASK_BITS) - 1), owners, len(ids), ids.astype(f"<u{width}").tobytes()))
             if len(rows) >= 512:
                 yield flush()
         if rows:
@@ -135,6 +139,7 @@ class Order:
     n: int
     per_shard: int
     capacity: int
+    width: int
 
 
 def training_order(
@@ -163,6 +168,7 @@ def training_order(
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
+    width = id_bytes(verify(vocabulary or default_vocabulary()))
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sequences-{uuid.uuid4().hex}"
     packed_sequences(docs, id_col, text_col, capacity, vocabulary=vocabulary).write.option("compression", "zstd").parquet(path)
     stored = spark.read.parquet(path)
@@ -185,18 +191,18 @@ def training_order(
     rows = stored.withColumn("slot", slot_of("task", "place"))
     shard = F.floor(F.col("slot") / per_shard)
     rows = rows.withColumns(
-        {"shard": shard.cast("long"), "record_offset": (F.pmod("slot", F.lit(per_shard)) * stride(capacity)).cast("long")}
+        {"shard": shard.cast("long"), "record_offset": (F.pmod("slot", F.lit(per_shard)) * stride(capacity, width)).cast("long")}
     )
     rows = rows.drop("task", "place").repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int"))
-    return Order(rows.sortWithinPartitions("slot"), n, per_shard, capacity)
+    return Order(rows.sortWithinPartitions("slot"), n, per_shard, capacity, width)
 
 
-def record(tokens: bytes, capacity: int = CAPACITY) -> bytes:
-    return (struct.pack(HEADER, len(tokens) // 2) + tokens).ljust(stride(capacity), b"\0")
+def record(tokens: bytes, capacity: int = CAPACITY, width: int = 2) -> bytes:
+    return (struct.pack(HEADER, len(tokens) // width) + tokens).ljust(stride(capacity, width), b"\0")
 
 
 class ShardSource(DataSource):
-    """Write with ``format("grovespark_shards")`` and the options path, n, per_shard and capacity.
+    """Write with ``format("grovespark_shards")`` and the options path, n, per_shard, capacity and width.
 
     ``path`` is a folder of a file system that is mounted on all executors and the
     driver; paths of other schemes are refused. Each shard is written by one
@@ -220,7 +226,7 @@ class Written(WriterCommitMessage):
 class ShardWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path = local_folder(options["path"])
-        self.n, self.per_shard, self.capacity = (int(options[k]) for k in ("n", "per_shard", "capacity"))
+        self.n, self.per_shard, self.capacity, self.width = (int(options[k]) for k in ("n", "per_shard", "capacity", "width"))
 
     def write(self, iterator: Iterator) -> Written:
         os.makedirs(self.path, exist_ok=True)
@@ -242,7 +248,7 @@ class ShardWriter(DataSourceWriter):
                 file = open(f"{self.path}/.{shard}-{uuid.uuid4().hex}", "wb")
             if slot != shard * self.per_shard + count:
                 raise ValueError(f"shard {shard}: slot {slot} is out of order")
-            raw = record(bytes(row["tokens"]), self.capacity)
+            raw = record(bytes(row["tokens"]), self.capacity, self.width)
             file.write(raw)
             crc, count = zlib.crc32(raw, crc), count + 1
         if file:
@@ -256,9 +262,12 @@ class ShardWriter(DataSourceWriter):
         os.makedirs(self.path, exist_ok=True)
         for shard, count, _ in shards:
             name = shard_path(self.path, shard)
-            if not os.path.isfile(name) or os.path.getsize(name) != count * stride(self.capacity):
+            if not os.path.isfile(name) or os.path.getsize(name) != count * stride(self.capacity, self.width):
                 raise ValueError(f"{name} is not there or not whole: executors do not share the folder")
-        content = {"n": self.n, "per_shard": self.per_shard, "capacity": self.capacity, "stride": stride(self.capacity), "shards": shards}
+        content = {
+            "n": self.n, "per_shard": self.per_shard, "capacity": self.capacity, "id_bytes": self.width,
+            "stride": stride(self.capacity, self.width), "shards": shards,
+        }
         with open(f"{self.path}/.index", "w") as file:
             json.dump(content, file)
         os.replace(f"{self.path}/.index", f"{self.path}/index.json")
@@ -288,7 +297,7 @@ def write_shards(order: Order, path: str) -> None:
     by_value(__name__)
     spark.dataSource.register(ShardSource)
     order.rows.select("slot", "shard", "tokens").write.format("grovespark_shards").mode("append").options(
-        path=path, n=order.n, per_shard=order.per_shard, capacity=order.capacity
+        path=path, n=order.n, per_shard=order.per_shard, capacity=order.capacity, width=order.width
     ).save()
 
 
@@ -297,7 +306,7 @@ def read_records(path: str, start: int = 0, stop: int | None = None) -> Iterator
     path = local_folder(path)
     with open(f"{path}/index.json") as file:
         index = json.load(file)
-    n, per_shard, size = index["n"], index["per_shard"], index["stride"]
+    n, per_shard, size, kind = index["n"], index["per_shard"], index["stride"], f"<u{index['id_bytes']}"
     at, stop = start, n if stop is None else min(stop, n)
     while at < stop:
         shard, place = divmod(at, per_shard)
@@ -306,13 +315,13 @@ def read_records(path: str, start: int = 0, stop: int | None = None) -> Iterator
             for _ in range(min(stop - at, per_shard - place)):
                 raw = file.read(size)
                 (count,) = struct.unpack_from(HEADER, raw)
-                yield np.frombuffer(raw, dtype="<u2", count=count, offset=HEADER_BYTES)
+                yield np.frombuffer(raw, dtype=kind, count=count, offset=HEADER_BYTES)
                 at += 1
 
 
 def written_records(order: Order, path: str) -> DataFrame:
     """(slot, shard, record_offset, n_tokens, record_crc32, doc_ids), all but ``doc_ids`` as found in the files under ``path``."""
-    folder, size, per_shard = local_folder(path), stride(order.capacity), order.per_shard
+    folder, size, per_shard = local_folder(path), stride(order.capacity, order.width), order.per_shard
     kind = order.rows.schema["doc_ids"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from grovespark.llm.decontam import ADDED, drop_contaminated, find_contamination
@@ -99,7 +101,6 @@ def test_packing_round_trip(spark, docs, rows):
 
     got = pack(docs).collect()
     tokenizer = Tokenizer.from_file(default_vocabulary())
-    tokenizer.encode_special_tokens = True
     want = sorted((r[0] if r[0] is not None else -1, tuple([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0])) for r in rows)
     assert sum(r["length"] for r in got) == sum(len(ids) for _, ids in want)
     padded = used = 0
@@ -130,16 +131,79 @@ def test_packing_nothing(no_docs):
     assert pack(no_docs).count() == 0
 
 
-def test_ids_equal_those_of_the_library():
+@pytest.fixture(scope="module")
+def library():
+    """The unaltered library: it knows the file's special tokens in a text."""
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(default_vocabulary())
-    slow.encode_special_tokens = True
-    fast = load(default_vocabulary())
+    tokenizer = Tokenizer.from_file(default_vocabulary())
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_equal_those_of_the_library(library):
     texts = ["".join(map(chr, range(a, a + 300))) for a in (0, 0x300, 0x900, 0x1F00, 0x4E00, 0xAC00, 0x1F300, 0x1D400)]
     texts += [f"a{chr(c)}{chr(c)}1 {chr(c)}  x" for c in range(0x80, 0x3100, 7)]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>  y<|endoftext|><|endoftext", " <|ENDOFTEXT|> "]
     for text in texts:
-        assert fast.encode_ordinary(text) == slow.encode(text, add_special_tokens=False).ids
+        assert load(default_vocabulary()).encode(text) == library(text)
+    assert load(default_vocabulary()).encode("a<|endoftext|>b") == [64, 50256, 65]
+
+
+@pytest.mark.parametrize("run", [" ", "\t", "\n", " \n", "\u3000", "\x85", "\x1c", "a", "7", "!", "é", "中", "👩", "a ", "<|endoftext|>"])
+def test_ids_of_long_runs(library, run):
+    n = 2_000_000 // len(run)
+    for text in (run * n, "x" + run * n + "y" + run * 20_000 + "z"):
+        assert load(default_vocabulary()).encode(text) == library(text)
+
+
+@given(st.lists(st.sampled_from([" ", "\t", "\n", "\xa0", "\u2003", "a", "'s", "1", "é", " " * 10_001, "\n" * 10_000, "<|endoftext|>"]), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_ids_around_cuts(library, parts):
+    assert load(default_vocabulary()).encode("".join(parts)) == library("".join(parts))
+
+
+def test_long_documents_are_packed(spark, library):
+    """Texts of a megabyte of one kind: the job ends, and every id is in one piece."""
+    texts = [" " * 1_200_000, "word" * 300_000, "1 " * 600_000, "line\n" * 240_000, "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in pack(frame).collect():
+        got[r["doc_id"]].append(r)
+    for i, text in enumerate(texts):
+        parts = sorted(got[i], key=lambda r: r["start"])
+        ids = np.concatenate([np.frombuffer(bytes(r["ids"]), "<u4") for r in parts]).tolist()
+        assert ids == [*library(text or ""), 0] and all(r["length"] <= 1024 for r in parts)
+
+
+def brute_packing(texts, library, most=1024):
+    """What op4's contract says of each document alone: its ids and how many sequences all need at least."""
+    ids = [[*library(t or ""), 0] for t in texts]
+    return ids, -(-sum(map(len, ids)) // most)
+
+
+def test_the_query_against_brute_force(spark, docs, library, tmp_path):
+    from grovespark.llm.packing import op4_harmonic_packing
+
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    some.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
+    ids, least = brute_packing([r["text"] for r in rows], library)
+    got = op4_harmonic_packing(spark, str(tmp_path)).collect()
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+    for r, want in zip(rows, ids, strict=True):
+        at = 0
+        for piece in sorted(by_doc[r["doc_id"]], key=lambda p: p["start"]):
+            raw = np.array(want[at : at + piece["length"]], dtype="<u4").tobytes()
+            assert piece["start"] == at and piece["doc_tokens"] == len(want) and piece["ids_crc32"] == zlib.crc32(raw)
+            at += piece["length"]
+        assert at == len(want)
+    whole = sequences_of(got)
+    assert all(sorted(p["offset"] for p in s) == np.cumsum([0, *(p["length"] for p in sorted(s, key=lambda p: p["offset"]))]).tolist()[:-1] for s in whole.values())
+    lengths = [sum(p["length"] for p in s) for s in whole.values()]
+    padding = sum(1024 - n for n in lengths if n & (n - 1))
+    assert max(lengths) <= 1024 and padding <= 0.01 * 1024 * least
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 4097])
