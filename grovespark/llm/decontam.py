@@ -1,21 +1,35 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's words.
+
+Any ten words in a row of an item hold one of its blocks of five that start at a
+multiple of five. The automaton's patterns are these blocks, a node for each word
+instead of ten, and what matches one is followed to both sides in the item: a run
+of ten words or more is a hit. Where many places of the benchmark share a block,
+the windows around them are patterns themselves, so that no block has many places
+to be followed. Its letters are numbers of words, not bytes.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.common import cut_lineage, table
+from grovespark.llm.common import cut_lineage, free_names, table, without
 
 WINDOW = 10
-#: Benchmark text that one automaton takes; more text goes to further automata, one pass over the documents each.
-BLOCK_BYTES = 16 << 20
+#: Words of the benchmark that one automaton takes, some 200 bytes each; more go to further automata, one pass over the documents each.
+BLOCK_WORDS = 1_000_000
+#: Places that are followed for one block of words at most.
+MOST_PLACES = 8
 #: Bytes of UTF-8 after normalisation: a word's byte as it is (A-Z in lower case), all else a blank.
 NORMAL = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -29,50 +43,99 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split() if text else []
 
 
-def windows_of(text: str | None, size: int) -> set[bytes]:
-    words = words_of(text)
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def automaton(items: list[tuple[str, str]], size: int):
-    """Each window with a blank at both ends, so that it only fits whole words; its value: (words, items)."""
-    import ahocorasick
-
-    found: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for window in windows_of(text, size):
-            found.setdefault(window, set()).add(item)
-    out = ahocorasick.Automaton()
-    for window, ids in found.items():
-        key = f" {window.decode('latin-1')} "
-        out.add_word(key, (len(key) - 1, sorted(ids)))
-    if found:
-        out.make_automaton()
-    return out
-
-
-def scan(text: str | None, machine) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """(words, merged hits as ranges of word numbers, items). One pass over the normalised text."""
-    words = words_of(text)
-    if not words or not len(machine):
-        return len(words), [], set()
-    line = b" " + b" ".join(words) + b" "
-    ranges: list[list[int]] = []
-    items: set[str] = set()
-    for end, (length, ids) in machine.iter(line.decode("latin-1")):
-        items.update(ids)
-        start = end - length
-        # [start, end) holds the window with its first blank; ends come in order, starts may not.
-        while ranges and ranges[-1][1] >= start:
-            start = min(start, ranges.pop()[0])
-        ranges.append([start, end])
-    out = []
-    at = n = 0
-    for start, end in ranges:
-        n += line.count(b" ", at, start)
-        at = start
-        out.append((n, n + line.count(b" ", start, end)))
-    return len(words), out, items
+class Machine:
+    """The automaton of a list of items (id, text)."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        import ahocorasick
+
+        self.symbols: dict[bytes, int] = {}
+        self.texts: list[array] = []
+        self.names: list[str] = []
+        size = (window + 1) // 2
+        blocks: Counter[tuple[int, ...]] = Counter()
+        for name, text in items:
+            found = array("i", [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)])
+            if found:
+                self.texts.append(found)
+                self.names.append(name)
+                if len(found) >= window:
+                    blocks.update(tuple(found[at : at + size]) for at in range(0, len(found) - size + 1, size))
+        # What is followed: (text, place) by block. What is a hit as it is: whole windows and short items, with their texts.
+        followed: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        whole: dict[tuple[int, ...], list[int]] = {}
+        for k, found in enumerate(self.texts):
+            if len(found) < window:
+                whole.setdefault(tuple(found), []).append(k)
+                continue
+            rare = []
+            for at in range(0, len(found) - size + 1, size):
+                block = tuple(found[at : at + size])
+                rare.append(blocks[block] <= MOST_PLACES)
+                if rare[-1]:
+                    followed.setdefault(block, []).append((k, at))
+            for i in range(len(found) - window + 1):
+                if not any(rare[-(-i // size) : (i + window) // size]):
+                    owners = whole.setdefault(tuple(found[i : i + window]), [])
+                    if not owners or owners[-1] != k:
+                        owners.append(k)
+        self.window = window
+        #: By number of a pattern: its length, the places to follow, and the texts that it is a hit of.
+        self.values: list[tuple[int, list[tuple[int, int]], list[int]]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for pattern in followed.keys() | whole.keys():
+            self.automaton.add_word(pattern, len(self.values))
+            self.values.append((len(pattern), followed.get(pattern, []), whole.get(pattern, [])))
+        if self.values:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """(words, merged hits as ranges of word numbers, items). One pass over the normalised text."""
+        words = words_of(text)
+        if not words or not self.values:
+            return len(words), [], set()
+        known = self.symbols.get
+        line = tuple([known(w, 0) for w in words])
+        ranges: list[tuple[int, int]] = []
+        items: set[str] = set()
+        told: set[int] = set()
+        # For each way to lay a text beside the document: how far it has been followed.
+        reached: dict[tuple[int, int], int] = {}
+        for last, number in self.automaton.iter(line):
+            size, places, owners = self.values[number]
+            start, end = last - size + 1, last + 1
+            if owners:
+                ranges.append((start, end))
+                if number not in told:
+                    told.add(number)
+                    items.update(self.names[k] for k in owners)
+            for k, at in places:
+                if reached.get((k, start - at), -1) >= end:
+                    continue
+                other = self.texts[k]
+                a, i = start, at
+                while a and i and line[a - 1] == other[i - 1]:
+                    a, i = a - 1, i - 1
+                b, j = end, at + size
+                while b < len(line) and j < len(other) and line[b] == other[j]:
+                    b, j = b + 1, j + 1
+                reached[k, start - at] = b
+                if b - a >= self.window:
+                    ranges.append((a, b))
+                    items.add(self.names[k])
+        return len(words), merged(ranges), items
+
+
+#: The automaton that this process made last, by the name of its list.
+_made: dict[str, Machine] = {}
+
+
+def machine_of(name: str, shared: Broadcast, window: int) -> Machine:
+    """One automaton in a worker process, however many of a stage's tasks it runs."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Machine(shared.value, window)
+    return _made[name]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,16 +174,17 @@ ADDED = {
 }
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in lists of at most ``size`` bytes of text (or one item)."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in lists of at most ``most`` words (or one item)."""
     block, used = [], 0
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
     for item, text in rows.toLocalIterator():
-        if block and used + len(text) > size:
+        n = len(words_of(text))
+        if block and used + n > most:
             yield block
             block, used = [], 0
         block.append(("null" if item is None else item, text))
-        used += len(text)
+        used += n
     yield block
 
 
@@ -131,7 +195,7 @@ def find_contamination(
     item_col: str = "item_id",
     bench_text_col: str = "text",
     window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Find every benchmark window in every document; adds to ``docs``:
 
@@ -147,27 +211,29 @@ def find_contamination(
     Null or empty text: no words, no hits. Null benchmark texts and items
     without words have no window; a null item id is listed as ``null``. Equal
     windows of several items count for each. Repeated rows are judged one by
-    one, empty tables give no rows or no hits, other columns pass through.
+    one, empty tables give no rows or no hits, other columns pass through, but
+    input columns with the added columns' names are replaced.
     """
     spark = docs.sparkSession
+    docs = without(docs, *ADDED)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in ADDED.items()]])
     text_at = docs.columns.index(text_col)
     width = len(docs.columns)
     out = docs
-    for number, items in enumerate(blocks(benchmark, item_col, bench_text_col, block_bytes)):
+    for number, items in enumerate(blocks(benchmark, item_col, bench_text_col, block_words)):
         if number:
             out = cut_lineage(out)
-        shared = spark.sparkContext.broadcast(items)
+        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = automaton(shared.value, window)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            machine = machine_of(name, shared, window)
             for batch in batches:
                 texts = batch.column(text_at)
                 later = batch.num_columns > width
                 cols: list[list] = [[], [], [], [], []]
                 for i in range(batch.num_rows):
                     text = texts[i].as_py()
-                    n, ranges, ids = scan(text, machine)
+                    n, ranges, ids = machine.scan(text)
                     if later:
                         had = batch.column(width + 4)[i].as_py()
                         ranges = merged([*ranges, *((r["start"], r["end"]) for r in had)])
@@ -190,8 +256,11 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; same columns, null texts stay."""
-    found = find_contamination(docs, benchmark, **options)
-    return found.where(F.col("bench_n_hit") == 0).drop(*ADDED)
+    # Columns of these names go round the search under others.
+    aside = {c: new for c, new in zip(docs.columns, free_names(docs, *docs.columns), strict=True) if c.lower() in ADDED}
+    found = find_contamination(docs.withColumnsRenamed(aside), benchmark, **options)
+    kept = found.where(F.col("bench_n_hit") == 0).drop(*ADDED)
+    return kept.withColumnsRenamed({new: c for c, new in aside.items()})
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

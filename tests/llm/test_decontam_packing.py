@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grovespark.llm.decontam import ADDED, drop_contaminated, find_contamination
+from grovespark.llm import decontam
+from grovespark.llm.decontam import ADDED, Machine, drop_contaminated, find_contamination
 from grovespark.llm.packing import cuts, pack
 from grovespark.llm.shards import positions, read_records, slots, training_order, write_shards
 from grovespark.llm.tokens import default_vocabulary, load
@@ -54,12 +56,12 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
-def test_contamination_as_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 20])
+def test_contamination_as_brute_force(spark, block_words):
     rows = list(enumerate(TEXTS + TEXTS))
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit(0), "n_hit": F.lit(1)})
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = {r["doc_id"]: r for r in find_contamination(docs, bench, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: r for r in find_contamination(docs, bench, block_words=block_words).collect()}
     for doc, text in rows:
         n, hit, items = brute(text, BENCH)
         r = got[doc]
@@ -70,6 +72,50 @@ def test_contamination_as_brute_force(spark, block_bytes):
             assert (s["start"], s["end"]) == (words[w["start"]][1], words[w["end"] - 1][2])
 
 
+SOME = st.lists(st.sampled_from("a b c d e".split()), max_size=40).map(" ".join)
+
+
+@given(st.lists(SOME, max_size=6), SOME, st.sampled_from([0, 1, 8]), st.sampled_from([1, 2, 3, 4, 10]))
+@settings(max_examples=300, deadline=None)
+def test_machine_as_brute_force(items, text, places, window):
+    bench = [(str(i), t) for i, t in enumerate(items)]
+    words, hit, found = text.split(), set(), set()
+    for name, t in bench:
+        b = t.split()
+        n = min(window, len(b))
+        for i in range(len(b) - n + 1 if n else 0):
+            for at in range(len(words) - n + 1):
+                if words[at : at + n] == b[i : i + n]:
+                    hit.update(range(at, at + n))
+                    found.add(name)
+    old, decontam.MOST_PLACES = decontam.MOST_PLACES, places
+    try:
+        n, ranges, names = Machine(bench, window).scan(text)
+    finally:
+        decontam.MOST_PLACES = old
+    assert (n, sorted(x for a, b in ranges for x in range(a, b)), names) == (len(words), sorted(hit), found)
+
+
+def test_machine_stands_repeated_words_and_long_texts():
+    """A benchmark and a text of one word, and a benchmark with one line in every item: time by length."""
+    began = time.time()
+    n, ranges, names = Machine([(str(i), "a " * 5000) for i in range(20)], 10).scan("a " * 200_000)
+    assert (n, ranges, len(names)) == (200_000, [(0, 200_000)], 20)
+    line = "question one of the following is the right answer to "
+    machine = Machine([(str(i), line + " ".join(f"w{(i * 7 + j) % 5000}" for j in range(30))) for i in range(5000)], 10)
+    n, ranges, names = machine.scan((line + "nothing at all that is listed ") * 20_000)
+    assert len(ranges) == 20_000 and len(names) == 5000
+    assert time.time() - began < 60
+
+
+def test_clashing_names(spark):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "fine"), (2, "a short item, größe")], "doc_id long, text string").withColumn("Bench_N_hit", F.lit("mine"))
+    assert find_contamination(docs, bench).columns == ["doc_id", "text", *ADDED]
+    kept = drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "fine", "mine")]
+
+
 def test_dropping_keeps_clean_documents_and_columns(spark, docs, no_docs):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     bad = spark.createDataFrame([(99, "yes: short item größe", "en", "a", 1)], docs.schema)
