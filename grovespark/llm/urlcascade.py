@@ -7,18 +7,20 @@ listed: level 0 holds the listed keys, level 1 the corpus's candidates that
 level 0 lets through by mistake, level 2 the listed keys that level 1 holds by
 mistake, and so on until a level makes no mistake. As the universe of candidates
 is known in full, the answer is exact, and the pages are not joined to the list.
+
+A long list is cut into shards by a hash of the key, each with a cascade of its
+own over its part of the universe, so that no filter outgrows a task.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import ascii_lower, cut_lineage, table
+from grovespark.llm.common import ascii_lower, cut_lineage, free_names, table, without
 
 #: The rules of the production query: (action, host, path prefix).
 RULES = (
@@ -29,10 +31,12 @@ RULES = (
 )
 #: A byte of a filter holds seven bits, so that it is a character of one byte that ``ascii`` can read.
 BITS = 7
-#: Lists above this many keys are looked up by a join: a filter goes to every task, so it must stay small.
-MAX_KEYS = 5_000_000
-#: What a level may hold at most. The first takes about 30 bits a key, and later ones fewer.
-MAX_FILTER_BYTES = 64 << 20
+#: Bytes of a filter that make one row on their way to the driver.
+SLICE = 4096
+#: Bytes of a first level that one shard's cascade has at most, about; later levels hold fewer.
+SHARD_BYTES = 8 << 20
+#: Salts of the hashes that deal keys out to shards, and of the cascade that tells blocking from allowing rules.
+SHARD_SALT, BLOCKING = 77, 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -70,129 +74,155 @@ class Bloom:
         self.data, self.n_bits, self.hashes, self.level = data, n_bits, hashes, level
 
     @staticmethod
-    def places(key: Column, n_bits: int, hashes: int, level: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(1000 * level + i), key), F.lit(n_bits)) for i in range(hashes)]
+    def places(key: Column, n_bits: int, hashes: int, level: int) -> Column:
+        return F.array(*[F.pmod(F.xxhash64(F.lit(1000 * level + i), key), F.lit(n_bits)) for i in range(hashes)])
+
+    @staticmethod
+    def size(n: int, rate: float) -> tuple[int, int]:
+        """(bits, hashes) of a level of so many keys."""
+        hashes = max(1, round(-math.log2(rate)))
+        return max(64, math.ceil(1.1 * n * hashes / math.log(2))), hashes
 
     @classmethod
     def build(cls, keys: DataFrame, n: int, rate: float, level: int) -> Bloom:
-        """``keys`` has one column, key. What comes to the driver is at most the filter's bytes."""
-        hashes = max(1, round(-math.log2(rate)))
-        n_bits = max(64, math.ceil(1.1 * n * hashes / math.log(2)))
-        if n_bits / BITS > MAX_FILTER_BYTES:
-            raise ValueError("filter is too large to send to every task")
-        place = F.explode(F.array(*cls.places(F.col("key"), n_bits, hashes, level)))
-        rows = (
-            keys.select(place.alias("p"))
-            .groupBy(F.floor(F.col("p") / BITS).cast("int").alias("byte"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(BITS)).cast("int"))).alias("bits"))
-            .collect()
+        """``keys`` has one column, key. Tasks put the bits together; the driver gets the filter in slices, as text."""
+        n_bits, hashes = cls.size(n, rate)
+        n_bytes = n_bits // BITS + 1
+        place = keys.select(F.explode(cls.places(F.col("key"), n_bits, hashes, level)).alias("p"))
+        bit = F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(BITS)).cast("int"))
+        set_bits = place.select(F.floor(F.col("p") / BITS).cast("int").alias("byte"), bit.alias("bits"))
+        every = keys.sparkSession.range(n_bytes).select(F.col("id").cast("int").alias("byte"), F.lit(0).alias("bits"))
+        filled = set_bits.union(every).groupBy("byte").agg(F.bit_or("bits").alias("bits"))
+        slices = filled.groupBy(F.floor(F.col("byte") / SLICE).alias("slice")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("byte", "bits"))), lambda x: F.char(x["bits"])), "").alias("text")
         )
-        data = bytearray(n_bits // BITS + 1)
-        for byte, bits in rows:
-            data[byte] = bits
-        return cls(bytes(data), n_bits, hashes, level)
+        data = "".join(text for _, text in sorted(map(tuple, slices.collect()))).encode("ascii")
+        if len(data) != n_bytes:
+            raise RuntimeError("slices of a filter are missing")
+        return cls(data, n_bits, hashes, level)
 
     def holds(self, key: Column) -> Column:
+        """The literal stands in the expression once, however many hashes there are."""
+
         def bit(p: Column) -> Column:
             byte = F.ascii(F.substring(F.lit(self.data), F.floor(p / BITS).cast("int") + 1, F.lit(1)).cast("string"))
             return F.getbit(byte, F.pmod(p, F.lit(BITS)).cast("int")) == 1
 
-        return reduce(lambda a, b: a & b, map(bit, self.places(key, self.n_bits, self.hashes, self.level)))
+        return F.forall(self.places(key, self.n_bits, self.hashes, self.level), bit)
 
 
 class Cascade:
     """Exact membership for the keys of one universe."""
 
-    def __init__(self, levels: list[Bloom]):
-        self.levels = levels
+    def __init__(self, levels: list[Bloom], first: int = 0):
+        self.levels, self.first = levels, first
+
+    @staticmethod
+    def rate(n_in: int, n_out: int) -> float:
+        """Of the first level: so that it lets through about as many of the others as there are listed keys."""
+        return min(0.5, max(1e-9, math.sqrt(0.5) * n_in / max(1, n_out)))
 
     @classmethod
-    def build(cls, listed: DataFrame, others: DataFrame, most: int = 60) -> Cascade:
-        """``listed`` and ``others`` have one column, key: distinct, and with nothing in common.
+    def build(cls, listed: DataFrame, universe: DataFrame, most: int = 60, first: int = 0) -> Cascade:
+        """``listed`` and ``universe`` have one column, key, of distinct keys; listed keys may be in both.
 
-        The first level's rate is set by the two sizes, so that it lets through
-        about as many of the others as there are listed keys; each later level halves.
+        Each level after the first halves. Levels are numbered from ``first`` on, an
+        even number, so that cascades have hashes of their own.
         """
-        inside, outside = listed, others
-        n_in, n_out = listed.count(), others.count()
+        inside, outside = listed, universe
+        n_in, n_out = listed.count(), universe.count()
         levels: list[Bloom] = []
         while n_in and len(levels) < most:
-            rate = 0.5 if levels else min(0.5, max(1e-9, math.sqrt(0.5) * n_in / max(1, n_out)))
-            level = Bloom.build(inside, n_in, rate, len(levels))
+            level = Bloom.build(inside, n_in, 0.5 if levels else cls.rate(n_in, n_out), first + len(levels))
+            passed = outside.where(level.holds(F.col("key")))
+            # Of the universe, only what the first level lets through has to be told from the listed keys.
+            wrong = cut_lineage(passed if levels else passed.join(listed, "key", "left_anti"))
             levels.append(level)
-            wrong = cut_lineage(outside.where(level.holds(F.col("key"))))
             inside, outside = wrong, inside
-            n_in, n_out = wrong.count(), n_in
+            n_in = wrong.count()
         if n_in:
             raise RuntimeError("the cascade did not end")
-        return cls(levels)
+        return cls(levels, first)
 
     def holds(self, key: Column) -> Column:
         """The first level that lacks the key decides: an even one says no, an odd one says yes."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
-            out = F.when(~level.holds(key), F.lit(level.level % 2 == 1)).otherwise(out)
+            out = F.when(~level.holds(key), F.lit((level.level - self.first) % 2 == 1)).otherwise(out)
         return out
 
 
+ADDED = ("url_host", "url_path", "url_rule", "url_verdict")
+
+
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] | DataFrame = RULES,
     url_col: str = "url",
     default: str = "allow",
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Judge every url; returns ``pages`` with ``url_host``, ``url_path``, ``url_rule`` and ``url_verdict``.
 
     A rule fits its host and all hosts below, where the path starts with the
     rule's; the longest key wins, and of equal ones that with the longer host.
     A url that no rule fits gets a null rule and ``default``: it is not listed.
+    Two rules with one host and path are refused; one without either fits nothing.
 
     One cascade tells which candidates are listed, a second one, over the listed
-    keys alone, which of them block. Null urls and urls without ``://`` have
-    empty host and path. Repeated rows are judged one by one; an empty table
-    gives an empty result; other columns pass through.
+    keys alone, which of them block. A list whose first level would take more
+    than ``shard_bytes`` is cut into shards; each has two cascades, and pages go
+    through one shard after the other, with the best rule so far, so a task holds
+    one shard's filters.
+
+    Null urls and urls without ``://`` have empty host and path. Very long urls
+    are judged whole. Repeated rows are judged one by one; an empty table gives
+    an empty result, an empty list lists nothing; other columns pass through, but
+    input columns with the added columns' names, other than ``url_col``, are replaced.
     """
     if not isinstance(rules, DataFrame):
         rules = rule_frame(pages.sparkSession, rules)
+    rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
     rules = cut_lineage(rules.select("action", key_of(F.col("host"), F.col("path")).alias("key"), F.char_length("path").alias("n")))
     n_rules, n_keys = rules.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
     if n_rules != n_keys:
         raise ValueError("a host and path is listed twice")
-    lengths = [n for (n,) in rules.select("n").distinct().collect()]
-    host, path = split_url(F.col(url_col))
-    split = pages.withColumns({"url_host": host, "url_path": path})
-    cands = candidates(F.col("url_host"), F.col("url_path"), lengths)
-    if n_keys > MAX_KEYS:
-        return judged_by_join(split, rules, cands, default)
-
-    listed = rules.select("key")
-    keys = split.select("url_host", "url_path").distinct().select(F.explode(cands).alias("key")).distinct()
-    universe = cut_lineage(keys.join(listed, "key", "left_anti"))
-    member = Cascade.build(listed, universe)
-    blocks = rules.where(F.col("action") == "block").select("key")
-    allows = rules.where(F.col("action") != "block").select("key")
-    blocking = Cascade.build(blocks, allows)
-
-    found = F.get(F.filter(cands, member.holds), F.lit(0))
-    return split.withColumn("url_rule", found).withColumn(
-        "url_verdict",
-        F.when(F.col("url_rule").isNull(), F.lit(default))
-        .when(blocking.holds(F.col("url_rule")), F.lit("block"))
-        .otherwise(F.lit("allow")),
-    )
-
+    lengths = [n for (n,) in rules.select("n").distinct().collect()] or [0]
+    host, path, best, hit = free_names(pages, "h", "p", "best", "hit")
+    url_host, url_path = split_url(F.col(url_col))
+    split = pages.withColumns({host: url_host, path: url_path})
+    cands = candidates(F.col(host), F.col(path), lengths)
+
+    keys = split.select(host, path).distinct().select(F.explode(cands).alias("key")).distinct()
+    universe = cut_lineage(keys)
+    bits, _ = Bloom.size(n_keys, Cascade.rate(max(1, n_keys), universe.count()))
+    shards = max(1, -(-(bits // BITS) // shard_bytes))
+
+    def shard(key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(SHARD_SALT), key), F.lit(shards))
+
+    kind = "struct<pos:int,key:string,blocks:boolean>"
+    split = split.withColumn(best, F.lit(None).cast(kind))
+    for number in range(shards):
+        own, others = (df.where(shard(F.col("key")) == number) if shards > 1 else df for df in (rules, universe))
+        member = Cascade.build(own.select("key"), others)
+        blocking = Cascade.build(
+            own.where(F.col("action") == "block").select("key"), own.where(F.col("action") != "block").select("key"), first=BLOCKING
+        )
 
-def judged_by_join(split: DataFrame, rules: DataFrame, cands: Column, default: str) -> DataFrame:
-    """The same for lists above ``MAX_KEYS``: each distinct host and path is judged once, through a join."""
-    each = split.select("url_host", "url_path").distinct().select("url_host", "url_path", F.posexplode(cands).alias("pos", "key"))
-    best = each.join(rules.select("key", "action"), "key").groupBy("url_host", "url_path").agg(
-        F.min(F.struct("pos", "key", "action")).alias("best")
-    )
-    return split.join(best, ["url_host", "url_path"], "left").select(
-        *[F.col(c) for c in split.columns],
-        F.col("best.key").alias("url_rule"),
-        F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.action") == "block", F.lit("block")).otherwise(F.lit("allow")).alias("url_verdict"),
-    )
+        places = F.transform(cands, lambda key, i: F.struct(i.alias("pos"), key.alias("key")))
+        in_shard = F.filter(places, lambda x: shard(x["key"]) == number) if shards > 1 else places  # noqa: B023
+        found = split.withColumn(hit, F.get(F.filter(in_shard, lambda x: member.holds(x["key"])), F.lit(0)))  # noqa: B023
+        new = F.when(F.col(hit).isNotNull(), F.struct(F.col(hit)["pos"], F.col(hit)["key"], blocking.holds(F.col(hit)["key"])).cast(kind))
+        # The smaller place is that of the longer key; null is passed over.
+        split = found.withColumn(best, F.least(best, new) if number else new).drop(hit)
+        if number + 1 < shards:
+            split = cut_lineage(split)
+
+    verdict = F.when(F.col(best).isNull(), F.lit(default)).when(F.col(best)["blocks"], F.lit("block")).otherwise(F.lit("allow"))
+    judged = dict(zip(ADDED, (F.col(host), F.col(path), F.col(best)["key"], verdict), strict=True))
+    passed = [c for c in without(pages, *(a for a in ADDED if a != url_col.lower())).columns]
+    return split.select(*[F.col(f"`{c}`") for c in passed], *[c.alias(n) for n, c in judged.items() if n != url_col.lower()])
 
 
 def rule_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovespark.llm.linededup import dedup_lines
-from grovespark.llm.urlcascade import RULES, Cascade, filter_urls, judged_by_join, rule_frame
+from grovespark.llm.urlcascade import ADDED, RULES, Bloom, Cascade, filter_urls, rule_frame
 
 BLANKS = " \t\n\x0b\f\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -86,23 +86,41 @@ def test_urls_as_brute_force(spark):
     assert got == {i: brute_url(u, RULES) for i, u in enumerate(urls)}
 
 
-def test_many_rules_and_the_way_by_join(spark):
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 40])
+def test_many_rules_in_one_shard_and_in_several(spark, shard_bytes):
     rng = random.Random(5)
     hosts = [f"h{i}.example.{t}" for i in range(40) for t in ("com", "net", "org")]
     rules = [(rng.choice(("block", "allow")), h, rng.choice(("/", "/a/", "/ab"))) for h in rng.sample(hosts, 60)]
     urls = [f"http://{rng.choice(('', 'www.', 'x.y.'))}{rng.choice(hosts)}{rng.choice(('', '/', '/a/b', '/abc', '/c?d'))}" for _ in range(600)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     want = {i: brute_url(u, rules) for i, u in enumerate(urls)}
-    got = {r["page_id"]: (r["url_host"], r["url_path"], r["url_rule"], r["url_verdict"]) for r in filter_urls(pages, rules).collect()}
+    judged = filter_urls(pages, rules, shard_bytes=shard_bytes)
+    got = {r["page_id"]: (r["url_host"], r["url_path"], r["url_rule"], r["url_verdict"]) for r in judged.collect()}
     assert got == want
-    from grovespark.llm.urlcascade import candidates, key_of, split_url
-
-    host, path = split_url(F.col("url"))
-    split = pages.withColumns({"url_host": host, "url_path": path})
-    listed = rule_frame(spark, rules).select("action", key_of(F.col("host"), F.col("path")).alias("key"))
-    cands = candidates(F.col("url_host"), F.col("url_path"), [len(p) for _, _, p in rules])
-    joined = judged_by_join(split, listed, cands, "allow")
-    assert {r["page_id"]: (r["url_host"], r["url_path"], r["url_rule"], r["url_verdict"]) for r in joined.collect()} == want
+
+
+def test_a_filter_stands_in_the_plan_once_and_is_put_together_in_tasks(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    level = Bloom.build(keys, 3000, 0.01, 0)
+    bits, hashes = Bloom.size(3000, 0.01)
+    assert hashes == 7 and len(level.data) == bits // 7 + 1 and max(level.data) < 128
+    assert keys.where(~level.holds(F.col("key"))).count() == 0
+    others = spark.range(10_000, 30_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    found = others.where(level.holds(F.col("key")))
+    assert found.count() < 0.03 * 20_000
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(level.data[:40].hex().upper()) <= 1
+
+
+def test_clashing_columns_and_awkward_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
+    odd = pages.withColumns({"URL_host": F.lit("mine"), "best": F.lit(1), "h": F.lit(2), "hit": F.lit(3), "key": F.lit(4)})
+    got = filter_urls(odd)
+    assert got.columns == ["page_id", "url", "best", "h", "hit", "key", *ADDED]
+    rows = {r["page_id"]: r for r in got.collect()}
+    assert tuple(rows[1])[2:] == (1, 2, 3, 4, "a.net", "/x", "net/", "block") and tuple(rows[2])[6:] == ("", "", None, "allow")
+    assert [r["url_verdict"] for r in filter_urls(pages, rule_frame(spark, [("block", "a.net", "/")]).where("false")).collect()] == ["allow"] * 2
+    nulls = spark.createDataFrame([("block", None, "/"), ("block", None, "/"), ("block", "net", "/")], "action string, host string, path string")
+    assert {r["page_id"]: r["url_rule"] for r in filter_urls(pages, nulls).collect()} == {1: "net/", 2: None}
 
 
 def test_cascade_is_exact(spark):
