@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import cut_lineage, table
+from grovespark.llm.common import cut_lineage, set_aside, table
 from grovespark.llm.decontam import drop_contaminated
-from grovespark.llm.linededup import dedup_lines
+from grovespark.llm.linededup import ADDED, dedup_lines
 from grovespark.llm.packing import pack
 from grovespark.llm.simhash import near_dedup
 from grovespark.llm.toxicity import drop_toxic
@@ -20,7 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines stay in the first document alone. ``n_chars`` is counted anew."""
-    out = dedup_lines(docs).drop("dedup_n_lines", "dedup_n_dropped")
+    docs, back = set_aside(docs, *ADDED)
+    out = dedup_lines(docs).drop(*ADDED).withColumnsRenamed(back)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a folder only where none is set (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; make a folder only where none is set and all runs in one process (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -40,6 +43,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken]) if taken & {c.lower() for c in df.columns} else df
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names, in whatever case, under free names; and what gives them their names back."""
+    taken = {n.lower() for n in names}
+    new = {c: n for c, n in zip(df.columns, free_names(df, *df.columns), strict=True) if c.lower() in taken}
+    return df.withColumnsRenamed(new), {n: c for c, n in new.items()}
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores at its end as no column of ``df`` has: for columns of an operator's own."""
     taken = {c.lower() for c in df.columns}

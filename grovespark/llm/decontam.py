@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.common import cut_lineage, free_names, table, without
+from grovespark.llm.common import cut_lineage, set_aside, table, without
 
 WINDOW = 10
 #: Words of the benchmark that one automaton takes, some 200 bytes each; more go to further automata, one pass over the documents each.
@@ -256,11 +256,9 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; same columns, null texts stay."""
-    # Columns of these names go round the search under others.
-    aside = {c: new for c, new in zip(docs.columns, free_names(docs, *docs.columns), strict=True) if c.lower() in ADDED}
-    found = find_contamination(docs.withColumnsRenamed(aside), benchmark, **options)
-    kept = found.where(F.col("bench_n_hit") == 0).drop(*ADDED)
-    return kept.withColumnsRenamed({new: c for c, new in aside.items()})
+    docs, back = set_aside(docs, *ADDED)
+    found = find_contamination(docs, benchmark, **options)
+    return found.where(F.col("bench_n_hit") == 0).drop(*ADDED).withColumnsRenamed(back)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.common import cut_lineage, table
+from grovespark.llm.common import cut_lineage, table, without
 
 #: Letters in an n-gram; a gap between words counts as one, at either end.
 N = 4
-#: Labelled rows that the filters are made from at most (about: each row's id decides).
+#: Labelled rows that the filters are made from at most (about: each row's id decides). Languages share them evenly,
+#: and those with fewer rows than their share are taken whole.
 MAX_ROWS = 20_000
 #: An n-gram belongs to a language if it was seen so often there, and its rate is at least this part of the highest rate.
 MIN_COUNT, MIN_SHARE = 3, 0.2
-#: The most frequent n-grams of a language that its filter holds at most.
+#: The most frequent n-grams of a language that its filter holds, about: the size of the table that each task holds.
 MAX_GRAMS = 200_000
 HASHES = 3
 BITS_PER_GRAM = 12
@@ -117,14 +118,25 @@ class Filters:
         return self.languages[best], float(likely[best] / total) if total else 0.0
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """The part of each language's rows to learn from: all of those with few, and of the others as many rows each."""
+    out = {}
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        taken = min(n, max(1, most // (len(sizes) - i)))
+        out[lang] = taken / n
+        most -= taken
+    return out
+
+
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS
 ) -> Filters:
     """Learn from rows with a language whose crc32(id) mod 5 is not 0; at most about ``max_rows``, by a hash of the id.
 
     N-grams are counted in the tasks and summed before and after the shuffle; what
-    reaches the driver is at most ``MAX_GRAMS`` numbers a language. Languages are
-    in order of their training rows, so ties go to the more frequent one.
+    reaches the driver is at most about ``MAX_GRAMS`` numbers a language. Languages
+    are in order of their rows, so ties go to the more frequent one. Rows without
+    a text, a language or an id teach nothing; repeated rows count each time.
     """
     own = F.crc32(F.col(id_col).cast("string").cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
@@ -132,9 +144,11 @@ def train(
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     languages = [r["lang"] for r in sorted(sizes, key=lambda r: (-r["n"], r["lang"]))]
-    total = sum(r["n"] for r in sizes)
-    part = int(min(1.0, max_rows / max(1, total)) * (1 << 30))
-    some = rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) < part)
+    parts = shares({r["lang"]: r["n"] for r in sizes}, max_rows)
+    some = rows
+    if any(p < 1 for p in parts.values()):
+        limits = F.create_map(*[F.lit(x) for lang, p in parts.items() for x in (lang, int(p * (1 << 30)))])
+        some = rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) < F.element_at(limits, F.col("lang")))
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +175,19 @@ def train(
     kept = per_gram.select("gram", "top", F.inline("in")).where(
         (F.col("n") >= MIN_COUNT) & (F.col("rate") >= MIN_SHARE * F.col("top"))
     )
-    # For each language the smallest count that at most so many n-grams reach; a count's n-grams are all in or all out.
-    least = dict.fromkeys(totals, MIN_COUNT)
+    # For each language the count of its last n-grams that are in, and the part of those with just that count, by a hash.
+    last = {lang: (MIN_COUNT, 1.0) for lang in totals}
     seen = dict.fromkeys(totals, 0)
     for lang, n, many in sorted(map(tuple, kept.groupBy("lang", "n").agg(F.count(F.lit(1))).collect()), key=lambda r: -r[1]):
+        if seen[lang] < MAX_GRAMS:
+            last[lang] = (n, min(1.0, (MAX_GRAMS - seen[lang]) / many))
         seen[lang] += many
-        if seen[lang] > MAX_GRAMS:
-            least[lang] = max(least[lang], n + 1)
-    bound = F.element_at(F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v)]), F.col("lang"))
-    best = kept.where(F.col("n") >= bound).select("lang", "gram").toArrow()
+    bound, part = (
+        F.element_at(F.create_map(*[F.lit(x) for k, v in last.items() for x in (k, f(v))]), F.col("lang"))
+        for f in (lambda v: v[0], lambda v: int(v[1] * (1 << 20)))
+    )
+    own = F.pmod(F.xxhash64("gram", F.lit(7)), F.lit(1 << 20))
+    best = kept.where((F.col("n") > bound) | ((F.col("n") == bound) & (own < part))).select("lang", "gram").toArrow()
     owners, found = best.column("lang").to_numpy(), best.column("gram").to_numpy().view(np.uint64)
     arrays = {lang: found[owners == lang] for lang in totals}
     most = max(len(a) for a in arrays.values())
@@ -184,8 +202,10 @@ def add_languages(docs: DataFrame, filters: Filters, text_col: str = "text") ->
 
     A text whose n-grams are in no filter gets the most frequent language and
     score 0. Whole texts, however long, are hashed in pieces. Repeated rows get
-    the same answer; an empty table gives no rows; other columns pass through.
+    the same answer; an empty table gives no rows; other columns pass through, but
+    input columns called ``lang_pred`` or ``lang_score`` are replaced.
     """
+    docs = without(docs, "lang_pred", "lang_score")
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
     )

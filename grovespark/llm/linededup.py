@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import BLANKS, ascii_lower, cut_lineage, hash_pair
+from grovespark.llm.common import BLANKS, ascii_lower, cut_lineage, free_names, hash_pair, table, without
 
 
 def line_key(line: Column) -> Column:
@@ -13,6 +13,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(BLANKS)))
 
 
+ADDED = ("dedup_n_lines", "dedup_n_dropped")
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -33,9 +36,12 @@ def dedup_lines(
     ids that occur twice do no harm.
 
     Null or empty text: one empty line. Rows with one id are one document. Rows
-    with a null id count as one document that comes after all others. An empty
-    table gives an empty result. Names of other columns don't matter.
+    with a null id count as one document that comes after all others. Very long
+    texts and lines are taken whole. An empty table gives an empty result. Other
+    columns pass through, but input columns called ``dedup_n_lines`` or
+    ``dedup_n_dropped`` are replaced.
     """
+    docs = without(docs, *ADDED)
     text = F.coalesce(F.col(text_col), F.lit(""))
     one, two = hash_pair(text)
     ids = docs.select(F.col(id_col).alias("id"), one.alias("t1"), two.alias("t2"), text.alias("t"))
@@ -62,39 +68,34 @@ def dedup_lines(
     # The counts are already dealt out by both hashes, and a join would take them as they are; but only a join
     # whose two sides are dealt out for it is split where a key is hot. A third part of the key brings that about.
     third = F.col("k1").bitwiseXOR(F.col("k2")) == F.col("s1").bitwiseXOR(F.col("s2"))
+    own_1, own_2, own_lines, id_of, of_1, of_2, gone = free_names(docs, "t1", "t2", "lines", "id", "d1", "d2", "gone")
     dropped = (
         lines.join(seen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & third)
         .where(~F.col("id").eqNullSafe(F.col("first")))
-        .groupBy(F.col("id").alias("__id"), F.col("t1").alias("__d1"), F.col("t2").alias("__d2"))
-        .agg(F.collect_set("pos").alias("__gone"))
+        .groupBy(F.col("id").alias(id_of), F.col("t1").alias(of_1), F.col("t2").alias(of_2))
+        .agg(F.collect_set("pos").alias(gone))
     )
-    # Null-safe: a null id has its own group. The dropped side is the small one.
-    base = docs.withColumns({"__t1": one, "__t2": two})
-    joined = base.join(
-        dropped.hint("shuffle_hash"),
-        (F.col("__t1") == F.col("__d1")) & (F.col("__t2") == F.col("__d2")) & F.col(id_col).eqNullSafe(F.col("__id")),
+    # Null-safe: a null id has its own group.
+    joined = docs.withColumns({own_1: one, own_2: two}).join(
+        dropped,
+        (F.col(own_1) == F.col(of_1)) & (F.col(own_2) == F.col(of_2)) & F.col(id_col).eqNullSafe(F.col(id_of)),
         "left",
     )
-    parts = F.split(text, "\n", -1)
+    joined = joined.withColumn(own_lines, F.split(text, "\n", -1))
     # array_except would also drop repeats, but positions have none.
     kept = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")),
-        lambda i: F.get(F.col("__lines"), i),
+        F.array_except(F.sequence(F.lit(0), F.size(own_lines) - 1), F.col(gone)),
+        lambda i: F.get(F.col(own_lines), i),
     )
-    joined = joined.withColumn("__lines", parts)
-    joined = joined.withColumns(
-        {
-            text_col: F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")),
-            "dedup_n_lines": F.size("__lines").cast("long"),
-            "dedup_n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        }
+    left = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n")).alias(text_col)
+    return joined.select(
+        *[left if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        F.size(own_lines).cast("long").alias("dedup_n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("dedup_n_dropped"),
     )
-    return joined.select(*[F.col(c) for c in docs.columns], "dedup_n_lines", "dedup_n_dropped")
-
 
-def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    from grovespark.llm.common import table
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
         "doc_id",

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import cut_lineage, hash_pair, table
+from grovespark.llm.common import cut_lineage, free_names, hash_pair, table
 from grovespark.llm.components import components
 
 SEED = 42
@@ -507,8 +507,8 @@ def near_dedup(
     times, and must hold the same rows each time.
 
     Equal sets are grouped first. Null, empty and blank texts are one group. Rows with a null id are kept only if their group has no
-    other. Of repeated rows one stays. An empty table gives no rows; other columns
-    pass through.
+    other. Of repeated rows one stays. Very long texts are taken whole. An empty
+    table gives no rows; other columns pass through, whatever their names.
     """
     prints = [f"f{w}" for w in range(WORDS)]
     # A row is known by its id and text, not by its place: a later pass may cut the input into other partitions.
@@ -541,19 +541,20 @@ def near_dedup(
     keep = named.groupBy("root").agg(F.min("best").alias("kept")).select(F.col("root").alias("kept_root"), "kept")
     owner = named.join(keep, F.col("root") == F.col("kept_root")).select(*same, "kept")
     other = (F.col("k1") != F.col("kept.k1")) | (F.col("k2") != F.col("kept.k2"))
-    gone = sig.join(owner, same).where(other).select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct()
-    again = sig.groupBy(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).agg(F.count(F.lit(1)).alias("__times"))
-    again = again.where("__times > 1").drop("__times")
+    own_1, own_2, of_1, of_2, times = free_names(docs, "k1", "k2", "g1", "g2", "times")
+    gone = sig.join(owner, same).where(other).select(F.col("k1").alias(of_1), F.col("k2").alias(of_2)).distinct()
+    again = sig.groupBy(F.col("k1").alias(of_1), F.col("k2").alias(of_2)).agg(F.count(F.lit(1)).alias(times))
+    again = again.where(F.col(times) > 1).drop(times)
 
-    out = docs.withColumns({"__k1": one, "__k2": two})
-    match = (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
+    out = docs.withColumns({own_1: one, own_2: two})
+    match = (F.col(own_1) == F.col(of_1)) & (F.col(own_2) == F.col(of_2))
     gone, n_gone = sized(gone)
     again, n_again = sized(again)
     out = out.join(gone, match, "left_anti")
     if n_again:
         # Rows that are there several times are the only ones that have to meet; most tables have none.
-        out = out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates(["__k1", "__k2"]))
-    return out.drop("__k1", "__k2")
+        out = out.join(again, match, "left_anti").unionByName(out.join(again, match, "left_semi").dropDuplicates([own_1, own_2]))
+    return out.drop(own_1, own_2)
 
 
 def sized(keys: DataFrame) -> tuple[DataFrame, int]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.common import cut_lineage, table
+from grovespark.llm.common import cut_lineage, set_aside, table, without
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -24,8 +24,6 @@ STEMS = (4, 5, 6)
 MAX_ROWS = 12_000
 #: A feature takes part if it is in so many training rows, and so many standard errors from the mean rate.
 MIN_ROWS, MIN_Z = 4, 5.0
-#: Features that take part at most, those that stand out most.
-MAX_FEATURES = 50_000
 THRESHOLD = 0.3
 #: Words whose weights a task keeps at hand.
 MEMO = 500_000
@@ -120,8 +118,7 @@ def standing_out(total: np.ndarray, hits: np.ndarray, rows: int, positives: int)
     """Numbers of the features whose rate of label 1 stands out: ``total`` rows have them, ``hits`` of these with label 1."""
     rate = (positives + 0.5) / (rows + 1)
     z = np.abs(hits - total * rate) / np.sqrt(np.maximum(total, 1) * rate * (1 - rate))
-    found = np.flatnonzero((total >= MIN_ROWS) & (z >= MIN_Z))
-    return np.sort(found[np.argsort(-z[found], kind="stable")[:MAX_FEATURES]])
+    return np.flatnonzero((total >= MIN_ROWS) & (z >= MIN_Z))
 
 
 def fit(
@@ -226,7 +223,8 @@ def train(
     counts = counts.agg(F.count(F.lit(1)).alias("total"), F.sum("label").alias("hits"))
     rate = (positives + 0.5) / (n + 1)
     z = F.abs(F.col("hits") - F.col("total") * rate) / F.sqrt(F.col("total") * (rate * (1 - rate)))
-    best = counts.where((F.col("total") >= MIN_ROWS) & (z >= MIN_Z)).orderBy(z.desc(), "slot").limit(MAX_FEATURES)
+    # At most ``SLOTS`` numbers, whatever the size of the corpus; with a sample of some thousand rows, some thousand.
+    best = counts.where((F.col("total") >= MIN_ROWS) & (z >= MIN_Z))
     columns = np.sort(best.select("slot").toArrow().column("slot").to_numpy().astype(np.int64))
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +251,18 @@ def train(
     return fit(x, np.array([r["label"] for r in got], dtype=np.int64), columns, pairs, fairness)
 
 
+ADDED = ("toxic_score", "toxic_predicted")
+
+
 def add_scores(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``toxic_score`` (0 to 1) and ``toxic_predicted`` (1 from ``threshold`` on).
 
     Null and empty texts get the base rate's score. Repeated rows get the same
-    score, an empty table gives no rows, other columns pass through. The model is
-    some thousand weights. No shuffle.
+    score, an empty table gives no rows, other columns pass through, but input
+    columns with the added columns' names are replaced. Very long texts are scored
+    whole. The model is some thousand weights. No shuffle.
     """
+    docs = without(docs, *ADDED)
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_predicted", T.IntegerType())]
     )
@@ -279,8 +282,10 @@ def add_scores(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; same columns."""
-    scored = add_scores(docs, train(docs, labels, **options))
-    return scored.where(F.col("toxic_predicted") == 0).drop("toxic_score", "toxic_predicted")
+    model = train(docs, labels, **options)
+    docs, back = set_aside(docs, *ADDED)
+    scored = add_scores(docs, model)
+    return scored.where(F.col("toxic_predicted") == 0).drop(*ADDED).withColumnsRenamed(back)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

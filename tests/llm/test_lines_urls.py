@@ -49,7 +49,7 @@ def test_lines_as_brute_force(docs, rows):
 
 
 def test_lines_with_other_bounds_and_clashing_names(docs, rows):
-    odd = docs.withColumns({"id": F.lit(1), "k1": F.lit("x"), "pos": F.lit(2), "gone": F.lit(3), "first": F.lit(4), "t1": F.lit(5)})
+    odd = docs.withColumns({"id": F.lit(1), "k1": F.lit("x"), "pos": F.lit(2), "gone": F.lit(3), "first": F.lit(4), "t1": F.lit(5), "lines": F.lit(6), "T2": F.lit(7), "d1": F.lit(8)})
     got = dedup_lines(odd, min_docs=3)
     assert got.columns == [*odd.columns, "dedup_n_lines", "dedup_n_dropped"]
     found = [tuple(r) for r in got.select("doc_id", "text", "dedup_n_lines", "dedup_n_dropped").collect()]

@@ -58,7 +58,8 @@ def test_stages_stand_an_empty_corpus(spark):
 
 
 def test_stages_stand_awkward_rows_and_clashing_names(spark, docs):
-    names = ("row", "id", "n", "kept_row", "label", "pos", "key", "first", "task", "node", "root", "f0", "toxic", "item_id", "bench", "t1", "k1", "gone", "kept")
+    names = ("row", "id", "n", "kept_row", "label", "pos", "key", "first", "task", "node", "root", "f0", "toxic", "item_id", "bench", "t1", "k1", "gone", "kept", "K2", "g1", "times", "lines", "d2",
+             "toxic_score", "toxic_predicted", "dedup_n_lines", "bench_n_hit", "bench_items", "lang_pred", "url_host", "text_")
     odd = docs
     for i, name in enumerate(names):
         odd = odd.withColumn(name, F.lit(None if i % 5 == 0 else str(i)).cast("string"))

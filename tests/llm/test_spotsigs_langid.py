@@ -157,3 +157,27 @@ def test_long_texts_are_hashed_whole():
     whole = np.concatenate(list(grams(text)))
     assert len(whole) == 60_000 * len(np.concatenate(list(grams("abc defg "))))
     assert len(np.unique(whole)) == len(np.unique(np.concatenate(list(grams("abc defg ")))))
+
+
+def test_languages_share_the_sample_and_rare_ones_are_whole():
+    from grovespark.llm.langid import shares
+
+    sizes = {"big": 10_000_000, "middle": 50_000, "small": 300, "one": 1}
+    parts = shares(sizes, 20_000)
+    taken = {k: parts[k] * n for k, n in sizes.items()}
+    assert parts["one"] == parts["small"] == 1 and sum(taken.values()) <= 20_001
+    assert abs(taken["big"] - taken["middle"]) <= 1 and taken["middle"] > 9_000
+    assert shares({"a": 5}, 20_000) == {"a": 1.0} and shares({}, 10) == {}
+
+
+def test_a_rare_language_is_learned_and_a_full_filter_keeps_part_of_a_level(spark, monkeypatch):
+    from grovespark.llm import langid
+
+    rows = [(i, f"der hund und die katze laufen {i}", "de") for i in range(400)] + [(1000 + i, "xylofon zebra quark", "xx") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(docs, max_rows=40)
+    assert filters.predict("zebra quark")[0] == "xx" and filters.predict("katze und hund")[0] == "de"
+    # All n-grams of "xx" come equally often: a filter that is too small for them holds some of them still.
+    monkeypatch.setattr(langid, "MAX_GRAMS", 6)
+    small = langid.train(docs, max_rows=4000)
+    assert all(np.count_nonzero(small.table[:, 0] & np.uint64(1 << i)) for i in range(2))
