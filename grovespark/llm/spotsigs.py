@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,45 +107,104 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Ids that are gathered for each partition, to cut those that are not whole numbers at.
+IDS_A_PART = 20
+
+
+class Ranges:
+    """Numbered ranges of ids, the largest first and null last. An id that fills several ranges, or null, is cut by the hash of its texts."""
+
+    def __init__(self, found: list, null_parts: int):
+        """``found``: quantiles of the ids, those of frequent ids repeated."""
+        counts = Counter(found)
+        self.values = sorted(counts)
+        self.array = np.array(self.values, dtype=object if self.values and isinstance(self.values[0], str) else np.int64)
+        self.times = np.array([counts[v] for v in self.values], dtype=np.int64)
+        # An id that is a quantile several times has ranges of its own, after that of the smaller ids down to the last quantile.
+        width = np.where(self.times > 1, 1 + self.times, 1)
+        self.start = np.r_[0, np.cumsum(width)].astype(np.int64)
+        self.total = int(self.start[-1]) + 1
+        self.null_parts = null_parts
+
+    def __len__(self) -> int:
+        return self.total + self.null_parts
+
+    def places(self, ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        part = ((hashes.astype(np.int64) ^ np.int64(-(1 << 63))).view(np.uint64) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        if not len(self.values):
+            place = np.zeros(len(ids), dtype=np.int64)
+        else:
+            values = ids.fill_null(self.values[0]).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(self.array, values, side="left")
+            near = np.minimum(at, len(self.values) - 1)
+            own = (at < len(self.values)) & (self.array[near] == values) & (self.times[near] > 1)
+            times = self.times[near]
+            inside = self.start[near] + times - np.floor(part * times).astype(np.int64)
+            place = self.total - 1 - np.where(own, inside, self.start[at])
+        return np.where(null, self.total + np.floor(part * max(1, self.null_parts)).astype(np.int64), place).astype(np.int32)
+
+
 def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(pid, halo, id, text): texts by falling id in numbered partitions, each ending with the next one's first row.
 
-    Partitions are cut at approximate quantiles of the ids; only these and the
-    first id of each partition, a few numbers each, reach the driver. Rows of
-    one id are in the order of their texts; null ids come last.
+    Whole numbers are ids as they are, others as text. Rows of one id are in the
+    order of a hash of their texts; null ids come last. Partitions are cut at
+    approximate quantiles of the ids, and an id with many rows, or null, by that
+    hash. Only the quantiles, or some ids for each partition, and the first id of
+    each partition reach the driver.
     """
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = docs.select(F.col(id_col).cast("long" if whole else "string").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, some.rdd.getNumPartitions()))
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else None
-    found = some.agg(F.percentile_approx("id", shares, 10 * parts + 10_000)).first()[0] if parts > 1 else None
-    cuts = np.array(sorted(set(found or [])), dtype=np.int64)
-    last = len(cuts) + 1
+    shares = [i / parts for i in range(1, parts)]
+    found: list = []
+    n, nulls, found = some.agg(
+        F.count(F.lit(1)),
+        F.count_if(F.col("id").isNull()),
+        F.percentile_approx("id", F.array(*map(F.lit, shares)), 10 * parts + 10_000) if whole and shares else F.lit(None),
+    ).first()
+    if not whole and shares:
+        part = int(min(1.0, IDS_A_PART * parts / max(1, n)) * (1 << 30))
+        rows = some.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id", "h", F.lit(2)), F.lit(1 << 30)) < part)).select("id").collect()
+        ids = sorted(r["id"] for r in rows)
+        found = [ids[int(s * len(ids))] for s in shares] if ids else []
+    ranges = Ranges(found or [], max(1, round(parts * nulls / max(1, n))))
 
     @F.arrow_udf(T.IntegerType())
-    def partition(ids: pa.Array) -> pa.Array:
-        """0 has the largest ids, the last one the null ids."""
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        place = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="left")
-        return pa.array(np.where(null, last, place), pa.int32())
+    def partition(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(ranges.places(ids, hashes.to_numpy(zero_copy_only=False)), pa.int32())
 
-    some = some.withColumn("pid", partition("id"))
-    firsts = sorted(tuple(r) for r in some.select("id", "pid").groupBy("pid").agg(F.max("id")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    some = some.withColumn("pid", partition("id", "h"))
+    # A later place has a larger hash, so a smaller complement.
+    first = some.select("id", "h", "pid").groupBy("pid").agg(F.max(F.struct("id", F.bitwise_not("h").alias("c"))).alias("first")).collect()
+    firsts = sorted((r["pid"], (r["first"]["id"], ~r["first"]["c"])) for r in first)
+    before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
+    first_hashes = np.array(sorted({h for _, (_, h) in firsts}), dtype=np.int64)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def places(ids: pa.Array, pids: pa.Array) -> pa.Array:
+    def places(ids: pa.Array, hashes: pa.Array, pids: pa.Array) -> pa.Array:
         """A row's own partition, and, below zero, that which it follows on."""
-        follows = [before.get(i) for i in ids.to_pylist()]
-        out = [[p] if f is None else [p, -1 - f] for p, f in zip(pids.to_pylist(), follows, strict=True)]
-        return pa.array(out, pa.list_(pa.int32()))
-
-    rows = some.select(F.explode(places("id", "pid")).alias("at"), "id", "text")
+        own, h = pids.to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        follows = np.zeros(len(own), dtype=np.int32)
+        for i in np.flatnonzero(np.isin(h, first_hashes)):
+            if (place := before.get((ids[int(i)].as_py(), int(h[i])))) is not None:
+                follows[i] = -1 - place
+        ends = np.cumsum(1 + (follows < 0))
+        values = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        values[ends[follows < 0] - 1] = follows[follows < 0]
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        values[starts] = own
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values, pa.int32()))
+
+    rows = some.select(F.explode(places("id", "h", "pid")).alias("at"), "id", "text", "h")
     rows = rows.select(
         F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("pid"),
-        F.when(F.col("at") < 0, 1).otherwise(0).alias("halo"), "id", "text",
+        F.when(F.col("at") < 0, 1).otherwise(0).alias("halo"), "id", "text", "h",
     )
-    return rows.repartitionById(last + 1, F.col("pid")).sortWithinPartitions(
-        "pid", "halo", F.col("id").desc_nulls_last(), "text"
+    return rows.repartitionById(len(ranges), F.col("pid")).sortWithinPartitions(
+        "pid", "halo", F.col("id").desc_nulls_last(), "h", "text"
     )
 
 
@@ -249,11 +309,13 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The next document is the one with the next smaller id; after the smallest
     comes the largest. Texts are shuffled once, by ranges of ids, and each task
     reads one row ahead. Null text: as empty; its fingerprint is empty, and two
-    empty fingerprints are alike (1.0). Rows with one id follow in the order of
-    their texts. An empty table gives no rows; other columns are left out.
+    empty fingerprints are alike (1.0). Ids of any type keep it; those that are no
+    whole numbers are ordered as text. Rows with one id follow in the order of a
+    hash of their texts, null ids come last. Very long texts are taken whole. An
+    empty table gives no rows; other columns are left out.
     """
     rows = with_following(docs, id_col, text_col)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(n, t) for n, _, t in FIELDS]])
+    schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *[T.StructField(n, t) for n, _, t in FIELDS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -305,7 +367,9 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    kind = docs.schema[id_col].dataType
+    return out if schema[0].dataType == kind else out.withColumn(id_col, F.col(id_col).cast(kind))
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovespark.llm.langid import UNKNOWN, Filters, add_languages, grams, train
-from grovespark.llm.spotsigs import decoded, edited_text, encoded, likeness, partition_of, signatures, spot_classes, spot_fingerprints
+from grovespark.llm.spotsigs import decoded, edited_text, encoded, likeness, partition_of, signatures, spot_classes, spot_fingerprints, with_following
 
 
 def jaccard(a, b):
@@ -19,6 +19,52 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def hashes_of(spark, texts):
+    frame = spark.createDataFrame([(t,) for t in set(texts)], "text string")
+    return dict(map(tuple, frame.select("text", F.xxhash64("text")).collect()))
+
+
+def brute_fingerprints(spark, rows):
+    """``rows``: (id, text); null ids last, rows of one id by the hash of their texts."""
+    h = hashes_of(spark, [t or "" for _, t in rows])
+    texts = sorted(((d, t or "") for d, t in rows), key=lambda r: h[r[1]])
+    texts = sorted((r for r in texts if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in texts if r[0] is None]
+    want = []
+    for i, (doc, text) in enumerate(texts):
+        after = texts[(i + 1) % len(texts)][1]
+        edited = edited_text(text, after)
+        a, b, c = signatures(text), signatures(edited), signatures(after)
+        sha = hashlib.sha256(edited.encode()).hexdigest()
+        want.append((doc, len(text), sha, encoded(a), encoded(b), jaccard(a, b), jaccard(a, c), len(a), partition_of(len(a))))
+    return want
+
+
+def order(r):
+    return tuple((x is None, x) for x in r)
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+@pytest.mark.parametrize("parts", ["1", "5", "12"])
+def test_fingerprints_with_hot_ids_and_ids_of_other_types(spark, kind, parts):
+    rng = random.Random(8)
+    ids = [rng.choice([7, 7, 7, None, None, rng.randint(0, 90)]) for _ in range(300)]
+    rows = [(None if i is None else str(i) if kind == "string" else i, f"the word{rng.randint(0, 150)} of note{k % 3}") for k, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = spot_fingerprints(frame)
+        placed = with_following(frame, "doc_id", "text").where("halo = 0").groupBy("pid").count().collect()
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out.schema["doc_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+    assert sorted(got, key=order) == sorted(brute_fingerprints(spark, rows), key=order)
+    if parts == "12":
+        # Half of the rows have one id and a third have none: no partition holds that many.
+        assert max(r["count"] for r in placed) <= 80
+
+
 @pytest.mark.parametrize("parts", ["1", "3", "7"])
 def test_fingerprints_as_brute_force(spark, docs, rows, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -27,16 +73,7 @@ def test_fingerprints_as_brute_force(spark, docs, rows, parts):
         got = [tuple(r) for r in spot_fingerprints(docs.withColumns({"pid": F.lit(1), "id": F.lit(2)})).collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    texts = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    want = []
-    for i, (doc, text) in enumerate(texts):
-        after = texts[(i + 1) % len(texts)][1]
-        edited = edited_text(text, after)
-        a, b, c = signatures(text), signatures(edited), signatures(after)
-        sha = hashlib.sha256(edited.encode()).hexdigest()
-        want.append((doc, len(text), sha, encoded(a), encoded(b), jaccard(a, b), jaccard(a, c), len(a), partition_of(len(a))))
-    order = lambda r: tuple((x is None, x) for x in r)
-    assert sorted(got, key=order) == sorted(want, key=order)
+    assert sorted(got, key=order) == sorted(brute_fingerprints(spark, [r[:2] for r in rows]), key=order)
 
 
 def test_no_documents(no_docs):
@@ -94,7 +131,6 @@ def test_classes_as_brute_force(spark, docs, rows, tile):
         if r[0] is not None:
             low[root(i)] = min(low.get(root(i), r[0]), r[0])
     want = [(r[0], low.get(root(i))) for i, r in enumerate(every)]
-    order = lambda r: tuple((x is None, x) for x in r)
     assert sorted(got, key=order) == sorted(want, key=order)
     assert len({c for _, c in got if c and c >= 500}) > 8
 
