@@ -16,7 +16,7 @@ def watermarks(ram_percent: Column, disk_percent: Column) -> dict[str, Column]:
     """What memory and disk pressure ask for. Values out of 0 to 100 raise an error."""
     for value in (ram_percent, disk_percent):
         bad = (value < 0) | (value > 100)
-        ram_percent = F.when(bad, F.raise_error(F.lit("watermark percentages must be in [0, 100]")).cast("double")).otherwise(ram_percent)
+        ram_percent = F.when(bad, F.raise_error(F.lit("percentages lie between 0 and 100")).cast("double")).otherwise(ram_percent)
     return {
         "soft_throttle": ram_percent >= 70,
         "spill_to_disk": ram_percent > 85,
@@ -81,7 +81,7 @@ def allowed(role: Column, before: Column, after: Column, table: dict = FILE_MOVE
 
 def checked_move(role: str, before: str, after: str, table: dict = FILE_MOVES) -> str:
     if before != after and after not in table[role].get(before, ()):
-        raise ValueError(f"invalid transition for {role}: {before} -> {after}")
+        raise ValueError(f"a {role} may not go from {before} to {after}")
     return after
 
 

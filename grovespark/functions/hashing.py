@@ -29,7 +29,7 @@ def parse_algorithm(name: str) -> str:
     for known, names in ALGORITHMS.items():
         if name in names:
             return known
-    raise ValueError("hash algorithm must be md5, sha256, xxh64, xxh3_64, or xxh3_128")
+    raise ValueError(f"no such hash: {name}; known are {', '.join(ALGORITHMS)}")
 
 
 def _raw(value) -> bytes:

@@ -68,6 +68,17 @@ def reassembled(rows: DataFrame, id_col: str = "file_id") -> DataFrame:
     return rows.groupBy(id_col).agg(F.coalesce(joined, F.lit(b"")).alias("content"))
 
 
+def acknowledged(sent: DataFrame, acks: DataFrame, id_col: str = "file_id") -> DataFrame:
+    """``sent`` with ``state`` and ``error``: done, failed, or awaiting_ack where no answer has come.
+
+    ``acks``: (id, ok, error), in any order and as often as they were sent again; one that says done counts.
+    """
+    best = acks.groupBy(F.col(id_col).alias("__ack")).agg(F.max("ok").alias("__ok"), F.max(F.when(~F.col("ok"), F.col("error"))).alias("__error"))
+    state = F.when(F.col("__ok").isNull(), "awaiting_ack").when(F.col("__ok"), "done").otherwise("failed")
+    out = sent.join(best, F.col(id_col) == F.col("__ack"), "left")
+    return out.select(*sent.columns, state.alias("state"), F.when(~F.col("__ok"), F.col("__error")).alias("error"))
+
+
 def last_chunk_rows(rows: DataFrame) -> DataFrame:
     """Only last chunks whose hash is valid become scan rows; their time of hashing is 0."""
     return rows.where(F.col("is_last") & F.col("hash_valid")).withColumn("hash_ts", F.lit(0).cast("long"))

@@ -53,12 +53,16 @@ def diff(
     Both sides have one row a path (see ``last_wins``), normalized. The join is on
     the path and not on the folder, so a folder of many files is spread over all
     tasks. A source that was cut short says nothing of what is only at the target.
+    A path whose row on either side has ``failed`` could not be looked at: its kind
+    is failed, and nothing of it is planned.
     """
     there = source.where(F.col("rel_path").isNotNull()).withColumn("__in", F.lit(True)).alias("s")
     here = target.where(F.col("rel_path").isNotNull()).withColumn("__in", F.lit(True)).alias("t")
     both = there.join(here, F.col("s.rel_path") == F.col("t.rel_path"), "full_outer" if source_complete else "left")
+    wrong = reduce(lambda a, b: a | b, [F.col(f"{n}.failed") for n, x in (("s", source), ("t", target)) if "failed" in x.columns], F.lit(False))
     kind = (
-        F.when(F.col("t.__in").isNull(), "new")
+        F.when(F.coalesce(wrong, F.lit(False)), "failed")
+        .when(F.col("t.__in").isNull(), "new")
         .when(F.col("s.__in").isNull(), "target_only")
         .when(equal(mode, microseconds=microseconds), "skip")
         .otherwise("changed")
@@ -147,6 +151,26 @@ def checker(recs: DataFrame, target: DataFrame, source: DataFrame | None = None)
     return out.withColumn("skip", skip).select(*recs.columns, "skip")
 
 
+def compact(files: DataFrame) -> DataFrame:
+    """What one end of a diff over two sites sends to the other: a row a file, without names of the site's own."""
+    names = ("rel_path", "size", "mtime", "mode", "uid", "gid", "data_hash", "failed")
+    return files.where(F.col("rel_path").isNotNull()).select(*[c for c in names if c in files.columns])
+
+
+def folder_answer(received: DataFrame, files: DataFrame, mode: str = "size", source_complete: bool = True) -> DataFrame:
+    """What the other end sends back: a row a folder, and no row of a file. Sums are partly made before the shuffle."""
+    return folder_diff(diff(received, files, mode, source_complete))
+
+
+def answer_summary(folders: DataFrame) -> DataFrame:
+    """One row of totals of folder rows: the report of a diff over two sites."""
+    names = ("files_same", "files_changed", "files_new", "files_target_only", "files_failed", "bytes_planned")
+    return folders.agg(
+        F.count(F.lit(1)).alias("folders_total"), F.count_if(F.col("status") != 0).alias("folders_differing"),
+        *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names],
+    )
+
+
 def to_transfer(recs: DataFrame, target: DataFrame, mode: str = "time") -> DataFrame:
     """Records without an equal row at the target."""
     s, t = recs.alias("s"), target.alias("t")

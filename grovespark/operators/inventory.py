@@ -42,7 +42,7 @@ def records(files: DataFrame) -> DataFrame:
 def snapshots(recs: DataFrame, data_hash: Column, side: str = "S") -> DataFrame:
     """Compact scan rows of records; a record's time stands in for the time of hashing."""
     if len(side) != 1:
-        raise ValueError("invalid scan_side")
+        raise ValueError(f"a side is one letter, not {side!r}")
     return recs.select(
         "folder_hash", F.col("own_hash").alias("file_hash"), "rel_path", "size", "mtime", "mode", "uid", "gid",
         data_hash.alias("data_hash"), F.col("mtime").alias("hash_ts"), F.lit(side).alias("scan_side"),
@@ -115,6 +115,28 @@ def subtree(rows: DataFrame, folder: str, recursive: bool = True) -> DataFrame:
     return rows.where(under(path, folder) if recursive else parent_path(path) == folder)
 
 
+def folder_pages(rows: DataFrame, folders: DataFrame, page: int = 4096) -> DataFrame:
+    """(folder, sequence, final, files): each folder's entries in pages; its last page says so, and an empty folder has one.
+
+    ``rows`` (parent_path, ordinal and what a page holds of an entry) as the scan
+    gives them, so a page is a group of its own and a huge folder is no hot key.
+    """
+    kept = [c for c in rows.columns if c not in ("parent_path", "ordinal")]
+    pages = rows.groupBy(F.col("parent_path").alias("folder"), F.floor(F.col("ordinal") / page).cast("long").alias("sequence")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", *kept))).alias("files")
+    )
+    last = rows.groupBy("parent_path").agg(F.floor(F.max("ordinal") / page).cast("long").alias("__last"))
+    last = folders.select(F.col("rel_path").alias("__folder")).join(last, F.col("__folder") == F.col("parent_path"), "left")
+    every = last.select("__folder", F.coalesce("__last", F.lit(0)).alias("__last"))
+    every = every.select("__folder", "__last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last"))).alias("__page"))
+    out = every.join(pages, (F.col("__folder") == F.col("folder")) & (F.col("__page") == F.col("sequence")), "left")
+    none = F.array().cast(pages.schema["files"].dataType)
+    return out.select(
+        F.col("__folder").alias("folder"), F.col("__page").alias("sequence"), (F.col("__page") == F.col("__last")).alias("final"),
+        F.coalesce("files", none).alias("files"),
+    )
+
+
 def size_capped(rows: DataFrame, cap: int) -> DataFrame:
     """Files up to a size; 0 is no cap."""
     return rows.where(F.col("size") <= cap) if cap else rows
@@ -191,7 +213,10 @@ def latency_summary(rows: DataFrame, latency_ns: Column, requested: Column, comp
 
 
 def rolling_rate(rows: DataFrame, key: str, second: str, seconds: int = 60) -> DataFrame:
-    """(key, second, n, rate): events of the last ``seconds`` a second. Seconds are summed first, so windows stay short."""
+    """(key, second, n, rate): events of the last ``seconds`` a second. Seconds are summed first, so windows stay short.
+
+    The sums go to the windows' partitions as they are; a key is one task's, but a row a second at most.
+    """
     each = rows.groupBy(key, second).agg(F.count(F.lit(1)).alias("n"))
     window = Window.partitionBy(key).orderBy(second).rangeBetween(-(seconds - 1), 0)
     return each.withColumn("rate", F.sum("n").over(window) / F.lit(float(seconds)))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +9,25 @@ from grovespark.functions import controls, hashing, paths, u64
 from grovespark.operators import chunks as C
 from grovespark.operators import diff as D
 from grovespark.operators import inventory as I
+from grovespark.plans import sqlhash as H
 from grovespark.plans import views as V
+from grovespark.plans.registry import QUERIES, SQL, query  # noqa: F401
+from grovespark.shared import cut_lineage, new_path
 from grovespark.sources import generate as G
 from grovespark.sources import scanfiles as S
 from grovespark.streaming import incremental, rendezvous
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 M64 = "18446744073709551616"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
+def mix_sql(seed: str, value: str) -> str:
+    """One mixing step on UBIGINTs given as column names."""
+    total = f"({value}::HUGEINT + {u64.GOLDEN}::HUGEINT + ({seed}::HUGEINT * 64) % {M64}::HUGEINT + ({seed}::HUGEINT // 4)) % {M64}::HUGEINT"
+    return f"xor({seed}, ({total})::UBIGINT)"
+
 
-    return register
+def signed_sql(value: str) -> str:
+    return f"CAST(CASE WHEN {value} >= 9223372036854775808 THEN {value}::HUGEINT - {M64}::HUGEINT ELSE {value}::HUGEINT END AS BIGINT)"
 
 
 # --- Diff ---
@@ -63,9 +60,10 @@ def diff_content(spark, d):
 
 
 @query(
-    f"""WITH {V.DOCUMENTS_SQL}, s AS (SELECT * FROM doc_files WHERE doc_id % 5 <> 0),
-    t AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN uid + 1 ELSE uid END AS uid, CASE WHEN doc_id % 9 = 0 THEN 384 ELSE mode END AS mode)
-          FROM doc_files WHERE doc_id % 6 <> 0)
+    f"""WITH {V.DOCUMENTS_SQL}, s AS (SELECT * REPLACE (rel_path || CASE WHEN doc_id % 5 = 0 THEN '_a' ELSE '' END AS rel_path) FROM doc_files),
+    t AS (SELECT * REPLACE (rel_path || CASE WHEN doc_id % 6 = 0 THEN '_b' ELSE '' END AS rel_path,
+                            CASE WHEN doc_id % 7 = 0 THEN uid + 1 ELSE uid END AS uid, CASE WHEN doc_id % 9 = 0 THEN 384 ELSE mode END AS mode)
+          FROM doc_files)
     SELECT coalesce(s.rel_path, t.rel_path) AS rel_path,
            CASE WHEN t.rel_path IS NULL THEN 'new' WHEN s.rel_path IS NULL THEN 'target_only'
                 WHEN s.size = t.size AND s.mtime = t.mtime AND s.mode = t.mode AND s.uid = t.uid AND s.gid = t.gid THEN 'skip' ELSE 'changed' END AS kind
@@ -73,13 +71,13 @@ def diff_content(spark, d):
 )
 def diff_metadata(spark, d):
     rows = V.documents(spark, d)
-    target = rows.where(F.col("doc_id") % 6 != 0).withColumns(
+    target = V.renamed(rows, 6, "_b", "doc_id").withColumns(
         {
             "uid": F.when(F.col("doc_id") % 7 == 0, F.col("uid") + 1).otherwise(F.col("uid")),
             "mode": F.when(F.col("doc_id") % 9 == 0, 384).otherwise(F.col("mode")),
         }
     )
-    return D.diff(rows.where(F.col("doc_id") % 5 != 0), target, "metadata").select("rel_path", "kind")
+    return D.diff(V.renamed(rows, 5, "_a", "doc_id"), target, "metadata").select("rel_path", "kind")
 
 
 @query(f"WITH {V.diff_sql('time', 'LEFT')} SELECT {DIFF_COLUMNS}, 'time' AS compare_mode FROM dd")
@@ -164,24 +162,21 @@ def paths_shared(spark, d):
     return s.join(t, "rel_path", "left_semi")
 
 
-FOLDER_SUMS = "SELECT folder, count(*) AS n, sum(size) AS b, bit_xor(id * 1000003 + size) AS x FROM {} GROUP BY folder"
+#: What a folder's data hash depends on.
+FOLDER_PAIRS = "SELECT folder, list(id || ':' || data_hash ORDER BY id) AS x FROM {} GROUP BY folder"
 
 
 @query(
-    f"""WITH {V.diff_sql('size')}, same AS (SELECT a.folder FROM ({FOLDER_SUMS.format('s')}) a JOIN ({FOLDER_SUMS.format('t')}) b
-    ON a.folder = b.folder AND a.n = b.n AND a.b = b.b AND a.x = b.x)
+    f"""WITH {V.diff_sql('content')}, same AS (SELECT a.folder FROM ({FOLDER_PAIRS.format('s')}) a JOIN ({FOLDER_PAIRS.format('t')}) b
+    ON a.folder = b.folder AND a.x = b.x)
     SELECT rel_path, kind, bytes_planned FROM dd WHERE folder NOT IN (SELECT folder FROM same)"""
 )
 def diff_skipping_unchanged_folders(spark, d):
-    def hashes(rows):
-        rows = rows.groupBy("folder").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.bit_xor(F.col("id") * 1000003 + F.col("size")).alias("x")
-        )
-        return rows.select("folder", F.concat_ws(":", "n", "b", "x").alias("value"))
-
     s, t = (x.withColumn("folder", paths.parent_path(F.col("rel_path"))) for x in (V.source_orders(spark, d), V.target_orders(spark, d)))
-    same = D.unchanged_folders(hashes(s), hashes(t), "folder", "value")
-    return D.diff_with_skip(s, t, same, "folder", "size").select("rel_path", "kind", "bytes_planned")
+    hashes = (hashing.folder_data_hash(x, "folder", "id") for x in (s, t))
+    # Written once: both sides of the diff are thinned out by these, and they are a row a folder.
+    same = cut_lineage(D.unchanged_folders(*hashes, "folder", "folder_data_hash"))
+    return D.diff_with_skip(s, t, same, "folder", "content").select("rel_path", "kind", "bytes_planned")
 
 
 # --- Checker ---
@@ -372,13 +367,31 @@ def sorted_paths(spark, d):
     return V.source_orders(spark, d).select("rel_path", "size").orderBy("rel_path")
 
 
-@query()
+# Identities are folds over the hashes of a path's parts: docs, source, language and name.
+IDENTITY_SQL = f"""{V.DOCUMENTS_SQL}, parts AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM (SELECT unnest(string_split(rel_path, '/')) AS w FROM doc_files)),
+{H.xxh64('ph', 'parts', 'w', 'x')},
+i0 AS (SELECT f.*, a.h AS h1, b.h AS h2, c.h AS h3, e.h AS h4, 0::UBIGINT AS none FROM doc_files f JOIN ph a ON a.w = 'docs' JOIN ph b ON b.w = source JOIN ph c ON c.w = lang JOIN ph e ON e.w = name),
+i1 AS (SELECT *, {mix_sql('h1', 'none')} AS f1 FROM i0), i2 AS (SELECT *, {mix_sql('h2', 'f1')} AS f2 FROM i1),
+i3 AS (SELECT *, {mix_sql('h3', 'f2')} AS f3 FROM i2), identities AS (SELECT *, {mix_sql('h4', 'f3')} AS f4 FROM i3)"""
+
+
+@query(
+    f"""WITH {IDENTITY_SQL} SELECT name, rel_path, {signed_sql('f3')} AS parent_hash, {signed_sql('f3')} AS folder_hash, {signed_sql('f4')} AS own_hash,
+    CASE WHEN doc_id % 3 = 0 THEN 7 ELSE size END AS size, mtime, mode, uid, gid, doc_id % 2 = 0 AS need_check, true AS need_data FROM identities"""
+)
 def working_records(spark, d):
-    rows = V.documents(spark, d, content=True).withColumns({"declared_size": F.lit(0), "need_check": F.lit(True)})
+    doc = F.col("doc_id")
+    rows = V.documents(spark, d, content=True).withColumns({"declared_size": F.when(doc % 3 == 0, 7).otherwise(0), "need_check": doc % 2 == 0})
     return I.records(rows)
 
 
-@query()
+CONTENT_SQL = f"contents AS (SELECT rel_path, hex(encode(text)) AS x FROM doc_files), {H.xxh64('ch', 'contents', 'rel_path', 'x')}"
+
+
+@query(
+    f"""WITH {IDENTITY_SQL}, {CONTENT_SQL} SELECT CAST(f3 AS DECIMAL(20,0)) AS folder_hash, CAST(f4 AS DECIMAL(20,0)) AS file_hash, rel_path, CAST(size AS DECIMAL(20,0)) AS size,
+    CAST(mtime AS DECIMAL(20,0)) AS mtime, mode, uid, gid, CAST(h AS DECIMAL(20,0)) AS data_hash, CAST(mtime AS DECIMAL(20,0)) AS hash_ts, 'S' AS scan_side FROM identities JOIN ch USING (rel_path)"""
+)
 def scan_rows(spark, d):
     rows = V.documents(spark, d, content=True).withColumns(
         {"declared_size": F.lit(0), "need_check": F.lit(True), "data": hashing.xxh64(F.col("content"))}
@@ -431,12 +444,18 @@ def content_sha256(spark, d):
     return V.documents(spark, d, True).select("rel_path", hashing.content_hash(F.col("content"), "sha256").alias("content_hash"))
 
 
+@query(
+    f"""WITH {V.DOCUMENTS_SQL}, {CONTENT_SQL} SELECT rel_path, lower(lpad(to_hex(h), 16, '0')) AS xxh64, CAST(xor(h, h >> 32) & 4294967295 AS BIGINT) AS hash32 FROM ch"""
+)
+def content_xxh64(spark, d):
+    c = F.col("content")
+    return V.documents(spark, d, True).select("rel_path", hashing.content_hash(c, "xxh64").alias("xxh64"), hashing.chunk_hash32(c).alias("hash32"))
+
+
 @query()
-def content_xxh(spark, d):
+def content_xxh3(spark, d):
     c = F.col("content")
-    return V.documents(spark, d, True).select(
-        "rel_path", *[hashing.content_hash(c, a).alias(a) for a in ("xxh64", "xxh3_64", "xxh3_128")], hashing.chunk_hash32(c).alias("hash32")
-    )
+    return V.documents(spark, d, True).select("rel_path", *[hashing.content_hash(c, a).alias(a) for a in ("xxh3_64", "xxh3_128")])
 
 
 @query(
@@ -452,16 +471,6 @@ def block_md5(spark, d):
     )
 
 
-def mix_sql(seed: str, value: str) -> str:
-    """One mixing step on UBIGINTs given as column names."""
-    total = f"({value}::HUGEINT + {u64.GOLDEN}::HUGEINT + ({seed}::HUGEINT * 64) % {M64}::HUGEINT + ({seed}::HUGEINT // 4)) % {M64}::HUGEINT"
-    return f"xor({seed}, ({total})::UBIGINT)"
-
-
-def signed_sql(value: str) -> str:
-    return f"CAST(CASE WHEN {value} >= 9223372036854775808 THEN {value}::HUGEINT - {M64}::HUGEINT ELSE {value}::HUGEINT END AS BIGINT)"
-
-
 @query(
     f"""WITH a AS (SELECT o_orderkey, (o_orderkey::HUGEINT * 1000003)::UBIGINT AS x, (9223372036854775808::HUGEINT + o_custkey)::UBIGINT AS y FROM orders),
     b AS (SELECT o_orderkey, {mix_sql('x', 'y')} AS m FROM a), c AS (SELECT o_orderkey, m, {mix_sql('m', 'm')} AS mm FROM b)
@@ -515,7 +524,7 @@ def folder_metadata_hashes(spark, d):
     return hashing.folder_metadata_hash(rows.withColumn("child_hash", child), "o_custkey")
 
 
-@query()
+@query(f"WITH {IDENTITY_SQL} SELECT rel_path, {signed_sql('f3')} AS folder_hash, {signed_sql('f4')} AS file_hash FROM identities")
 def path_identities(spark, d):
     return hashing.with_identity(V.documents(spark, d)).select("rel_path", "folder_hash", "file_hash")
 
@@ -554,10 +563,13 @@ def file_completion(spark, d):
     return C.completion(rows)
 
 
-@query(f"WITH {V.DOCUMENTS_SQL} SELECT rel_path, md5(text) AS digest FROM doc_files WHERE size <= 65536")
+@query(f"WITH {V.DOCUMENTS_SQL} SELECT rel_path, CASE WHEN size <= 65536 THEN 'pack' ELSE 'chunks' END AS sent_as, md5(text) AS digest FROM doc_files")
 def packed_small_files(spark, d):
-    files = V.documents(spark, d, True).where(F.col("size") <= 65536)
-    return C.unpacked(C.packs(files)).select("rel_path", F.md5("data").alias("digest"))
+    """Small files go in packs, large ones in chunks."""
+    files = V.documents(spark, d, True)
+    small = C.unpacked(C.packs(files.where(F.col("size") <= 65536))).select("rel_path", F.lit("pack").alias("sent_as"), F.md5("data").alias("digest"))
+    large = C.reassembled(C.chunks(files.where(F.col("size") > 65536), "rel_path", threshold=1024, chunk=4096), "rel_path")
+    return small.union(large.select("rel_path", F.lit("chunks"), F.md5("content")))
 
 
 @query(f"WITH {V.DOCUMENTS_SQL} SELECT doc_id AS file_id, CAST(0 AS BIGINT) AS hash_ts FROM doc_files WHERE doc_id % 3 <> 0")
@@ -601,10 +613,16 @@ def generated_self_diff(spark, d):
     return D.diff_summary(D.diff(rows, rows)).select("files_total", "files_same", "bytes_planned")
 
 
-@query()
+BUFFERS_SQL = f"""WITH b0 AS (SELECT unnest(range(0, 16)) AS id), {H.splitmix64('own', 'b0', 'id', 'xor(id::UBIGINT, 1::UBIGINT)')},
+    w0 AS (SELECT id, z AS own, unnest(range(0, 2048)) AS j FROM own), {H.splitmix64('w', 'w0', 'id, j', H.add('own', 'j'))},
+    l AS (SELECT id, j, {' || '.join(f"substr('{G.ALPHABET.decode()}', CAST(1 + ((z >> {8 * k}) & 63) AS BIGINT), 1)" for k in range(8))} AS s FROM w)
+    SELECT id, CAST(65536 AS BIGINT) AS size, md5(unhex(hex(encode(string_agg(s, '' ORDER BY j))) || repeat('00', 49152))) AS digest FROM l GROUP BY id"""
+
+
+@query(BUFFERS_SQL)
 def generated_buffers(spark, d):
     rows = G.generated_buffers(spark, 16, 65536, "fast_text", ratio=4.0)
-    return rows.select("id", F.octet_length("data").alias("size"), F.md5("data").alias("digest"))
+    return rows.select("id", F.octet_length("data").cast("long").alias("size"), F.md5("data").alias("digest"))
 
 
 # --- Controls ---
@@ -708,7 +726,7 @@ def _side_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 # A target folder whose part 1 has not come is not whole: what that part holds is not known, nor what the target lacks.
-RENDEZVOUS_SQL = f"""WITH {V.diff_sql('time').replace('FROM order_files WHERE id % 11 <> 0', 'FROM order_files WHERE id % 11 <> 0 AND NOT (customer % 10 = 0 AND id % 3 = 1)')},
+RENDEZVOUS_SQL = f"""WITH {V.diff_sql('time').replace('FROM order_files AS target_files', 'FROM order_files WHERE NOT (customer % 10 = 0 AND id % 3 = 1)')},
     whole AS (SELECT folder FROM s INTERSECT SELECT folder FROM t WHERE customer % 10 <> 0)
     SELECT folder, rel_path AS name, kind, source_size, target_size FROM dd WHERE kind IN ('skip', 'changed') OR folder IN (SELECT folder FROM whole)"""
 
@@ -724,8 +742,7 @@ def rendezvous_diff_stream(spark, d):
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", rendezvous.STORE)
     own.conf.set("spark.sql.shuffle.partitions", "4")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    top = f"{shared}/rendezvous-{uuid.uuid4().hex}"
+    top = new_path(spark, "rendezvous")
     _side_batches(spark, d).repartition(4).write.parquet(f"{top}/in")
     stream = own.readStream.schema(rendezvous.BATCH_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
     run = (

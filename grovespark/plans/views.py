@@ -31,7 +31,7 @@ DOCUMENTS_SQL = f"""
 doc_files AS (
   SELECT 'docs/' || source || '/' || lang || '/doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt' AS rel_path,
          CAST(strlen(text) AS BIGINT) AS size, {BASE} + doc_id AS mtime, 420 AS mode,
-         CAST(1000 + doc_id % 97 AS INTEGER) AS uid, CAST(1000 + doc_id % 89 AS INTEGER) AS gid, doc_id, text,
+         CAST(1000 + doc_id % 97 AS INTEGER) AS uid, CAST(1000 + doc_id % 89 AS INTEGER) AS gid, doc_id, text, source, lang,
          'docs/' || source || '/' || lang AS folder, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt' AS name
   FROM documents
 )"""
@@ -49,12 +49,18 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def renamed(rows: DataFrame, every: int, ending: str, number: str = "id") -> DataFrame:
+    """Every so many files have another name, so that each side has some that the other lacks, and both have all rows."""
+    other = F.concat("rel_path", F.lit(ending))
+    return rows.withColumn("rel_path", F.when(F.col(number) % every == 0, other).otherwise(F.col("rel_path")))
+
+
 def source_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).where(F.col("id") % 7 != 0).withColumn("data_hash", F.col("id") % 3)
+    return renamed(orders(spark, sf_dir), 7, "_a").withColumn("data_hash", F.col("id") % 3)
 
 
 def target_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = orders(spark, sf_dir).where(F.col("id") % 11 != 0)
+    rows = renamed(orders(spark, sf_dir), 11, "_b")
     return rows.withColumns(
         {
             "size": F.col("size") + F.when(F.col("id") % 5 == 0, 1).otherwise(0),
@@ -70,12 +76,12 @@ order_files AS (
          {BASE} + o_orderkey AS mtime, o_orderkey AS id, o_custkey AS customer, 'cust_' || o_custkey AS folder
   FROM orders
 ), s AS (
-  SELECT *, id % 3 AS data_hash FROM order_files WHERE id % 7 <> 0
+  SELECT * REPLACE (rel_path || CASE WHEN id % 7 = 0 THEN '_a' ELSE '' END AS rel_path), id % 3 AS data_hash FROM order_files
 ), t AS (
-  SELECT rel_path, size + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS size,
+  SELECT rel_path || CASE WHEN id % 11 = 0 THEN '_b' ELSE '' END AS rel_path, size + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS size,
          mtime + CASE WHEN id % 13 = 0 THEN 400 ELSE 0 END AS mtime, id, customer, folder,
          CASE WHEN id % 17 = 0 THEN 9 ELSE id % 3 END AS data_hash
-  FROM order_files WHERE id % 11 <> 0
+  FROM order_files AS target_files
 )"""
 
 EQUAL_SQL = {

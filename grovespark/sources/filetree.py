@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import stat
 import time
@@ -16,9 +17,11 @@ from grovespark.ship import by_value
 
 SCHEMA = (
     "record_type string, rel_path string, parent_path string, size long, mtime long, mode int, uid int, gid int, "
-    "scan_started_unix_ns long, failed boolean, error string"
+    "scan_started_unix_ns long, failed boolean, error string, ordinal long"
 )
 RETRIES = 3
+#: Errors that trying again does not mend.
+FINAL = (FileNotFoundError, NotADirectoryError, PermissionError)
 
 
 class Folders(InputPartition):
@@ -32,9 +35,11 @@ class FileTree(DataSource):
     """Options: root (must be a folder that all executors see), recursive (true), partitions (64).
 
     Regular files and folders; a link is what it points to, but what lies below a
-    linked folder is not listed, so links cannot make a scan endless. A folder that cannot be listed is a
-    row with ``failed`` and ``error``, and the scan goes on. Times are in
-    nanoseconds, modes without type bits. The root itself is not a row.
+    linked folder is not listed, so links cannot make a scan endless. A folder that
+    cannot be listed to its end, and an entry that cannot be looked at, are rows
+    with ``failed`` and ``error``, and the scan goes on. Times are in nanoseconds,
+    modes without type bits; ``ordinal`` is an entry's place in its folder. The
+    root itself is not a row, unless it fails.
     """
 
     @classmethod
@@ -99,34 +104,54 @@ class TreeReader(DataSourceReader):
     def listed(self, folder: str) -> Iterator[tuple[tuple | None, str | None]]:
         """(row or none, folder below or none) for each entry; errors that may pass are tried again."""
         started = time.time_ns()
-        for attempt in range(RETRIES):
+        error = None
+        for place, name in enumerate(self.names(folder)):
+            if isinstance(name, OSError):
+                error = str(name)
+                break
+            path = os.path.join(folder, name)
+            s, linked, wrong = self.looked_at(path)
+            if wrong is not None:
+                yield ("file", path, folder, None, None, None, None, None, started, True, wrong, place), None
+            elif stat.S_ISDIR(s.st_mode):
+                keep = self.kind in (None, "folder") and self.largest is None
+                row = ("folder", path, folder, None, s.st_mtime_ns, s.st_mode & 0o777, s.st_uid, s.st_gid, started, False, None, place)
+                yield row if keep else None, None if linked else path
+            elif stat.S_ISREG(s.st_mode):
+                keep = self.kind in (None, "file") and (self.largest is None or s.st_size <= self.largest)
+                row = ("file", path, folder, s.st_size, s.st_mtime_ns, s.st_mode & 0o777, s.st_uid, s.st_gid, started, False, None, place)
+                yield row if keep else None, None
+        if error is not None:
+            yield ("folder", folder, os.path.dirname(folder), None, None, None, None, None, started, True, error, None), None
+
+    def names(self, folder: str) -> Iterator[str | OSError]:
+        """The names in a folder as they come; the error that kept it from being opened, or listed to its end, is the last."""
+        for attempt in range(1, RETRIES + 1):
             try:
-                entries = os.scandir(os.path.join(self.root, folder))
+                found = os.scandir(os.path.join(self.root, folder))
                 break
-            except (FileNotFoundError, NotADirectoryError, PermissionError) as e:
-                error = e
-                attempt = RETRIES
             except OSError as e:
-                error = e
-            if attempt + 1 >= RETRIES:
-                parent = os.path.dirname(folder)
-                yield ("folder", folder, parent, None, None, None, None, None, started, True, str(error)), None
-                return
-        with entries:
-            for entry in entries:
-                try:
-                    s = os.stat(entry.path)
-                except OSError:
-                    continue
-                path = os.path.join(folder, entry.name)
-                if stat.S_ISDIR(s.st_mode):
-                    keep = self.kind in (None, "folder") and self.largest is None
-                    row = ("folder", path, folder, None, s.st_mtime_ns, s.st_mode & 0o777, s.st_uid, s.st_gid, started, False, None)
-                    yield row if keep else None, None if entry.is_symlink() else path
-                elif stat.S_ISREG(s.st_mode):
-                    keep = self.kind in (None, "file") and (self.largest is None or s.st_size <= self.largest)
-                    row = ("file", path, folder, s.st_size, s.st_mtime_ns, s.st_mode & 0o777, s.st_uid, s.st_gid, started, False, None)
-                    yield row if keep else None, None
+                if isinstance(e, FINAL) or attempt == RETRIES:
+                    yield e
+                    return
+        with found:
+            try:
+                for entry in found:
+                    yield entry.name
+            except OSError as e:
+                yield e
+
+    def looked_at(self, rel_path: str) -> tuple[os.stat_result | None, bool, str | None]:
+        """(what it is, whether it is a link, error)."""
+        path = os.path.join(self.root, rel_path)
+        for _ in range(RETRIES):
+            try:
+                return os.stat(path), os.path.islink(path), None
+            except OSError as e:
+                error = str(e)
+                if isinstance(e, FINAL):
+                    break
+        return None, False, error
 
 
 class PushingReader(TreeReader):
@@ -144,39 +169,62 @@ class PushingReader(TreeReader):
             yield f
 
 
+def place(folder: str) -> tuple[str, ...]:
+    """Sorts folders as a walk meets them: a folder before those below it, and these before the next one beside it."""
+    return tuple(folder.split("/")) if folder else ()
+
+
 class TreeStream(DataSourceStreamReader):
-    """A scan as a stream: so many folders a batch (option ``folders_per_batch``, 1000), in order of their paths.
+    """A scan as a stream: so many folders a batch (option ``folders_per_batch``, 1000), in the order of a walk.
 
-    The offset is the number of folders read, so a scan that stopped goes on where
-    it was, as long as no folders came or went. The driver lists the folders'
-    names; their files are listed by the tasks.
+    The offset is the last folder that was read, so a scan that stopped goes on
+    behind it, whatever folders came or went meanwhile; those that came before it
+    are left to the next scan. For a batch the driver asks for the names of that
+    batch's folders alone; tasks list what is in them.
     """
 
     def __init__(self, options: dict[str, str]):
         self.tree = TreeReader(options)
         self.step = int(options.get("folders_per_batch", "1000"))
-        self.folders: list[str] | None = None
-        self.at = 0
-
-    def known(self) -> list[str]:
-        if self.folders is None:
-            found = [""]
-            for top, names, _ in os.walk(self.tree.root):
-                below = [os.path.join(top, n) for n in names]
-                found += [os.path.relpath(p, self.tree.root) for p in below if not os.path.islink(p)]
-            self.folders = sorted(found)
-        return self.folders
+        self.at: str | None = None
+
+    def below(self, folder: str, after: str = "") -> list[str]:
+        """The folders directly inside whose names come after another, in order."""
+        try:
+            with os.scandir(os.path.join(self.tree.root, folder)) as found:
+                names = sorted(e.name for e in found if e.name > after and e.is_dir(follow_symlinks=False))
+        except OSError:
+            return []  # the task that lists this folder reports it
+        return [os.path.join(folder, n) for n in names]
+
+    def walk(self, after: str | None) -> Iterator[str]:
+        """All folders behind one, or, without one, all."""
+        todo = [""] if after is None else self.below(after)[::-1]
+        while True:
+            while todo:
+                folder = todo.pop()
+                yield folder
+                todo += self.below(folder)[::-1]
+            if not after:
+                return
+            after, name = os.path.split(after)
+            todo = self.below(after, name)[::-1]
 
     def initialOffset(self) -> dict:
-        return {"folders": 0}
+        return {"folder": None}
 
     def latestOffset(self) -> dict:
-        self.at = min(self.at + self.step, len(self.known()))
-        return {"folders": self.at}
+        for self.at in itertools.islice(self.walk(self.at), self.step):
+            pass
+        return {"folder": self.at}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        self.at = max(self.at, end["folders"])
-        some = self.known()[start["folders"] : end["folders"]]
+        if end["folder"] is None:
+            return []
+        last = place(end["folder"])
+        if self.at is None or place(self.at) < last:
+            self.at = end["folder"]
+        some = list(itertools.takewhile(lambda f: place(f) <= last, self.walk(start["folder"])))
         return [Folders(some[i :: self.tree.parts], False) for i in range(min(self.tree.parts, len(some)))]
 
     def read(self, partition: Folders) -> Iterator[tuple]:

@@ -49,8 +49,19 @@ def generated_folders(spark: SparkSession, files: int, folders: int, average: in
     return spark.range(folders).select(*[v.alias(k) for k, v in columns.items()])
 
 
+def splitmix(value: np.ndarray) -> np.ndarray:
+    z = value + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def generated_buffers(spark: SparkSession, count: int, size: int, kind: str = "zero", seed: int = 1, ratio: float = 1.0) -> DataFrame:
-    """(id, data): buffers of zeros, quick text or pseudo-random bytes, of which 1/``ratio`` is filled and the rest zero."""
+    """(id, data): buffers of zeros, quick text or pseudo-random bytes, of which 1/``ratio`` is filled and the rest zero.
+
+    Bytes are those of splitmix64 of a number of the buffer's own and the word's place, the lowest first; text takes
+    six bits of each.
+    """
     kinds = {"zero": "zero", "fast_text": "text", "random_text": "text", "xoshiro256": "random", "pseudo_random": "random"}
     if kind not in kinds:
         raise ValueError(f"buffer kind must be one of {', '.join(kinds)}")
@@ -64,7 +75,8 @@ def generated_buffers(spark: SparkSession, count: int, size: int, kind: str = "z
             for i in batch.column(0).to_pylist():
                 data = b""
                 if what != "zero":
-                    raw = np.random.Generator(np.random.PCG64([seed, i])).integers(0, 256, filled, dtype=np.uint8)
+                    own = splitmix(np.array([i ^ seed], dtype=np.uint64))
+                    raw = splitmix(own + np.arange(-(-filled // 8), dtype=np.uint64)).astype("<u8").view(np.uint8)[:filled]
                     data = (letters[raw & 63] if what == "text" else raw).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([data.ljust(size, b"\0")], pa.binary())], names=["id", "data"])
 

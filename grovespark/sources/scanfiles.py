@@ -19,7 +19,7 @@ FORMATS = {"text": "text", "txt": "text", "csv": "csv", "parquet": "parquet"}
 
 def parse_format(name: str) -> str:
     if name not in FORMATS:
-        raise ValueError("record format must be text, csv, or parquet")
+        raise ValueError(f"no such record format: {name}; known are {', '.join(FORMATS)}")
     return FORMATS[name]
 
 
@@ -38,11 +38,11 @@ def read_scan_csv(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(F.regexp_replace("value", "\r$", "") != "")
     first = lines.first()
     if first is None:
-        raise ValueError("missing CSV header")
+        raise ValueError(f"{path} has no header line")
     header = first[0].removesuffix("\r")
     kinds = {",".join(s.names): s for s in (SNAPSHOT, INVENTORY)}
     if header not in kinds:
-        raise ValueError("unexpected CSV header")
+        raise ValueError(f"{path} has neither of the two known headers")
     schema = kinds[header]
     text = StructType([StructField(n, StringType()) for n in schema.names])
     rows = (
@@ -56,7 +56,7 @@ def read_scan_csv(spark: SparkSession, path: str) -> DataFrame:
         value = F.col(name)
         wide = F.when(value.rlike(r"^\d{1,20}$"), value.cast("decimal(20,0)"))
         most = str((1 << 64) - 1) if unsigned_long else str((1 << 32) - 1)
-        bad = F.raise_error(F.concat(F.lit(f"invalid numeric field: {name}: "), F.coalesce(value, F.lit("")))).cast("decimal(20,0)")
+        bad = F.raise_error(F.concat(F.lit(f"{name} is not a number in range: "), F.coalesce(value, F.lit("")))).cast("decimal(20,0)")
         return from_unsigned(F.when(wide <= F.lit(most).cast("decimal(20,0)"), wide).otherwise(bad))
 
     owner = {n: number(n, False) for n in ("mode", "uid", "gid")}
@@ -71,7 +71,7 @@ def read_scan_csv(spark: SparkSession, path: str) -> DataFrame:
             F.lit(0).cast("long").alias("data_hash"), ts.alias("hash_ts"), F.lit("S").alias("scan_side"), "__order",
         )
         return last_wins(with_identity(rows), "__order").select(*SNAPSHOT.names)
-    side = F.when(F.char_length("scan_side") == 1, F.col("scan_side")).otherwise(F.raise_error(F.lit("invalid scan_side")).cast("string"))
+    side = F.when(F.char_length("scan_side") == 1, F.col("scan_side")).otherwise(F.raise_error(F.lit("a side is one letter")).cast("string"))
     rows = rows.select(
         *[number(n).alias(n) for n in ("folder_hash", "file_hash", "size", "mtime", "data_hash", "hash_ts")],
         *[v.alias(k) for k, v in owner.items()], path_col.alias("rel_path"), side.alias("scan_side"), "__order",

@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from grovespark.plans import catalog
+from grovespark.plans import queries as catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -176,7 +176,7 @@ def test_watermarks(spark, ram, disk, on):
 @pytest.mark.parametrize(("ram", "disk"), [(-1.0, 0.0), (0.0, 101.0)])
 def test_watermarks_out_of_range(spark, ram, disk):
     frame = spark.createDataFrame([(ram, disk)], "r double, d double")
-    with pytest.raises(Exception, match="watermark percentages"):
+    with pytest.raises(Exception, match="percentages lie"):
         frame.select(*controls.watermarks(F.col("r"), F.col("d")).values()).collect()
 
 

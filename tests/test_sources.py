@@ -38,6 +38,8 @@ def test_file_tree(spark, root, partitions):
     os.symlink(f"{root}/nowhere", f"{root}/broken")
     os.symlink(root, f"{root}/nested/loop")
     rows = {r["rel_path"]: r for r in filetree.file_tree(spark, root, partitions=partitions).collect()}
+    broken = rows.pop("broken")
+    assert broken["failed"] and broken["size"] is None and "nowhere" in os.readlink(f"{root}/broken") and broken["error"]
     assert set(rows) == {*FILES, "link", "nested", "nested/child", "nested/loop", "empty", "empty/child"}
     r = rows["nested/beta.txt"]
     assert (r["record_type"], r["parent_path"], r["size"], r["mtime"], r["failed"]) == ("file", "nested", 4, 1700100000111111111, False)
@@ -61,6 +63,52 @@ def test_a_folder_that_cannot_be_listed_is_a_row(root):
     assert row[1] == "gone" and row[9] is True and row[10] and below is None
 
 
+def test_a_listing_that_breaks_off_and_entries_that_are_gone_are_rows(root, monkeypatch):
+    class Breaking:
+        def __init__(self, path):
+            self.found = real(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.found.close()
+
+        def __iter__(self):
+            yield next(self.found)
+            raise OSError("stale handle")
+
+    real = os.scandir
+    reader = filetree.TreeReader({"root": root})
+    monkeypatch.setattr(os, "scandir", Breaking)
+    rows = [r for r, _ in reader.listed("")]
+    assert len(rows) == 2 and not rows[0][9] and rows[1][1] == "" and rows[1][9] and "stale" in rows[1][10]
+    monkeypatch.setattr(os, "scandir", real)
+    monkeypatch.setattr(filetree.TreeReader, "names", lambda self, folder: iter(["alpha.txt", "gone"]))
+    (good, _), (bad, _) = reader.listed("")
+    assert good[1] == "alpha.txt" and bad[1] == "gone" and bad[9] and bad[10]
+
+
+def test_a_stream_goes_on_behind_its_last_folder(tmp_path):
+    for name in ("a/b", "a/c", "d", "e/f"):
+        (tmp_path / name).mkdir(parents=True)
+    stream = filetree.TreeStream({"root": str(tmp_path), "folders_per_batch": "3"})
+    assert list(stream.walk(None)) == ["", "a", "a/b", "a/c", "d", "e", "e/f"]
+    end = stream.latestOffset()
+    first = [p for part in stream.partitions(stream.initialOffset(), end) for p in part.paths]
+    assert end == {"folder": "a/b"} and sorted(first) == ["", "a", "a/b"]
+    # Folders that come before the offset, or go, shift nothing.
+    (tmp_path / "a/a").mkdir()
+    (tmp_path / "0").mkdir()
+    (tmp_path / "a/b").rmdir()
+    later = filetree.TreeStream({"root": str(tmp_path), "folders_per_batch": "3"})
+    assert later.partitions(stream.initialOffset(), end) and later.at == "a/b"
+    next_end = later.latestOffset()
+    assert next_end == {"folder": "e"} and sorted(p for part in later.partitions(end, next_end) for p in part.paths) == ["a/c", "d", "e"]
+    assert later.latestOffset() == {"folder": "e/f"} == later.latestOffset()
+    assert later.partitions({"folder": "e/f"}, {"folder": "e/f"}) == []
+
+
 def test_contents(spark, root):
     tree_with_odd_names = {"a b%20+c.txt": b"x"}
     for name, content in tree_with_odd_names.items():
@@ -163,6 +211,9 @@ def test_sync(spark, root, tmp_path):
         with open(f"{target}/{name}", "rb") as f:
             assert f.read() == content
         assert os.stat(f"{target}/{name}").st_mtime_ns == 1700100000111111111
+    for name in ("nested", "nested/child", "empty/child"):
+        assert os.stat(f"{target}/{name}").st_mtime_ns == os.stat(f"{root}/{name}").st_mtime_ns
+        assert os.stat(f"{target}/{name}").st_mode == os.stat(f"{root}/{name}").st_mode
     again = Y.sync(spark, root, target)
     assert (again["files_skipped"], again["bytes_planned"], again["files_transferred"]) == (3, 0, 0)
     with open(f"{root}/alpha.txt", "w") as f:
