@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -19,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from grovespark.llm.common import ensure_checkpoint_dir, table
+from grovespark.llm.common import table
 from grovespark.llm.packing import CAPACITY, MAX_WASTE, TASK_BITS, sequences
 from grovespark.llm.tokens import default_vocabulary, verify
+from grovespark.shared import mounted, new_path
 from grovespark.ship import by_value
 
 KEY = 0x7261696E
@@ -167,9 +167,8 @@ def training_order(
     left out.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     width = id_bytes(verify(vocabulary or default_vocabulary()))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sequences-{uuid.uuid4().hex}"
+    path = new_path(spark, "sequences")
     packed_sequences(docs, id_col, text_col, capacity, vocabulary=vocabulary).write.option("compression", "zstd").parquet(path)
     stored = spark.read.parquet(path)
     counts = sorted((r["task"], r["n"]) for r in stored.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -225,7 +224,7 @@ class Written(WriterCommitMessage):
 
 class ShardWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
-        self.path = local_folder(options["path"])
+        self.path = mounted(options["path"])
         self.n, self.per_shard, self.capacity, self.width = (int(options[k]) for k in ("n", "per_shard", "capacity", "width"))
 
     def write(self, iterator: Iterator) -> Written:
@@ -278,15 +277,6 @@ class ShardWriter(DataSourceWriter):
                 os.remove(f"{self.path}/{name}")
 
 
-def local_folder(path: str) -> str:
-    """A ``file:`` URI or plain path as a path; what ``open`` cannot reach is refused."""
-    if scheme := re.match(r"([A-Za-z][A-Za-z0-9+.\-]*):/", path):
-        if scheme[1].lower() != "file":
-            raise ValueError(f"shards are written with open(), to a folder that is mounted everywhere; not to {path}")
-        path = "/" + path[scheme.end() :].lstrip("/")
-    return path
-
-
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
@@ -295,6 +285,7 @@ def write_shards(order: Order, path: str) -> None:
     """One file a shard in the shared folder ``path``, and ``index.json`` last."""
     spark = order.rows.sparkSession
     by_value(__name__)
+    by_value(mounted.__module__)
     spark.dataSource.register(ShardSource)
     order.rows.select("slot", "shard", "tokens").write.format("grovespark_shards").mode("append").options(
         path=path, n=order.n, per_shard=order.per_shard, capacity=order.capacity, width=order.width
@@ -303,7 +294,7 @@ def write_shards(order: Order, path: str) -> None:
 
 def read_records(path: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
     """The token ids of the slots from ``start`` on: a reader that stopped goes on at any slot."""
-    path = local_folder(path)
+    path = mounted(path)
     with open(f"{path}/index.json") as file:
         index = json.load(file)
     n, per_shard, size, kind = index["n"], index["per_shard"], index["stride"], f"<u{index['id_bytes']}"
@@ -321,7 +312,7 @@ def read_records(path: str, start: int = 0, stop: int | None = None) -> Iterator
 
 def written_records(order: Order, path: str) -> DataFrame:
     """(slot, shard, record_offset, n_tokens, record_crc32, doc_ids), all but ``doc_ids`` as found in the files under ``path``."""
-    folder, size, per_shard = local_folder(path), stride(order.capacity, order.width), order.per_shard
+    folder, size, per_shard = mounted(path), stride(order.capacity, order.width), order.per_shard
     kind = order.rows.schema["doc_ids"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,6 +347,6 @@ def written_records(order: Order, path: str) -> DataFrame:
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards beside the checkpoints and reads its rows' records back from them."""
     order = training_order(table(spark, sf_dir, "documents"))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
+    path = new_path(spark, "shards")
     write_shards(order, path)
     return written_records(order, path)

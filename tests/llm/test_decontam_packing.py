@@ -284,12 +284,11 @@ def test_shards_of_nothing(no_docs):
 def test_the_query_writes_its_shards_and_reads_them_back(spark, docs, tmp_path):
     from pathlib import Path
 
-    from grovespark.llm.common import ensure_checkpoint_dir
-    from grovespark.llm.shards import local_folder, op1_training_order, shard_path, stride
+    from grovespark.llm.shards import op1_training_order, shard_path, stride
+    from grovespark.shared import mounted, shared_folder
 
-    ensure_checkpoint_dir(spark)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    folder = Path(local_folder(spark.sparkContext._jsc.sc().getCheckpointDir().get()))
+    folder = Path(mounted(shared_folder(spark)))
     before = set(folder.glob("shards-*"))
     rows = op1_training_order(spark, str(tmp_path)).orderBy("slot").collect()
     (written,) = set(folder.glob("shards-*")) - before
@@ -301,9 +300,9 @@ def test_the_query_writes_its_shards_and_reads_them_back(spark, docs, tmp_path):
 
 
 def test_shards_are_not_written_where_open_cannot_reach():
-    from grovespark.llm.shards import local_folder
+    from grovespark.shared import mounted
 
-    assert local_folder("file:/a/b") == local_folder("file:///a/b") == local_folder("/a/b") == "/a/b"
+    assert mounted("file:/a/b") == mounted("file:///a/b") == mounted("/a/b") == "/a/b"
     for path in ("hdfs://host/a", "s3a://bucket/a", "viewfs:///a"):
         with pytest.raises(ValueError, match="mounted"):
-            local_folder(path)
+            mounted(path)
