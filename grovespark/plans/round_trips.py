@@ -105,6 +105,13 @@ def tree_contents(spark, d):
     return T.file_contents(spark, root).select("rel_path", "length", F.md5("content").alias("digest"))
 
 
+@query(f"WITH {V.DOCUMENTS_SQL} SELECT rel_path, md5(text) AS digest FROM doc_files")
+def tree_packs(spark, d):
+    """Many small files read by each task and put into packs."""
+    root = _write(spark, V.documents(spark, d, True), "tree")
+    return C.unpacked(C.packs(T.file_contents(spark, root))).select("rel_path", F.md5("data").alias("digest"))
+
+
 @query(f"WITH {TREE_SQL} SELECT rel_path, NOT failed AS opened FROM tree WHERE record_type = 'file'")
 def tree_probe(spark, d):
     root = _documents(spark, d)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import stat
 import time
@@ -32,7 +33,10 @@ class Folders(InputPartition):
 
 
 class FileTree(DataSource):
-    """Options: root (must be a folder that all executors see), recursive (true), partitions (64).
+    """Options: root (must be a folder that all executors see), recursive (true), partitions (64), mounts.
+
+    ``root`` is a path, a ``file:`` URI, or an ``nfs:`` URL of an export that
+    ``mounts`` (JSON: server:/export to a path) says where to find.
 
     Regular files and folders; a link is what it points to, but what lies below a
     linked folder is not listed, so links cannot make a scan endless. A folder that
@@ -57,9 +61,27 @@ class FileTree(DataSource):
         return TreeStream(dict(self.options))
 
 
+def local_root(root: str, mounts: dict[str, str]) -> str:
+    """Where a root is mounted. Of several exports that fit a URL, the longest counts."""
+    kind, _, rest = root.partition("://")
+    if not rest:
+        return os.path.normpath(root.removeprefix("file:"))
+    if kind == "file":
+        return os.path.normpath("/" + rest.partition("/")[2])
+    if kind == "nfs":
+        server, _, path = rest.partition("?")[0].partition("/")
+        path = os.path.normpath("/" + path)
+        fits = [x for x in mounts if x.partition(":")[0] == server and (path + "/").startswith(x.partition(":")[2].rstrip("/") + "/")]
+        if not fits:
+            raise ValueError(f"no mount is given for {root}")
+        export = max(fits, key=len)
+        return os.path.normpath(mounts[export] + "/" + path[len(export.partition(":")[2].rstrip("/")) :])
+    raise ValueError(f"no way to list {root}")
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = os.path.normpath(options["root"])
+        self.root = local_root(options["root"], json.loads(options.get("mounts", "{}")))
         self.recursive = options.get("recursive", "true").lower() == "true"
         self.parts = int(options.get("partitions", "64"))
         self.parent: str | None = None
@@ -240,10 +262,10 @@ def file_tree_stream(spark: SparkSession, root: str, folders_per_batch: int = 10
     return spark.readStream.format("filetree").options(root=root, folders_per_batch=str(folders_per_batch)).load()
 
 
-def file_tree(spark: SparkSession, root: str, recursive: bool = True, partitions: int = 64) -> DataFrame:
+def file_tree(spark: SparkSession, root: str, recursive: bool = True, partitions: int = 64, mounts: dict[str, str] | None = None) -> DataFrame:
     by_value(__name__)
     spark.dataSource.register(FileTree)
-    options = {"root": root, "recursive": str(recursive).lower(), "partitions": str(partitions)}
+    options = {"root": root, "recursive": str(recursive).lower(), "partitions": str(partitions), "mounts": json.dumps(mounts or {})}
     options["pushdown"] = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return spark.read.format("filetree").options(**options).load()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -374,3 +375,54 @@ def test_file_tree_as_a_stream(spark, root, tmp_path):
     assert sorted(r["rel_path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
     assert scan() == 0
     assert sorted(r["rel_path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_two_sites_chunks_and_status(spark, root, tmp_path, capsys):
+    target, exchange, status = tree(tmp_path / "other", {"alpha.txt": b"ALPHA", "extra": b"x"}), str(tmp_path / "x"), str(tmp_path / "s/status.json")
+    said = lambda: dict(p.split("=", 1) for p in capsys.readouterr().out.split()[1:])
+    assert cli.main(["diff-source", root, "--exchange", exchange], spark) == 0 and said()["sent"].startswith(exchange)
+    assert cli.main(["diff-target", target, "--exchange", exchange], spark) == 0
+    assert said()["files_same"] == "1"
+    report = str(tmp_path / "report")
+    assert cli.main(["--status", status, "diff-source", root, "--exchange", exchange, "--folder-report", report], spark) == 0
+    assert said() == {"folders_total": "3", "folders_differing": "3", "files_same": "1", "files_changed": "0", "files_new": "2", "files_target_only": "1", "files_failed": "0", "bytes_planned": "9"}
+    assert spark.read.option("header", True).csv(report).count() == 3
+    assert cli.main(["status", status]) == 0
+    out = said()
+    assert (out["command"], out["state"], out["exit_code"]) == ("diff-source", "done", "0")
+    with pytest.raises(Exception, match="folder"):
+        cli.main(["--status", status, "scan", f"{root}/alpha.txt"], spark)
+    assert cli.main(["status", status]) == 0 and " state=failed " in capsys.readouterr().out
+    sent = str(tmp_path / "sent")
+    assert cli.main(["send", root, "unused", "--chunks", sent], spark) == 0 and said()
+    assert cli.main(["receive", sent, str(tmp_path / "got")], spark) == 0 and said() == {"files_written": "3", "files_failed": "0", "files_incomplete": "0"}
+    for name, content in FILES.items():
+        assert (tmp_path / "got" / name).read_bytes() == content and os.stat(tmp_path / "got" / name).st_mtime_ns == 1700100000111111111
+
+
+def test_streams_report_their_progress(spark, tmp_path):
+    from grovespark.status import read_status, watch_streams
+
+    spark.range(10).withColumnRenamed("id", "n").write.parquet(str(tmp_path / "in"))
+    listener = watch_streams(spark, str(tmp_path / "status.json"))
+    try:
+        stream = spark.readStream.schema("n long").parquet(str(tmp_path / "in"))
+        run = incremental.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        for _ in range(100):
+            if os.path.exists(tmp_path / "status.json") and read_status(str(tmp_path / "status.json"))["state"] == "done":
+                break
+            time.sleep(0.1)
+        assert read_status(str(tmp_path / "status.json"))["state"] == "done"
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_roots():
+    mounts = {"filer:/vol": "/mnt/vol", "filer:/vol/home": "/mnt/home"}
+    assert filetree.local_root("nfs://filer/vol/a/b?uid=0", mounts) == "/mnt/vol/a/b"
+    assert filetree.local_root("nfs://filer/vol/home/x", mounts) == "/mnt/home/x" and filetree.local_root("nfs://filer/vol", mounts) == "/mnt/vol"
+    assert filetree.local_root("file:///a/b/", {}) == filetree.local_root("/a//b", {}) == filetree.local_root("file:/a/b", {}) == "/a/b"
+    for root in ("nfs://other/vol", "nfs://filer/volume", "s3a://bucket/x"):
+        with pytest.raises(ValueError):
+            filetree.local_root(root, mounts)
