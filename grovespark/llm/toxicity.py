@@ -61,14 +61,17 @@ def features(text: str | None) -> set[int]:
     return {s for w in set(WORD.findall(text.lower())) for s in slots_of(w)} if text else set()
 
 
-def swaps(text: str | None, groups: Sequence[Sequence[str]]) -> list[str]:
-    """For each sentence that names a group, the sentence again with each such term changed for the next in its line."""
-    other = {a: line[(i + 1) % len(line)] for line in groups for i, a in enumerate(line)}
+def swaps(text: str | None, groups: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
+    """For each sentence that names a group, the sentence beside itself with each such term changed for another in its line, for all others in turn."""
+    place = {a: (line, i) for line in groups for i, a in enumerate(line)}
     out = []
     for sentence in SENTENCE.findall(text.lower()) if text else ():
         words = WORD.findall(sentence)
-        if any(w in other for w in words):
-            out.append((" ".join(words), " ".join(other.get(w, w) for w in words)))
+        most = max((len(place[w][0]) for w in words if w in place), default=0)
+        for by in range(1, most):
+            changed = [place[w][0][(place[w][1] + by) % len(place[w][0])] if w in place else w for w in words]
+            if changed != words:
+                out.append((" ".join(words), " ".join(changed)))
     return out
 
 

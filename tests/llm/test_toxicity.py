@@ -82,6 +82,8 @@ def test_swapping_identity_terms_hardly_moves_the_score():
 def test_swaps():
     assert swaps("Women came. Nobody else! men, women", (("women", "men"),)) == [("women came", "men came"), ("men women", "women men")]
     assert swaps(None, (("a", "b"),)) == swaps("", (("a", "b"),)) == []
+    lines = (("x", "y", "z"), ("a", "b"))
+    assert swaps("x a c", lines) == [("x a c", "y b c"), ("x a c", "z a c")]
 
 
 def test_awkward_rows(spark, docs, no_docs, labelled):
