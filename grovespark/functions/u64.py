@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK32 = 0xFFFFFFFF
@@ -47,23 +47,24 @@ def add64(a: Column, b: Column) -> Column:
     return let([a, b], _total)
 
 
-def mul64(a: Column, by: int) -> Column:
-    """``a`` times a constant, modulo 2^64."""
+def _product_terms(x: Column, by: int) -> list[Column]:
+    """Three terms whose sum modulo 2^64 is ``x`` times a constant."""
     by &= (1 << 64) - 1
     high, low = by >> 32, by & MASK32
+    part = [F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    # Products of 16 and 32 bits; what lies above bit 63 falls off by the shifts.
+    upper = (
+        (part[0] * F.lit(high)).bitwiseAND(F.lit(MASK32))
+        + F.shiftleft((part[1] * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)
+        + (part[2] * F.lit(low)).bitwiseAND(F.lit(MASK32))
+        + F.shiftleft((part[3] * F.lit(low)).bitwiseAND(F.lit(0xFFFF)), 16)
+    )
+    return [part[0] * F.lit(low), F.shiftleft(part[1] * F.lit(low), 16), F.shiftleft(upper, 32)]
 
-    def product(x: Column) -> Column:
-        part = [F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-        # Products of 16 and 32 bits; what lies above bit 63 falls off by the shifts.
-        upper = (
-            (part[0] * F.lit(high)).bitwiseAND(F.lit(MASK32))
-            + F.shiftleft((part[1] * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)
-            + (part[2] * F.lit(low)).bitwiseAND(F.lit(MASK32))
-            + F.shiftleft((part[3] * F.lit(low)).bitwiseAND(F.lit(0xFFFF)), 16)
-        )
-        return let([part[0] * F.lit(low), F.shiftleft(part[1] * F.lit(low), 16), F.shiftleft(upper, 32)], _total)
 
-    return let([a], product)
+def mul64(a: Column, by: int) -> Column:
+    """``a`` times a constant, modulo 2^64."""
+    return let([a], lambda x: let(_product_terms(x, by), _total))
 
 
 def mix64(seed: Column, value: Column) -> Column:
@@ -79,6 +80,25 @@ def splitmix64(value: Column) -> Column:
     return folded(mul64(folded(z, 27), 0x94D049BB133111EB), 31)
 
 
+def with_splitmix64(df: DataFrame, name: str, value: str) -> DataFrame:
+    """``df`` with the splitmix64 of a column, a step a projection: compiled, where ``splitmix64`` is interpreted.
+
+    A step names the one before several times, so Spark keeps the steps apart.
+    """
+
+    def step(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
+        return df.withColumn(name, f(F.col(name)))
+
+    def folded(bits: int) -> Callable[[Column], Column]:
+        return lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, bits))
+
+    df = step(df.withColumn(name, F.col(value).cast("long")), lambda z: _total(z, lit64(GOLDEN)))
+    for bits, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        df = step(df, folded(bits))
+        df = step(df, lambda z, by=by: _total(*_product_terms(z, by)))
+    return step(df, folded(31))
+
+
 def unsigned_key(value: Column) -> Column:
     """Sorts as the unsigned number does."""
     return value.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
@@ -98,6 +118,9 @@ def from_unsigned(value: Column) -> Column:
 
 def umod(value: Column, by: int) -> Column:
     """The unsigned remainder of a constant below 2^63."""
+    if by < 1 << 31:
+        high, low = F.shiftrightunsigned(value, 32), value.bitwiseAND(F.lit(MASK32))
+        return (high % F.lit(by) * F.lit((1 << 32) % by) + low) % F.lit(by)
     return (unsigned(value) % F.lit(str(by)).cast("decimal(20,0)")).cast("long")
 
 

@@ -41,7 +41,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file an order, in a folder for each customer."""
     rows = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
     return rows.select(
-        F.format_string("cust_%d/order_%d", "o_custkey", "o_orderkey").alias("rel_path"),
+        F.concat(F.lit("cust_"), F.col("o_custkey").cast("string"), F.lit("/order_"), F.col("o_orderkey").cast("string")).alias("rel_path"),
         F.floor("o_totalprice").cast("long").alias("size"),
         (F.lit(BASE) + F.col("o_orderkey")).alias("mtime"),
         F.col("o_orderkey").alias("id"),
@@ -108,7 +108,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as files; paths of order and line come more than once, later ones by supplier and part win."""
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return rows.select(
-        F.format_string("order_%d/line_%d", "l_orderkey", "l_linenumber").alias("rel_path"),
+        F.concat(F.lit("order_"), F.col("l_orderkey").cast("string"), F.lit("/line_"), F.col("l_linenumber").cast("string")).alias("rel_path"),
         F.floor("l_extendedprice").cast("long").alias("size"),
         # Lines that tie on this have one size, so it doesn't matter which wins.
         ((F.col("l_partkey") * 1_000_003 + F.col("l_suppkey")) % 1_000_000_007 * 1_000_000 + F.floor("l_extendedprice")).alias("ordinal"),

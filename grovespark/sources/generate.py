@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.functions.u64 import lit64, splitmix64, umod
+from grovespark.functions.u64 import lit64, splitmix64, umod, with_splitmix64
 
 FIRST_MTIME = 1_700_000_000_000_000_000
 #: Fixed value: the alphabet of quick text.
@@ -18,9 +18,17 @@ ALPHABET = b"-_0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 def generated_size(index: Column, seed: int, average: int) -> Column:
     """1 to twice the average, by a hash of seed and index; 0 if the average is 0."""
-    if average == 0:
-        return F.lit(0).cast("long")
-    return F.greatest(F.lit(1).cast("long"), umod(splitmix64(index.bitwiseXOR(lit64(seed))), 2 * average))
+    return _size(splitmix64(index.bitwiseXOR(lit64(seed))), average)
+
+
+def _size(hashed: Column, average: int) -> Column:
+    return F.greatest(F.lit(1).cast("long"), umod(hashed, 2 * average)) if average else F.lit(0).cast("long")
+
+
+def padded(number: Column, digits: int) -> Column:
+    """A number that is not negative, with leading zeros."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), "0")
 
 
 def _common(index: Column, mode: int) -> dict[str, Column]:
@@ -35,16 +43,17 @@ def _common(index: Column, mode: int) -> dict[str, Column]:
 def generated_files(spark: SparkSession, files: int, folders: int, average: int = 1024, seed: int = 123, root: str = "synthetic") -> DataFrame:
     """(rel_path, size, mtime, mode, uid, gid): file i lies in folder i modulo their number."""
     i = F.col("id")
-    path = F.format_string("%s/dir_%08d/file_%012d.dat", F.lit(root), i % max(1, folders), i)
-    columns = {"rel_path": path, "size": generated_size(i, seed, average)} | _common(i, 0o644)
-    return spark.range(files).select(*[v.alias(k) for k, v in columns.items()])
+    path = F.concat(F.lit(f"{root}/dir_"), padded(i % max(1, folders), 8), F.lit("/file_"), padded(i, 12), F.lit(".dat"))
+    columns = {"rel_path": path, "size": _size(F.col("hashed"), average)} | _common(i, 0o644)
+    rows = spark.range(files).withColumn("hashed", i.bitwiseXOR(lit64(seed)))
+    return with_splitmix64(rows, "hashed", "hashed").select(*[v.alias(k) for k, v in columns.items()])
 
 
 def generated_folders(spark: SparkSession, files: int, folders: int, average: int = 1024, root: str = "synthetic") -> DataFrame:
     """Folders with their counts; their bytes are count times average, not the sum of the files' sizes."""
     i = F.col("id")
     n = F.lit(files // folders if folders else 0) + F.when(i < (files % folders if folders else 0), 1).otherwise(0)
-    columns = {"rel_path": F.format_string("%s/dir_%08d", F.lit(root), i)} | _common(i, 0o755)
+    columns = {"rel_path": F.concat(F.lit(f"{root}/dir_"), padded(i, 8))} | _common(i, 0o755)
     columns |= {"flat_file_count": n.cast("long"), "flat_logical_size_bytes": (n * average).cast("long")}
     return spark.range(folders).select(*[v.alias(k) for k, v in columns.items()])
 

@@ -235,3 +235,14 @@ def test_quoting_and_names(spark):
     assert got[4] == ("it's \\ x", "it's \\ x", '"it\'s \\\\ x"', "'it''s \\ x'")
     row = spark.range(1).select(controls.cache_path(F.lit(0xAB12)), controls.dispatch_connection(F.lit(-1).cast("long"), 7), controls.dispatch_connection(F.lit(5), 0)).first()
     assert tuple(row) == ("00/00/000000000000ab12", M % 7, 0)
+
+
+def test_splitmix_as_steps_and_unsigned_remainders(spark):
+    from grovespark.functions.u64 import signed, splitmix64, umod, with_splitmix64
+
+    values = [0, 1, 123, (1 << 63) - 1, 1 << 63, (1 << 64) - 1, 0x9E3779B97F4A7C15]
+    frame = spark.createDataFrame([(signed(v),) for v in values], "x long")
+    rows = with_splitmix64(frame, "z", "x").withColumn("w", splitmix64(F.col("x"))).collect()
+    assert all(r["z"] == r["w"] for r in rows)
+    for by in (1, 7, 2048, (1 << 31) - 1, 1 << 31, (1 << 62) + 5):
+        assert [r[0] for r in frame.select(umod(F.col("x"), by)).collect()] == [v % by for v in values]
