@@ -507,23 +507,44 @@ def folder_data_hashes(spark, d):
     return hashing.folder_data_hash(rows, "o_custkey")
 
 
-@query(
-    f"""WITH a AS (SELECT o_custkey, o_orderkey::UBIGINT AS x, floor(o_totalprice)::BIGINT AS size FROM orders),
-    b AS (SELECT *, {mix_sql('x', '1::UBIGINT')} AS m1 FROM a), c AS (SELECT *, {mix_sql('m1', 'size')} AS m FROM b),
+def _metadata_sql(mode: str) -> str:
+    """A child's hash takes more of it with each compare mode."""
+    fields = ["size", *(["mtime"] if mode != "size" else []), *(["mode", "uid", "gid"] if mode == "metadata" else [])]
+    steps = [f"c0 AS (SELECT *, {mix_sql('x', '1::UBIGINT')} AS m0 FROM a)"]
+    steps += [f"c{i} AS (SELECT *, {mix_sql(f'm{i - 1}', f)} AS m{i} FROM c{i - 1})" for i, f in enumerate(fields, 1)]
+    return f"""WITH a AS (SELECT o_custkey, o_orderkey::UBIGINT AS x, floor(o_totalprice)::BIGINT AS size, {V.BASE} + o_orderkey AS mtime, 420 AS mode,
+      1000 + o_orderkey % 97 AS uid, 1000 + o_orderkey % 89 AS gid FROM orders),
+    {', '.join(steps)}, c AS (SELECT *, m{len(fields)} AS m FROM c{len(fields)}),
     p AS (SELECT *, ((m & 4294967295::UBIGINT)::HUGEINT * {hashing.METADATA_PRIME}::HUGEINT + (((m >> 32)::HUGEINT * {hashing.METADATA_PRIME}::HUGEINT) % 4294967296) * 4294967296) % {M64}::HUGEINT AS w FROM c),
     g AS (SELECT o_custkey, count(*)::UBIGINT AS n, 0::UBIGINT AS z, sum(size)::UBIGINT AS nb, bit_xor(m) AS xo, (sum(w) % {M64}::HUGEINT)::UBIGINT AS su, {hashing.METADATA_SEED}::UBIGINT AS h0 FROM p GROUP BY o_custkey),
     h1 AS (SELECT *, {mix_sql('h0', 'n')} AS h1 FROM g), h2 AS (SELECT *, {mix_sql('h1', 'z')} AS h2 FROM h1), h3 AS (SELECT *, {mix_sql('h2', 'nb')} AS h3 FROM h2),
     h4 AS (SELECT *, {mix_sql('h3', 'xo')} AS h4 FROM h3), h5 AS (SELECT *, {mix_sql('h4', 'su')} AS h5 FROM h4)
     SELECT o_custkey, {signed_sql('h5')} AS metadata_hash FROM h5"""
-)
-def folder_metadata_hashes(spark, d):
+
+
+def _metadata_hashes(spark, d, mode: str) -> DataFrame:
     rows = V.read(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    key = F.col("o_orderkey")
     rows = rows.withColumns({"size": F.floor("o_totalprice").cast("long"), "is_file": F.lit(True)})
-    none = F.lit(0)
-    child = hashing.child_hash(F.col("o_orderkey"), F.col("is_file"), F.col("size"), none, none, none, none, "size")
+    child = hashing.child_hash(key, F.col("is_file"), F.col("size"), F.lit(V.BASE) + key, F.lit(420), 1000 + key % 97, 1000 + key % 89, mode)
     return hashing.folder_metadata_hash(rows.withColumn("child_hash", child), "o_custkey")
 
 
+@query(_metadata_sql("size"))
+def folder_metadata_hashes(spark, d):
+    return _metadata_hashes(spark, d, "size")
+
+
+@query(_metadata_sql("time"))
+def folder_metadata_hashes_time(spark, d):
+    return _metadata_hashes(spark, d, "time")
+
+
+@query(_metadata_sql("metadata"))
+def folder_metadata_hashes_all(spark, d):
+    return _metadata_hashes(spark, d, "metadata")
+
+
 @query(f"WITH {IDENTITY_SQL} SELECT rel_path, {signed_sql('f3')} AS folder_hash, {signed_sql('f4')} AS file_hash FROM identities")
 def path_identities(spark, d):
     return hashing.with_identity(V.documents(spark, d)).select("rel_path", "folder_hash", "file_hash")

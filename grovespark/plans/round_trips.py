@@ -82,6 +82,12 @@ def tree_scan_stream(spark, d):
     return _tree_rows(spark.read.schema(stream.schema).parquet(f"{top}/out"))
 
 
+@query(f"WITH {TREE_SQL} SELECT * FROM tree")
+def tree_scan_by_level(spark, d):
+    """The same, a level of folders a job."""
+    return _tree_rows(T.file_tree_by_level(spark, _documents(spark, d)))
+
+
 @query(f"WITH {TREE_SQL} SELECT rel_path, size FROM tree WHERE parent_path = 'docs/src1/en'")
 def tree_folder(spark, d):
     """One folder, without those below."""

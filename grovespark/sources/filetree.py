@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from grovespark.shared import new_path
 from grovespark.ship import by_value
 
 SCHEMA = (
@@ -270,6 +271,37 @@ def file_tree(spark: SparkSession, root: str, recursive: bool = True, partitions
     return spark.read.format("filetree").options(**options).load()
 
 
+def file_tree_by_level(spark: SparkSession, root: str, mounts: dict[str, str] | None = None) -> DataFrame:
+    """The same rows as ``file_tree``, a level of folders a job: a deep or lopsided tree is dealt out anew at each level.
+
+    Levels are kept in the shared folder. The driver sees whether a level has folders, and no names.
+    """
+    by_value(__name__)
+    reader = TreeReader({"root": root, "mounts": json.dumps(mounts or {})})
+    if not os.path.isdir(reader.root):
+        raise NotADirectoryError(f"{root} is not a folder")
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = [kinds[f.split()[1]] for f in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((*(row or (None,) * len(names)), below) for folder in batch.column(0).to_pylist() for row, below in reader.listed(folder))
+            while some := list(itertools.islice(rows, 10_000)):
+                cols = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*kinds, pa.string()], strict=True)], names=[*names, "below"])
+
+    top, level = new_path(spark, "levels"), 0
+    folders = spark.createDataFrame([("",)], "below string")
+    while True:
+        folders.repartition("below").mapInArrow(run, f"{SCHEMA}, below string").write.parquet(f"{top}/level={level}")
+        folders = spark.read.parquet(f"{top}/level={level}").where("below is not null").select("below")
+        if folders.isEmpty():
+            break
+        level += 1
+    return spark.read.schema(f"{SCHEMA}, below string").parquet(*[f"{top}/level={i}" for i in range(level + 1)]).drop("below")
+
+
 def file_contents(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, content, length) of all files, by Spark's own reader; only asked-for columns are read."""
     from pyspark.sql import functions as F

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import Any
 
@@ -27,13 +28,19 @@ def outcome(source: tuple | None, target: tuple | None, mode: str = "time") -> s
     return "skip" if same else "changed"
 
 
+#: Rows that are sent on at once.
+AT_ONCE = 10_000
+
+
 class Rendezvous(StatefulProcessor):
     """State of a folder: each side's files, by name, and the numbers of its parts.
 
     A file is compared as soon as both sides have it and then forgotten; what one
     side has alone is told when both sides are whole, as are all parts from 0 to
     the final one. Files are map state, one entry each, so a folder of a million
-    files is never one value; parts that come twice do no harm.
+    files is never one value; parts are counted as they come, and parts that come
+    twice do no harm. Of a folder that is done one mark stays, for parts that come
+    again; a stream without end should scan each time under a root of its own.
     """
 
     def __init__(self, mode: str = "time"):
@@ -42,35 +49,42 @@ class Rendezvous(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.files = {s: handle.getMapState(f"files_{s}", "name string", "size long, mtime long") for s in "ST"}
         self.seen = {s: handle.getMapState(f"parts_{s}", "sequence long", "final boolean") for s in "ST"}
+        self.counts = {s: handle.getValueState(f"counts_{s}", "parts long, last long") for s in "ST"}
         self.told = handle.getValueState("told", "done boolean")
 
+    def counted(self, side: str, sequence: int, final: bool) -> bool:
+        """Takes note of a part; whether it is new."""
+        if self.seen[side].containsKey((sequence,)):
+            return False
+        self.seen[side].updateValue((sequence,), (final,))
+        parts, last = self.counts[side].get() if self.counts[side].exists() else (0, -1)
+        self.counts[side].update((int(parts) + 1, sequence if final else int(last)))
+        return True
+
     def whole(self, side: str) -> bool:
-        parts = {k[0]: v[0] for k, v in self.seen[side].iterator()}
-        ends = [k for k, last in parts.items() if last]
-        return bool(ends) and len(parts) == max(ends) + 1
+        if not self.counts[side].exists():
+            return False
+        parts, last = self.counts[side].get()
+        return int(last) >= 0 and int(parts) == int(last) + 1
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        folder = key[0]
-        out: list[tuple] = []
-        if self.told.exists():
-            for _ in rows:
-                pass
-            return
+        out = self.outcomes(key[0], rows)
+        while some := list(itertools.islice(out, AT_ONCE)):
+            frame = pd.DataFrame(some, columns=["folder", "name", "kind", "source_size", "target_size"])
+            yield frame.astype({"source_size": "Int64", "target_size": "Int64"})
+
+    def outcomes(self, folder: str, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        done = self.told.exists()
         for frame in rows:
             for row in frame.itertuples(index=False):
-                part = (int(row.sequence),)
-                if not self.seen[row.side].containsKey(part):
-                    self.seen[row.side].updateValue(part, (bool(row.final),))
-                    out += self.compared(folder, row.side, row.files)
-        if self.whole("S") and self.whole("T"):
-            out += [(folder, k[0], "new", v[0], None) for k, v in self.files["S"].iterator()]
-            out += [(folder, k[0], "target_only", None, v[0]) for k, v in self.files["T"].iterator()]
-            for state in (*self.files.values(), *self.seen.values()):
+                if not done and self.counted(row.side, int(row.sequence), bool(row.final)):
+                    yield from self.compared(folder, row.side, row.files)
+        if not done and self.whole("S") and self.whole("T"):
+            yield from ((folder, k[0], "new", v[0], None) for k, v in self.files["S"].iterator())
+            yield from ((folder, k[0], "target_only", None, v[0]) for k, v in self.files["T"].iterator())
+            for state in (*self.files.values(), *self.seen.values(), *self.counts.values()):
                 state.clear()
             self.told.update((True,))
-        if out:
-            frame = pd.DataFrame(out, columns=["folder", "name", "kind", "source_size", "target_size"])
-            yield frame.astype({"source_size": "Int64", "target_size": "Int64"})
 
     def compared(self, folder: str, side: str, files: Any) -> Iterator[tuple]:
         other = "T" if side == "S" else "S"
