@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -179,16 +180,36 @@ def tile_sides(rows: np.ndarray, kinds: np.ndarray) -> list[tuple[np.ndarray, np
     return out + ([(sides[0], sides[1])] if len(sides[0]) and len(sides[1]) else [])
 
 
-#: Groups up to this size are compared together, at growing distances in the sorted column.
+#: Fingerprints of one bucket that are compared in one go.
+BLOCK = 256
+#: Buckets up to this size are compared together, at growing distances in the sorted column.
 SMALL = 48
 
 
+def near_blocks(pop: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Pairs of blocks of rows, of which each side is sorted by ``pop``, whose population counts lie within the radius of one another.
+
+    Without ``right``: of one side with itself; a block with itself is (block, none).
+    """
+    ours = [left[at : at + block] for at in range(0, len(left), block)]
+    theirs = ours if right is None else [right[at : at + block] for at in range(0, len(right), block)]
+    high = [pop[rows[-1]] for rows in theirs]
+    for i, rows in enumerate(ours):
+        if right is None:
+            yield rows, None
+        # Blocks that end too far below are passed over; from one that begins too far above on, all do.
+        for other in theirs[i + 1 if right is None else bisect_left(high, pop[rows[0]] - radius) :]:
+            if pop[other[0]] - pop[rows[-1]] > radius:
+                break
+            yield rows, other
+
+
 def bucket_links(radius: int):
-    """mapInArrow function over (task, side, f) sorted by task: yields a forest of links (a, b)."""
+    """mapInArrow function over (task, side, pop, f) sorted by the first three: yields a forest of links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, (_, side, value) in groups_of(batches):
-            f = value.view(np.uint64).reshape(-1, 1)
+        for starts, (_, side, count, value) in groups_of(batches):
+            f, pop = value.view(np.uint64).reshape(-1, 1), count.astype(np.int64)
             labels = np.arange(len(f))
             sizes = np.diff(starts)
             ends = np.repeat(starts[1:], sizes)
@@ -197,16 +218,16 @@ def bucket_links(radius: int):
                 i = np.flatnonzero(small & (np.arange(len(f)) + lag < ends))
                 if not len(i):
                     break
-                j = i + lag
-                # Side 2 is compared with itself, side 0 with side 1.
-                near = (np.bitwise_count(f[i, 0] ^ f[j, 0]) <= radius) & ((side[i] == 2) | (side[i] != side[j]))
-                merge(labels, i[near], j[near])
+                # Side 2 is compared with itself, side 0 with side 1; counts that differ too much rule a pair out.
+                i = i[(abs(pop[i + lag] - pop[i]) <= radius) & ((side[i] == 2) | (side[i] != side[i + lag]))]
+                near = np.bitwise_count(f[i, 0] ^ f[i + lag, 0]) <= radius
+                merge(labels, i[near], i[near] + lag)
             for k in np.flatnonzero(sizes > SMALL):
                 rows = np.arange(starts[k], starts[k + 1])
-                kinds = side[rows]
-                for tiles in tile_sides(rows, kinds):
-                    for a, b, _ in tile_pairs(f, *tiles, radius):
-                        merge(labels, a, b)
+                for sides in tile_sides(rows, side[rows]):
+                    for left, right in near_blocks(pop, *sides, radius):
+                        for a, b, _ in tile_pairs(f, left, right, radius):
+                            merge(labels, a, b)
             linked = np.flatnonzero(labels != np.arange(len(f)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(value[linked]), pa.array(value[labels[linked]])], names=["a", "b"])
@@ -218,10 +239,12 @@ def fingerprint_links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> D
     """(a, b) links that connect all 64-bit fingerprints (column ``f``, distinct) within ``radius`` of one another.
 
     Each fingerprint goes to radius+1 buckets by its blocks of bits. A bucket of up to
-    ``tile`` fingerprints is one tile; a larger one is cut into tiles by population
+    ``tile`` fingerprints is one task; a larger one is cut into tiles by population
     count, large counts by a hash as well, and each pair of tiles whose counts lie
-    within the radius is a task of its own. The counts are aggregated before the
-    shuffle, and a large bucket's rows are spread over its tasks.
+    within the radius is a task of its own. In a task, rows are in order of their
+    counts, and blocks of rows whose counts lie too far apart are not compared.
+    The counts are aggregated before the shuffle, and a large bucket's rows are
+    spread over its tasks.
     """
     blocks = radius + 1
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -238,7 +261,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> D
     )
     large = large.where(F.col("m") > tile).select("lb", "lk", "hist")
     rows = rows.join(large, (F.col("band") == F.col("lb")) & (F.col("key") == F.col("lk")), "left")
-    small = rows.where(F.col("hist").isNull()).select(F.xxhash64("band", "key").alias("task"), F.lit(2).alias("side"), "f")
+    small = rows.where(F.col("hist").isNull()).select(F.xxhash64("band", "key").alias("task"), F.lit(2).alias("side"), "pop", "f")
 
     own = F.filter("hist", lambda h: h["pop"] == F.col("pop"))[0]["tiles"]
     rows = rows.where(F.col("hist").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("f"), own).cast("int"))
@@ -249,13 +272,14 @@ def fingerprint_links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> D
             lambda h: F.transform(F.sequence(F.lit(0), h["tiles"] - 1), lambda s: F.struct(h["pop"].alias("p"), s.alias("s"))),
         )
     )
-    rows = rows.select("f", "band", "key", mine.alias("mine"), F.explode(others).alias("other"))
+    rows = rows.select("f", "pop", "band", "key", mine.alias("mine"), F.explode(others).alias("other"))
     rows = rows.select(
         F.xxhash64("band", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+        "pop",
         "f",
     )
-    tasks = small.union(rows).repartition("task").sortWithinPartitions("task", "side")
+    tasks = small.union(rows).repartition("task").sortWithinPartitions("task", "side", "pop")
     return tasks.mapInArrow(bucket_links(radius), "a long, b long")
 
 

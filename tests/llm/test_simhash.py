@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grovespark.llm.components import components
 from grovespark.llm.simhash import (
-    WORDS, Tiles, bounds, estimated, fingerprint_links, fingerprints, near_dedup, simhash_components, size_class, wide_links,
+    WORDS, Tiles, bounds, estimated, fingerprint_links, fingerprints, near_blocks, near_dedup, simhash_components, size_class, wide_links,
 )
 
 
@@ -231,3 +231,20 @@ def test_groups_are_those_of_exact_similarity(spark, docs):
         first.setdefault(root, i)
     got = near_dedup(spark.createDataFrame(rows, docs.schema).repartition(4))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(first.values())
+
+
+@pytest.mark.parametrize("radius", [0, 3, 10])
+def test_blocks_whose_counts_differ_too_much_are_not_compared(radius):
+    rng = np.random.default_rng(4)
+    pop = np.r_[np.sort(rng.integers(10, 50, 300)), np.sort(rng.integers(5, 40, 200))]
+    left, right = np.arange(300), np.arange(300, 500)
+    for a, b in ((left, None), (left, right), (right, left)):
+        seen, compared = set(), 0
+        for x, y in near_blocks(pop, a, b, radius, block=8):
+            compared += len(x) * len(x if y is None else y)
+            seen |= {(i, j) for i in x for j in (x if y is None else y)}
+            assert y is None or pop[y].min() - pop[x].max() <= radius >= pop[x].min() - pop[y].max()
+        others = a if b is None else b
+        wanted = {(i, j) for i in a for j in others if abs(pop[i] - pop[j]) <= radius and (b is not None or i < j)}
+        assert wanted <= seen
+        assert radius == 10 or compared < 0.5 * len(a) * len(others)
