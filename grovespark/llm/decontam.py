@@ -5,7 +5,8 @@ multiple of five. The automaton's patterns are these blocks, a node for each wor
 instead of ten, and what matches one is followed to both sides in the item: a run
 of ten words or more is a hit. Where many places of the benchmark share a block,
 the windows around them are patterns themselves, so that no block has many places
-to be followed. Its letters are numbers of words, not bytes.
+to be followed. A word is a number, spelled with as many letters as the benchmark's
+vocabulary needs, so that a node has few children, which are searched one by one.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from grovespark.llm.common import cut_lineage, set_aside, table, without
 
 WINDOW = 10
-#: Words of the benchmark that one automaton takes, some 200 bytes each; more go to further automata, one pass over the documents each.
-BLOCK_WORDS = 1_000_000
+#: Words of the benchmark that one automaton takes, some 280 bytes each; more go to further automata, one pass over the documents each.
+BLOCK_WORDS = 750_000
 #: Places that are followed for one block of words at most.
 MOST_PLACES = 8
 #: Bytes of UTF-8 after normalisation: a word's byte as it is (A-Z in lower case), all else a blank.
@@ -43,49 +44,67 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split() if text else []
 
 
+#: Children that a node of the automaton has at most.
+BASE = 32
+
+
+def spelled(number: int, letters: int) -> str:
+    """A number as text of so many letters. Each place has letters of its own, so no match starts within a word."""
+    return "".join(chr(1 + BASE * i + number // BASE**i % BASE) for i in range(letters))
+
+
 class Machine:
     """The automaton of a list of items (id, text)."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         import ahocorasick
 
-        self.symbols: dict[bytes, int] = {}
-        self.texts: list[array] = []
+        self.window = window
+        texts: list[tuple[int, ...]] = []
         self.names: list[str] = []
+        numbers: dict[bytes, int] = {}
         size = (window + 1) // 2
         blocks: Counter[tuple[int, ...]] = Counter()
         for name, text in items:
-            found = array("i", [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)])
+            found = tuple([numbers.setdefault(w, len(numbers)) for w in words_of(text)])
             if found:
-                self.texts.append(found)
+                texts.append(found)
                 self.names.append(name)
                 if len(found) >= window:
-                    blocks.update(tuple(found[at : at + size]) for at in range(0, len(found) - size + 1, size))
+                    blocks.update(found[at : at + size] for at in range(0, len(found) - size + 1, size))
+        letters = 1
+        while BASE**letters < len(numbers):
+            letters += 1
+        #: How words are spelled, and how all others are.
+        self.letters, self.other = letters, "\0" * letters
+        self.spelling = {w: spelled(n, letters) for w, n in numbers.items()}
         # What is followed: (text, place) by block. What is a hit as it is: whole windows and short items, with their texts.
         followed: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         whole: dict[tuple[int, ...], list[int]] = {}
-        for k, found in enumerate(self.texts):
+        for k, found in enumerate(texts):
             if len(found) < window:
-                whole.setdefault(tuple(found), []).append(k)
+                whole.setdefault(found, []).append(k)
                 continue
             rare = []
             for at in range(0, len(found) - size + 1, size):
-                block = tuple(found[at : at + size])
+                block = found[at : at + size]
                 rare.append(blocks[block] <= MOST_PLACES)
                 if rare[-1]:
                     followed.setdefault(block, []).append((k, at))
             for i in range(len(found) - window + 1):
                 if not any(rare[-(-i // size) : (i + window) // size]):
-                    owners = whole.setdefault(tuple(found[i : i + window]), [])
+                    owners = whole.setdefault(found[i : i + window], [])
                     if not owners or owners[-1] != k:
                         owners.append(k)
-        self.window = window
-        #: By number of a pattern: its length, the places to follow, and the texts that it is a hit of.
-        self.values: list[tuple[int, list[tuple[int, int]], list[int]]] = []
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        #: By number of a pattern: its length in words, the places to follow, and the texts that it is a hit of.
+        self.values: list[tuple[int, Sequence[tuple[int, int]], Sequence[int]]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        names = list(self.spelling.values())
         for pattern in followed.keys() | whole.keys():
-            self.automaton.add_word(pattern, len(self.values))
-            self.values.append((len(pattern), followed.get(pattern, []), whole.get(pattern, [])))
+            self.automaton.add_word("".join([names[n] for n in pattern]), len(self.values))
+            self.values.append((len(pattern), followed.get(pattern, ()), whole.get(pattern, ())))
+        #: The texts as they are spelled.
+        self.spelled = ["".join([names[n] for n in found]) for found in texts]
         if self.values:
             self.automaton.make_automaton()
 
@@ -94,8 +113,8 @@ class Machine:
         words = words_of(text)
         if not words or not self.values:
             return len(words), [], set()
-        known = self.symbols.get
-        line = tuple([known(w, 0) for w in words])
+        step = self.letters
+        line = "".join(map(self.spelling.get, words, repeat(self.other)))
         ranges: list[tuple[int, int]] = []
         items: set[str] = set()
         told: set[int] = set()
@@ -103,7 +122,8 @@ class Machine:
         reached: dict[tuple[int, int], int] = {}
         for last, number in self.automaton.iter(line):
             size, places, owners = self.values[number]
-            start, end = last - size + 1, last + 1
+            end = (last + 1) // step
+            start = end - size
             if owners:
                 ranges.append((start, end))
                 if number not in told:
@@ -112,13 +132,14 @@ class Machine:
             for k, at in places:
                 if reached.get((k, start - at), -1) >= end:
                     continue
-                other = self.texts[k]
-                a, i = start, at
-                while a and i and line[a - 1] == other[i - 1]:
-                    a, i = a - 1, i - 1
-                b, j = end, at + size
-                while b < len(line) and j < len(other) and line[b] == other[j]:
-                    b, j = b + 1, j + 1
+                other = self.spelled[k]
+                a, b = start * step, end * step
+                i, j = at * step, (at + size) * step
+                while a and i and line[a - step : a] == other[i - step : i]:
+                    a, i = a - step, i - step
+                while b < len(line) and j < len(other) and line[b : b + step] == other[j : j + step]:
+                    b, j = b + step, j + step
+                a, b = a // step, b // step
                 reached[k, start - at] = b
                 if b - a >= self.window:
                     ranges.append((a, b))
