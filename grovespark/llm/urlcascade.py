@@ -15,6 +15,7 @@ own over its part of the universe, so that no filter outgrows a task.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,10 +69,17 @@ def key_of(host: Column, path: Column) -> Column:
 
 
 class Bloom:
-    """One level: bits in a literal, tested with built-in functions."""
+    """One level: a table of one row with the filter's bytes, tested with built-in functions.
 
-    def __init__(self, data: bytes, n_bits: int, hashes: int, level: int):
-        self.data, self.n_bits, self.hashes, self.level = data, n_bits, hashes, level
+    The bytes come into an expression as a scalar subquery: they are read once for
+    a query, and stand in no plan, of which Spark keeps texts. ``attach`` names the
+    subquery as a column and ``holds`` uses that column once, so that Catalyst puts
+    one in place of the other, and no row carries a filter.
+    """
+
+    def __init__(self, table: DataFrame, n_bits: int, hashes: int, level: int):
+        self.table, self.n_bits, self.hashes, self.level = table, n_bits, hashes, level
+        self.name = f"filter_{uuid.uuid4().hex}"
 
     @staticmethod
     def places(key: Column, n_bits: int, hashes: int, level: int) -> Column:
@@ -85,7 +93,7 @@ class Bloom:
 
     @classmethod
     def build(cls, keys: DataFrame, n: int, rate: float, level: int) -> Bloom:
-        """``keys`` has one column, key. Tasks put the bits together; the driver gets the filter in slices, as text."""
+        """``keys`` has one column, key. Tasks put bits together to bytes, bytes to slices, and one the slices to a filter."""
         n_bits, hashes = cls.size(n, rate)
         n_bytes = n_bits // BITS + 1
         place = keys.select(F.explode(cls.places(F.col("key"), n_bits, hashes, level)).alias("p"))
@@ -96,16 +104,20 @@ class Bloom:
         slices = filled.groupBy(F.floor(F.col("byte") / SLICE).alias("slice")).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("byte", "bits"))), lambda x: F.char(x["bits"])), "").alias("text")
         )
-        data = "".join(text for _, text in sorted(map(tuple, slices.collect()))).encode("ascii")
-        if len(data) != n_bytes:
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "text"))), lambda x: x["text"]), "")
+        table = cut_lineage(slices.agg(whole.cast("binary").alias("data")))
+        if table.select(F.octet_length("data")).first()[0] != n_bytes:
             raise RuntimeError("slices of a filter are missing")
-        return cls(data, n_bits, hashes, level)
+        return cls(table, n_bits, hashes, level)
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.name, self.table.scalar())
 
     def holds(self, key: Column) -> Column:
-        """The literal stands in the expression once, however many hashes there are."""
+        """Of a frame that this level is attached to."""
 
         def bit(p: Column) -> Column:
-            byte = F.ascii(F.substring(F.lit(self.data), F.floor(p / BITS).cast("int") + 1, F.lit(1)).cast("string"))
+            byte = F.ascii(F.substring(F.col(self.name), F.floor(p / BITS).cast("int") + 1, F.lit(1)).cast("string"))
             return F.getbit(byte, F.pmod(p, F.lit(BITS)).cast("int")) == 1
 
         return F.forall(self.places(key, self.n_bits, self.hashes, self.level), bit)
@@ -134,7 +146,7 @@ class Cascade:
         levels: list[Bloom] = []
         while n_in and len(levels) < most:
             level = Bloom.build(inside, n_in, 0.5 if levels else cls.rate(n_in, n_out), first + len(levels))
-            passed = outside.where(level.holds(F.col("key")))
+            passed = level.attach(outside).where(level.holds(F.col("key"))).select("key")
             # Of the universe, only what the first level lets through has to be told from the listed keys.
             wrong = cut_lineage(passed if levels else passed.join(listed, "key", "left_anti"))
             levels.append(level)
@@ -144,8 +156,11 @@ class Cascade:
             raise RuntimeError("the cascade did not end")
         return cls(levels, first)
 
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({level.name: level.table.scalar() for level in self.levels}) if self.levels else df
+
     def holds(self, key: Column) -> Column:
-        """The first level that lacks the key decides: an even one says no, an odd one says yes."""
+        """Of a frame that the cascade is attached to. The first level that lacks the key decides: an even one says no, an odd one yes."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
             out = F.when(~level.holds(key), F.lit((level.level - self.first) % 2 == 1)).otherwise(out)
@@ -188,12 +203,14 @@ def filter_urls(
     if n_rules != n_keys:
         raise ValueError("a host and path is listed twice")
     lengths = [n for (n,) in rules.select("n").distinct().collect()] or [0]
-    host, path, best, hit = free_names(pages, "h", "p", "best", "hit")
-    url_host, url_path = split_url(F.col(url_col))
-    split = pages.withColumns({host: url_host, path: url_path})
-    cands = candidates(F.col(host), F.col(path), lengths)
-
-    keys = split.select(host, path).distinct().select(F.explode(cands).alias("key")).distinct()
+    (best,) = free_names(pages, "best")
+    host, path = split_url(F.col(url_col))
+    # Bound once, and not as columns: a column that is named twice would keep the filters' columns below it.
+    split = F.array(F.struct(host.alias("host"), path.alias("path")))
+    cands = F.flatten(F.transform(split, lambda s: candidates(s["host"], s["path"], lengths)))
+
+    keys = pages.select(host.alias("host"), path.alias("path")).distinct()
+    keys = keys.select(F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
     universe = cut_lineage(keys)
     bits, _ = Bloom.size(n_keys, Cascade.rate(max(1, n_keys), universe.count()))
     shards = max(1, -(-(bits // BITS) // shard_bytes))
@@ -202,7 +219,7 @@ def filter_urls(
         return F.pmod(F.xxhash64(F.lit(SHARD_SALT), key), F.lit(shards))
 
     kind = "struct<pos:int,key:string,blocks:boolean>"
-    split = split.withColumn(best, F.lit(None).cast(kind))
+    judged = pages.withColumn(best, F.lit(None).cast(kind))
     for number in range(shards):
         own, others = (df.where(shard(F.col("key")) == number) if shards > 1 else df for df in (rules, universe))
         member = Cascade.build(own.select("key"), others)
@@ -212,17 +229,20 @@ def filter_urls(
 
         places = F.transform(cands, lambda key, i: F.struct(i.alias("pos"), key.alias("key")))
         in_shard = F.filter(places, lambda x: shard(x["key"]) == number) if shards > 1 else places  # noqa: B023
-        found = split.withColumn(hit, F.get(F.filter(in_shard, lambda x: member.holds(x["key"])), F.lit(0)))  # noqa: B023
-        new = F.when(F.col(hit).isNotNull(), F.struct(F.col(hit)["pos"], F.col(hit)["key"], blocking.holds(F.col(hit)["key"])).cast(kind))
+        hits = F.slice(F.filter(in_shard, lambda x: member.holds(x["key"])), 1, 1)  # noqa: B023
+        # One expression names each filter once: see ``Bloom``.
+        hits = F.transform(hits, lambda x: F.struct(x["pos"], x["key"], blocking.holds(x["key"]).alias("blocks")))  # noqa: B023
+        new = F.get(hits, F.lit(0)).cast(kind)
+        filters = [level.name for level in (*member.levels, *blocking.levels)]
         # The smaller place is that of the longer key; null is passed over.
-        split = found.withColumn(best, F.least(best, new) if number else new).drop(hit)
+        judged = blocking.attach(member.attach(judged)).withColumn(best, F.least(best, new) if number else new).drop(*filters)
         if number + 1 < shards:
-            split = cut_lineage(split)
+            judged = cut_lineage(judged)
 
     verdict = F.when(F.col(best).isNull(), F.lit(default)).when(F.col(best)["blocks"], F.lit("block")).otherwise(F.lit("allow"))
-    judged = dict(zip(ADDED, (F.col(host), F.col(path), F.col(best)["key"], verdict), strict=True))
+    added = dict(zip(ADDED, (host, path, F.col(best)["key"], verdict), strict=True))
     passed = [c for c in without(pages, *(a for a in ADDED if a != url_col.lower())).columns]
-    return split.select(*[F.col(f"`{c}`") for c in passed], *[c.alias(n) for n, c in judged.items() if n != url_col.lower()])
+    return judged.select(*[F.col(f"`{c}`") for c in passed], *[c.alias(n) for n, c in added.items() if n != url_col.lower()])
 
 
 def rule_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
