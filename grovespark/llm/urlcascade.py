@@ -36,6 +36,8 @@ BITS = 7
 SLICE = 4096
 #: Bytes of a first level that one shard's cascade has at most, about; later levels hold fewer.
 SHARD_BYTES = 8 << 20
+#: What a level lets through by mistake at most: with a half a list of 10^7 keys takes 24 levels, with this 8.
+RATE = 1 / 8
 #: Salts of the hashes that deal keys out to shards, and of the cascade that tells blocking from allowing rules.
 SHARD_SALT, BLOCKING = 77, 1000
 
@@ -132,20 +134,20 @@ class Cascade:
     @staticmethod
     def rate(n_in: int, n_out: int) -> float:
         """Of the first level: so that it lets through about as many of the others as there are listed keys."""
-        return min(0.5, max(1e-9, math.sqrt(0.5) * n_in / max(1, n_out)))
+        return min(RATE, max(1e-9, math.sqrt(0.5) * n_in / max(1, n_out)))
 
     @classmethod
     def build(cls, listed: DataFrame, universe: DataFrame, most: int = 60, first: int = 0) -> Cascade:
         """``listed`` and ``universe`` have one column, key, of distinct keys; listed keys may be in both.
 
-        Each level after the first halves. Levels are numbered from ``first`` on, an
+        Each level after the first leaves an eighth. Levels are numbered from ``first`` on, an
         even number, so that cascades have hashes of their own.
         """
         inside, outside = listed, universe
         n_in, n_out = listed.count(), universe.count()
         levels: list[Bloom] = []
         while n_in and len(levels) < most:
-            level = Bloom.build(inside, n_in, 0.5 if levels else cls.rate(n_in, n_out), first + len(levels))
+            level = Bloom.build(inside, n_in, RATE if levels else cls.rate(n_in, n_out), first + len(levels))
             passed = level.attach(outside).where(level.holds(F.col("key"))).select("key")
             # Of the universe, only what the first level lets through has to be told from the listed keys.
             wrong = cut_lineage(passed if levels else passed.join(listed, "key", "left_anti"))
@@ -203,7 +205,7 @@ def filter_urls(
     if n_rules != n_keys:
         raise ValueError("a host and path is listed twice")
     lengths = [n for (n,) in rules.select("n").distinct().collect()] or [0]
-    (best,) = free_names(pages, "best")
+    best, one = free_names(pages, "best", "one")
     host, path = split_url(F.col(url_col))
     # Bound once, and not as columns: a column that is named twice would keep the filters' columns below it.
     split = F.array(F.struct(host.alias("host"), path.alias("path")))
@@ -235,7 +237,9 @@ def filter_urls(
         new = F.get(hits, F.lit(0)).cast(kind)
         filters = [level.name for level in (*member.levels, *blocking.levels)]
         # The smaller place is that of the longer key; null is passed over.
-        judged = blocking.attach(member.attach(judged)).withColumn(best, F.least(best, new) if number else new).drop(*filters)
+        # A generator of one row, so that the input's own expressions do not mix with the filters' columns.
+        judged = blocking.attach(member.attach(judged.select("*", F.explode(F.array(F.lit(True))).alias(one))))
+        judged = judged.withColumn(best, F.least(best, new) if number else new).drop(*filters, one)
         if number + 1 < shards:
             judged = cut_lineage(judged)
 

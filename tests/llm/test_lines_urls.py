@@ -117,9 +117,11 @@ def outputs(plan):
         yield from outputs(plan.children().apply(i))
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 4])
-def test_no_row_carries_a_filter(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "made"), [(1 << 20, False), (1 << 20, True), (4, True)])
+def test_no_row_carries_a_filter(spark, shard_bytes, made):
     pages = spark.createDataFrame([(i, f"http://www.h{i}.net/x") for i in range(40)], "page_id long, url string")
+    if made:
+        pages = spark.range(40).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id").cast("string"), F.lit(".net/x")).alias("url"))
     rules = [("block" if i % 2 else "allow", f"h{3 * i}.net", "/") for i in range(30)]
     judged = filter_urls(pages, rules, shard_bytes=shard_bytes)
     for frame in (judged, judged.where("url_verdict = 'block'").select("page_id"), judged.groupBy("url_rule").count()):
