@@ -61,7 +61,7 @@ def codec(known: bytes):
     import zstandard
 
     given = zstandard.ZstdCompressionDict(known) if known else None
-    return zstandard.ZstdCompressor(level=9, dict_data=given), zstandard.ZstdDecompressor(dict_data=given)
+    return zstandard.ZstdCompressor(level=6, dict_data=given), zstandard.ZstdDecompressor(dict_data=given)
 
 
 def stride(capacity: int = CAPACITY, width: int = 2) -> int:
@@ -196,7 +196,7 @@ def training_order(
     width = id_bytes(verify(vocabulary or default_vocabulary()))
     path = new_path(spark, "sequences")
     packed = packed_sequences(docs, id_col, text_col, capacity, vocabulary=vocabulary)
-    packed.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}).parquet(path)
+    packed.write.option("compression", "zstd").parquet(path)
     stored = spark.read.parquet(path)
     known = dictionary(stored)
     counts = sorted((r["task"], r["n"]) for r in stored.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect())
