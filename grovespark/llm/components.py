@@ -25,34 +25,31 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .distinct()
     )
-    mark = _mark(edges)
     for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).where(F.col("v") > F.col("u"))
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        pairs = large.join(low, F.col("u") == F.col("k"))
-        small = pairs.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = cut_lineage(small)
-        last, mark = mark, _mark(edges)
-        if mark == last:
+        if _only_stars(edges):
             break
+        edges = cut_lineage(_round(edges))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Equal marks: the same edges. One row."""
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)),
-            F.bit_xor(F.xxhash64("u", "v")),
-            F.bit_xor(F.xxhash64("v", "u", F.lit(1))),
-        ).first()
-    )
+def _round(edges: DataFrame) -> DataFrame:
+    """Large-star: larger neighbours are hung below the smallest one; small-star: smaller ones and the node itself."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    large = both.join(low, F.col("u") == F.col("k")).where(F.col("v") > F.col("u"))
+    large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+    pairs = large.join(low, F.col("u") == F.col("k"))
+    small = pairs.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each node that hangs below another hangs below one alone, which hangs below none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return nodes.where((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))).isEmpty()
