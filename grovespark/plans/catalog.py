@@ -458,19 +458,30 @@ def content_xxh3(spark, d):
     return V.documents(spark, d, True).select("rel_path", *[hashing.content_hash(c, a).alias(a) for a in ("xxh3_64", "xxh3_128")])
 
 
-@query(
-    f"""WITH {V.DOCUMENTS_SQL}, h AS (SELECT rel_path, size, hex(encode(text)) AS x FROM doc_files)
-    SELECT rel_path, CAST(ceil(size / 256.0) AS BIGINT) AS hash_block_count,
-           coalesce(array_to_string(list_transform(range(0, CAST(ceil(size / 256.0) AS BIGINT)), lambda i: md5(unhex(substr(x, CAST(i * 512 + 1 AS BIGINT), 512)))), ';'), '') AS block_hashes
+def _blocks_sql(algorithm: str, size: int) -> str:
+    n = f"CAST(ceil(size / {size}.0) AS BIGINT)"
+    return f"""WITH {V.DOCUMENTS_SQL}, h AS (SELECT rel_path, size, hex(encode(text)) AS x FROM doc_files)
+    SELECT rel_path, {n} AS hash_block_count,
+           coalesce(array_to_string(list_transform(range(0, {n}), lambda i: {algorithm}(unhex(substr(x, CAST(i * {2 * size} + 1 AS BIGINT), {2 * size})))), ';'), '') AS block_hashes
     FROM h"""
-)
-def block_md5(spark, d):
-    rows = V.documents(spark, d, True)
-    return rows.select(
-        "rel_path", hashing.block_count(F.col("size"), 256).alias("hash_block_count"), hashing.block_hashes(F.col("content"), 256).alias("block_hashes")
+
+
+def _blocks(spark, d, algorithm: str, size: int) -> DataFrame:
+    return V.documents(spark, d, True).select(
+        "rel_path", hashing.block_count(F.col("size"), size).alias("hash_block_count"), hashing.block_hashes(F.col("content"), size, algorithm).alias("block_hashes")
     )
 
 
+@query(_blocks_sql("md5", 256))
+def block_md5(spark, d):
+    return _blocks(spark, d, "md5", 256)
+
+
+@query(_blocks_sql("sha256", 1000))
+def block_sha256(spark, d):
+    return _blocks(spark, d, "sha256", 1000)
+
+
 @query(
     f"""WITH a AS (SELECT o_orderkey, (o_orderkey::HUGEINT * 1000003)::UBIGINT AS x, (9223372036854775808::HUGEINT + o_custkey)::UBIGINT AS y FROM orders),
     b AS (SELECT o_orderkey, {mix_sql('x', 'y')} AS m FROM a), c AS (SELECT o_orderkey, m, {mix_sql('m', 'm')} AS mm FROM b)
@@ -593,11 +604,16 @@ def packed_small_files(spark, d):
     return small.union(large.select("rel_path", F.lit("chunks"), F.md5("content")))
 
 
-@query(f"WITH {V.DOCUMENTS_SQL} SELECT doc_id AS file_id, CAST(0 AS BIGINT) AS hash_ts FROM doc_files WHERE doc_id % 3 <> 0")
+@query(
+    f"""WITH {V.DOCUMENTS_SQL}, n AS (SELECT doc_id, size, CASE WHEN size <= 1024 THEN 1024 ELSE 4096 END AS step FROM doc_files WHERE doc_id % 3 <> 0),
+    k AS (SELECT *, greatest(CAST(ceil(size / step::DOUBLE) AS BIGINT), 1) - 1 AS last FROM n)
+    SELECT doc_id AS file_id, size AS file_size, last AS chunk_index, last * step AS data_offset, size - last * step AS data_len, size <= 1024 AS is_small, CAST(0 AS BIGINT) AS hash_ts FROM k"""
+)
 def last_chunk_scan_rows(spark, d):
+    """Of every third file the last chunk's hash is not valid."""
     files = V.documents(spark, d, True).withColumnRenamed("doc_id", "file_id")
     rows = C.chunks(files, threshold=1024, chunk=4096).withColumn("hash_valid", F.col("file_id") % 3 != 0)
-    return C.last_chunk_rows(rows).select("file_id", "hash_ts")
+    return C.last_chunk_rows(rows).select("file_id", "file_size", "chunk_index", "data_offset", "data_len", "is_small", "hash_ts")
 
 
 # --- Generated inventories ---
