@@ -421,9 +421,12 @@ def kept_aside(batches: Iterator[pa.RecordBatch], file) -> Iterator[pa.RecordBat
 
 def verified(a: np.ndarray, b: np.ndarray, labels: np.ndarray, similarity: float, load: Callable[[int], np.ndarray]) -> None:
     """Join the labels of the pairs (a, b) whose sets are that similar. Pairs that are joined already are not compared."""
+    if not len(a):
+        # Of a tile with several blocks, one may have no pair of its own: its rows' partners came before.
+        return
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
-    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.array([], dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     for lo, hi in zip(starts, np.r_[starts[1:], len(a)], strict=True):
         one, some = a[lo], b[lo:hi]
         some = some[labels[some] != labels[one]]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grovespark.llm.components import components
 from grovespark.llm.simhash import (
-    WORDS, Tiles, bounds, estimated, fingerprint_links, fingerprints, near_blocks, near_dedup, simhash_components, size_class, wide_links,
+    WORDS, Tiles, bounds, estimated, fingerprint_links, fingerprints, near_blocks, near_dedup, simhash_components, size_class, verified, wide_links,
 )
 
 
@@ -233,6 +233,22 @@ def test_groups_are_those_of_exact_similarity(spark, docs):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(first.values())
 
 
+def test_blocks_of_a_tile_without_a_pair_of_their_own(spark, docs):
+    # 2170 rows of one size are one tile of ten blocks: nine of 241 rows, and one of a single row.
+    rng, rows = random.Random(22), []
+    for i in range(1085):
+        base = words(rng, 40)
+        rows += [(2 * i, " ".join(base), "en", "a", 1), (2 * i + 1, " ".join([*base[:-1], "other"]), "en", "a", 1)]
+    got = near_dedup(spark.createDataFrame(rows, docs.schema).repartition(4))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 2170, 2))
+
+
+def test_no_pairs_are_verified():
+    labels = np.arange(3)
+    verified(np.array([], dtype=np.int64), np.array([], dtype=np.int64), labels, 0.8, lambda i: np.array([i], dtype="<u8"))
+    assert labels.tolist() == [0, 1, 2]
+
+
 @pytest.mark.parametrize("radius", [0, 3, 10])
 def test_blocks_whose_counts_differ_too_much_are_not_compared(radius):
     rng = np.random.default_rng(4)
